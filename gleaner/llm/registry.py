@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "p1_site_lines", "p3_boilerplate", "p5_stuffing",
+    "p1_site_lines", "p2_mojibake", "p3_boilerplate", "p4_language", "p5_stuffing",
     "p6_borda", "p7_enrichment", "p10_repetition",
 )
 
