@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleaner.session import materialize
@@ -80,6 +82,10 @@ def neg_log_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.ndar
     return np.maximum(out, 0)
 
 
+#: Pages delivered more than once up to which their ids are broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
+
+
 def one_per_page(pages: DataFrame) -> DataFrame:
     """(doc_id, body_tokens): one row a page; null and empty token lists are left out.
 
@@ -87,36 +93,57 @@ def one_per_page(pages: DataFrame) -> DataFrame:
     tokens is taken, then the greatest list.
     """
     rows = pages.select("doc_id", "body_tokens").where("doc_id is not null and size(body_tokens) > 0")
-    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    many = materialize(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "again")
+    if many.count() <= BROADCAST_IDS:
+        many = F.broadcast(many)
     again = rows.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.size("body_tokens").alias("n"), "body_tokens"))["body_tokens"].alias("body_tokens"))
     return rows.join(many, "doc_id", "left_anti").unionByName(again)
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, term, k) of each page, counted within the page; null tokens don't count."""
+    for b in batches:
+        lists = b.column(1)
+        tokens = lists.flatten()
+        page = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        coded = tokens.dictionary_encode()
+        code = np.asarray(pc.fill_null(coded.indices, -1)).astype(np.int64)
+        page, code = page[code >= 0], code[code >= 0]
+        width = max(1, len(coded.dictionary))
+        n = np.bincount(page, minlength=b.num_rows)
+        pair, k = np.unique(page * width + code, return_counts=True)
+        page = pair // width
+        cols = [b.column(0).take(pa.array(page)), pa.array(n[page].astype(np.int32)), coded.dictionary.take(pa.array(pair % width)), pa.array(k)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "term", "k"])
+
+
 def enrichment(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, k, n, collection_k, score, adjusted): every term of the asked pages, scored.
+    """(doc_id, term, k, n, collection_k, score): every term of the asked pages, scored.
 
     ``probes`` (doc_id) names the pages asked about, all of them if None; the counts always cover the whole collection.
-    Null tokens don't count. ``adjusted`` is -ln of the Benjamini-Hochberg value within the page. Unknown probes and empty
-    tables give no rows.
+    Null tokens don't count. Unknown probes and empty tables give no rows.
     """
     base = one_per_page(pages)
-    token = base.select("doc_id", F.explode("body_tokens").alias("term")).where("term is not null")
+    token = base.select(F.explode("body_tokens").alias("term")).where("term is not null")
     totals = materialize(token.groupBy("term").agg(F.count(F.lit(1)).alias("collection_k")), "terms")
     big_n = totals.agg(F.coalesce(F.sum("collection_k"), F.lit(0))).first()[0]
     asked = base if probes is None else base.join(probes.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    asked = asked.select("doc_id", F.filter("body_tokens", lambda t: t.isNotNull()).alias("t"))
-    counted = asked.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).alias("k"))
+    counted = asked.mapInArrow(_count_terms, "doc_id bigint, n int, term string, k bigint")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(score=neg_log_tail(b.k, b.n, b.collection_k, np.full(len(b), big_n)))
 
     rows = counted.join(totals, "term").select("doc_id", "term", "k", "n", "collection_k")
-    rows = rows.mapInPandas(scored, "doc_id bigint, term string, k bigint, n int, collection_k bigint, score double")
+    return rows.mapInPandas(scored, "doc_id bigint, term string, k bigint, n int, collection_k bigint, score double")
+
+
+def adjusted(scored: DataFrame) -> DataFrame:
+    """``scored`` with ``adjusted``: -ln of the Benjamini-Hochberg value among the terms of the page."""
     w = W.partitionBy("doc_id")
     best = F.col("score") - F.log(F.count(F.lit(1)).over(w)) + F.log(F.rank().over(w.orderBy(F.col("score").desc())))
     running = w.orderBy(F.col("score").asc(), F.col("term").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("_b", F.greatest(F.lit(0.0), best)).withColumn("adjusted", F.max("_b").over(running)).drop("_b")
+    return scored.withColumn("_b", F.greatest(F.lit(0.0), best)).withColumn("adjusted", F.max("_b").over(running)).drop("_b")
 
 
 def top_terms(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
@@ -132,7 +159,7 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 
 def p7_enrichment(spark, sf_dir: str) -> DataFrame:
     """Scores of all terms of the probe pages, with the collection's stored document frequency beside."""
-    scored = enrichment(spark.read.parquet(f"{sf_dir}/preprocessed_pages.parquet"), spark.read.parquet(f"{sf_dir}/probe_pages.parquet"))
+    scored = adjusted(enrichment(spark.read.parquet(f"{sf_dir}/preprocessed_pages.parquet"), spark.read.parquet(f"{sf_dir}/probe_pages.parquet")))
     df = spark.read.parquet(f"{sf_dir}/document_frequencies.parquet").groupBy("term").agg(F.sum("df").alias("stored_df"))
     return scored.join(df, "term", "left").select("doc_id", "term", "k", F.col("n").cast("bigint").alias("n"), "collection_k", "stored_df", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"))
 
