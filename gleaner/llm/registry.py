@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "p1_site_lines", "p2_mojibake", "p3_boilerplate", "p4_language", "p5_stuffing",
-    "p6_borda", "p7_enrichment", "p10_repetition",
+    "p6_borda", "p7_enrichment", "p8_packing", "p9_mixing", "p10_repetition",
 )
 
 
