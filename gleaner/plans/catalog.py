@@ -1,6 +1,461 @@
-"""All core queries by name, with the SQL of those that SQL can express."""
+"""All core queries by name, with the SQL of those that SQL can express.
+
+Texts go through the plain analyzer here (unstemmed, accents of Latin letters), which SQL can repeat; stemmed variants have
+no twin. Arrays are compared as joined texts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
+from gleaner.functions import lang, text as T, urls as U
+from gleaner.functions.html import extract_pages
+from gleaner.functions.porter import stem_column
+from gleaner.operators import analyze as A, batch as B, bm25 as R, explain as E, frontier as C, index as I, rerank as K, spelling as S
+from gleaner.plans import sql as Q
+from gleaner.streaming.ingest import visits_by_window
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark, d: str) -> DataFrame:
+    return A.latest_pages(spark.read.parquet(f"{d}/raw_pages.parquet"))
+
+
+def _docs(spark, d: str) -> DataFrame:
+    return I.one_per_id(spark.read.parquet(f"{d}/preprocessed_pages.parquet"))
+
+
+def _index(spark, d: str) -> I.Index:
+    return I.build_index(spark.read.parquet(f"{d}/preprocessed_pages.parquet"))
+
+
+def _queries(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/queries.parquet")
+
+
+def _analysed(spark, d: str) -> DataFrame:
+    return R.analyse_queries(_queries(spark, d), A.PLAIN)
+
+
+def _corrected(spark, d: str, index: I.Index) -> DataFrame:
+    return S.correct(_analysed(spark, d), index.vocabulary)
+
+
+def _found(spark, d: str) -> tuple[I.Index, DataFrame, DataFrame]:
+    index = _index(spark, d)
+    asked = _corrected(spark, d, index)
+    return index, asked, _top(R.matches(R.query_terms(asked), index))
+
+
+def _top(scored: DataFrame) -> DataFrame:
+    # a sum's last bits depend on its order, so ties are cut off for the comparison
+    return R.top_k(scored.withColumn("bm25", F.round("bm25", 9)))
+
+
+def _joined(c, by: str = " "):
+    return F.array_join(c, by)
+
+
+# --- texts, terms and the index
+
+
+@query(f"with {Q.PAGES} select doc_id, array_to_string({Q.tokens('title')}, ' ') as title_terms, array_to_string({Q.tokens('body')}, ' ') as body_terms from pages")
+def tokenize_pages(spark, d):
+    return _pages(spark, d).select("doc_id", _joined(A.PLAIN(F.col("title"))).alias("title_terms"), _joined(A.PLAIN(F.col("body"))).alias("body_terms"))
+
+
+@query(f"select doc_id, cast(len({Q.tokens('text')}) as bigint) as terms from documents")
+def tokenize_documents(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(A.PLAIN(F.col("text"))).cast("bigint").alias("terms"))
+
+
+@query(f"""with w as (select unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) as word from documents)
+  select word, count(*) as n from w where list_contains({Q.STOP}, word) group by word""")
+def token_stopword_filter(spark, d):
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    return words.where(F.col("word").isin(*T.STOPWORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {Q.DOCS}, {Q.POSTINGS} select term, doc_id, cast(tf as int) as tf from postings")
+def term_frequency(spark, d):
+    return I.term_frequencies(_docs(spark, d)).select("term", "doc_id", "tf")
+
+
+@query(f"with {Q.DOCS}, {Q.POSTINGS} select term, df from vocab")
+def document_frequency(spark, d):
+    return _index(spark, d).vocabulary
+
+
+@query("select term, sum(df)::bigint as df from document_frequencies group by term")
+def stored_document_frequency(spark, d):
+    """The stored map of the shards as one collection."""
+    return spark.read.parquet(f"{d}/document_frequencies.parquet").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+@query(f"with {Q.DOCS}, {Q.POSTINGS} select term, string_agg(doc_id || ':' || tf, ',' order by doc_id) as postings from postings group by term")
+def postings_list(spark, d):
+    lists = I.postings_lists(I.term_frequencies(_docs(spark, d)))
+    return lists.select("term", _joined(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+
+
+@query(f"""with {Q.DOCS} select 'body' as field, doc_id, cast(doc_length as int) as length from docs union all
+  select 'title', doc_id, cast(len(title_tokens) as int) from docs union all select 'heading', doc_id, cast(len(heading_tokens) as int) from docs""")
+def field_lengths(spark, d):
+    return I.field_lengths(_docs(spark, d))
+
+
+@query(f"with {Q.DOCS} select count(*) as n_docs, round(avg(doc_length::double), 6) as avgdl from docs")
+def avg_doc_length(spark, d):
+    return I.statistics(I.metadata(_docs(spark, d))).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"""with {Q.INDEX} select count(*) as num_docs, (select count(*) from vocab) as vocabulary_size, round(avg(doc_length::double), 4) as average_document_length,
+  count(*) filter (len(outgoing_links) > 0) as documents_with_outgoing_links from docs""")
+def index_summary(spark, d):
+    index = _index(spark, d)
+    return I.summary(index.docs, index.vocabulary)
+
+
+@query(f"""with {Q.DOCS} select doc_id, url, fetched_url, canonical_url, title, snippet, array_to_string(title_tokens, ' ') as title_terms, array_to_string(heading_tokens, ' ') as heading_terms,
+  cast(doc_length as int) as doc_length, cast(len(outgoing_links) as int) as links from docs""")
+def doc_metadata(spark, d):
+    m = I.metadata(_docs(spark, d))
+    return m.select("doc_id", "url", "fetched_url", "canonical_url", "title", "snippet", _joined("title_tokens").alias("title_terms"), _joined("heading_tokens").alias("heading_terms"), "doc_length", F.size("outgoing_links").alias("links"))
+
+
+@query(f"with {Q.PAGES} select count(*) as num_pages, sum(len({Q.tokens('body')}))::bigint as total_body_tokens from pages")
+def preprocess_totals(spark, d):
+    return A.totals(A.preprocess(_pages(spark, d), A.PLAIN))
+
+
+@query(f"""with {Q.PAGES}, t as (select doc_id, regexp_replace(coalesce(body, ''), '^[\\s\\x{{85}}\\x{{A0}}]+|[\\s\\x{{85}}\\x{{A0}}]+$', '', 'g') as b from pages)
+  select doc_id, case when length(b) <= 160 then b else regexp_replace(substring(b, 1, 160), ' [^ ]*$', '') || '...' end as snippet from t""")
+def snippets(spark, d):
+    return _pages(spark, d).select("doc_id", T.snippet(F.col("body"), 160).alias("snippet"))
+
+
+@query()
+def stemmed_vocabulary(spark, d):
+    """Stems of the collection's distinct terms: each is stemmed once and joined back by its users."""
+    return _index(spark, d).vocabulary.withColumn("stem", stem_column("term")).groupBy("stem").agg(F.sum("df").alias("uses"), F.count(F.lit(1)).alias("terms"))
+
+
+@query()
+def preprocess_stemmed(spark, d):
+    """The default analyzer over all pages."""
+    return A.preprocess(_pages(spark, d)).select("doc_id", _joined("title_tokens").alias("title_terms"), _joined("heading_tokens").alias("heading_terms"), _joined("body_tokens").alias("body_terms"), "body_length")
+
+
+_LINKS = f"""with {Q.DOCS},
+  owners as (select link, arg_max(doc_id, doc_id * 3 + i) as dst from (select doc_id, unnest([url, fetched_url, canonical_url]) as link, unnest([0, 1, 2]) as i from docs) where link <> '' group by link),
+  edges as (select distinct doc_id as src, dst from (select doc_id, unnest(outgoing_links) as link from docs) join owners using (link) where doc_id <> dst)"""
+
+
+@query(f"{_LINKS} select src, dst from edges")
+def link_edges(spark, d):
+    return I.link_edges(_docs(spark, d))
+
+
+@query(f"{_LINKS} select d.doc_id, coalesce(string_agg(dst::varchar, ',' order by dst), '') as targets from docs d left join edges e on d.doc_id = e.src group by d.doc_id")
+def link_graph(spark, d):
+    return I.link_graph(_docs(spark, d)).select("doc_id", _joined(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+# --- retrieval
+
+
+@query(f"with {Q.INDEX} select term, round(ln(1.0::double + (n - df + 0.5::double) / (df + 0.5::double)), 6) as idf from vocab, stats")
+def idf_table(spark, d):
+    index = _index(spark, d)
+    return index.vocabulary.select("term", F.round(R.idf(index.stats[0], F.col("df")), 6).alias("idf"))
+
+
+@query(f"with {Q.ANALYSED} select query_id, pos, array_to_string(toks, ' ') as terms from analysed")
+def query_analysis(spark, d):
+    return _analysed(spark, d).select("query_id", "pos", _joined("query_tokens").alias("terms"))
+
+
+@query(f"with {Q.INDEX}, {Q.ANALYSED}, {Q.SPELLED} select token, term, df, cast(dist as int) as dist from near where dist <= d")
+def spell_candidates(spark, d):
+    index = _index(spark, d)
+    tokens = _analysed(spark, d).select(F.explode("query_tokens").alias("token")).distinct()
+    unknown = tokens.join(index.vocabulary, F.col("token") == F.col("term"), "left_anti")
+    return S.candidates(unknown, index.vocabulary)
+
+
+@query(f"with {Q.INDEX}, {Q.ANALYSED}, {Q.SPELLED} select query_id, array_to_string(toks, ' ') as terms from corrected")
+def spell_correct(spark, d):
+    return _corrected(spark, d, _index(spark, d)).select("query_id", _joined("query_tokens").alias("terms"))
+
+
+@query(f"""with {Q.INDEX}, {Q.ANALYSED}, {Q.SPELLED} select query_id, a as entered, b as corrected from
+  (select query_id, unnest(entered) as a, unnest(toks) as b from corrected) where a <> b""")
+def spell_corrections_shown(spark, d):
+    return S.shown_corrections(_corrected(spark, d, _index(spark, d)))
+
+
+@query(f"{Q.SEARCH} select query_id, doc_id, round(bm25, 4) as bm25, array_to_string(matched, ' ') as matched_terms from scored")
+def bm25_matches(spark, d):
+    index = _index(spark, d)
+    m = R.matches(R.query_terms(_corrected(spark, d, index)), index)
+    return m.select("query_id", "doc_id", F.round("bm25", 4).alias("bm25"), _joined("matched_terms").alias("matched_terms"))
+
+
+@query(f"{Q.SEARCH} select query_id, doc_id, bm25_score, cast(bm25_rank as int) as bm25_rank from best")
+def bm25_batch_topk(spark, d):
+    return _found(spark, d)[2].select("query_id", "doc_id", "bm25_score", "bm25_rank")
+
+
+@query(f"{Q.SEARCH} select query_id, doc_id, bm25_score from best where bm25_rank <= 10")
+def bm25_top10(spark, d):
+    return _found(spark, d)[2].where("bm25_rank <= 10").select("query_id", "doc_id", "bm25_score")
+
+
+@query(f"{Q.SEARCH}, {Q.RERANK} select query_id, doc_id, raw as boost from joined")
+def field_boost(spark, d):
+    index, asked, best = _found(spark, d)
+    j = best.join(index.docs.select("doc_id", "title", "title_tokens", "heading_tokens"), "doc_id").join(asked.select("query_id", "query_tokens"), "query_id")
+    title = F.when(F.size("title_tokens") > 0, F.col("title_tokens")).otherwise(A.PLAIN(F.col("title")))
+    return j.select("query_id", "doc_id", (K.field_boost(F.col("query_tokens"), title, 2.0) + K.field_boost(F.col("query_tokens"), F.col("heading_tokens"), 1.0)).alias("boost"))
+
+
+def _reranked(spark, d):
+    index, asked, best = _found(spark, d)
+    found = best.join(index.docs.select("doc_id", "url", "fetched_url", "canonical_url", "title", "snippet"), "doc_id", "left")
+    return index, asked, K.rerank(found, asked, index.docs, analyzer=A.PLAIN)
+
+
+@query(f"{Q.SEARCH}, {Q.RERANK} select query_id, doc_id, round(nb, 4) as normalized_bm25, round(field, 4) as normalized_field_boost from ranked")
+def minmax_normalize(spark, d):
+    return _reranked(spark, d)[2].select("query_id", "doc_id", F.col("score_details.normalized_bm25").alias("normalized_bm25"), F.col("score_details.normalized_field_boost").alias("normalized_field_boost"))
+
+
+@query(f"{Q.SEARCH}, {Q.RERANK} select query_id, doc_id, cast(rank as int) as rank, score from ranked")
+def rerank_topk(spark, d):
+    return _reranked(spark, d)[2].select("query_id", "doc_id", "rank", "score")
+
+
+_URL = "coalesce(nullif(url, ''), nullif(fetched_url, ''), nullif(canonical_url, ''), '')"
+
+
+@query(f"{Q.SEARCH}, {Q.RERANK} select query_id, cast(rank as int) as rank, {_URL} as url, printf('%.6f', score) as score from ranked where {_URL} <> ''")
+def batch_rows_tsv(spark, d):
+    return B.result_rows(_reranked(spark, d)[2])
+
+
+@query(f"{Q.SEARCH} select query_id, cast(bm25_rank as int) as rank, {_URL} as url, printf('%.6f', bm25_score) as score from best join docs using (doc_id) where {_URL} <> ''")
+def batch_no_rerank(spark, d):
+    index, _, best = _found(spark, d)
+    found = best.join(index.docs, "doc_id", "left").withColumn("score", F.col("bm25_score")).withColumn("rank", F.col("bm25_rank"))
+    return B.result_rows(found)
+
+
+@query("select query_id, count(*) as rows, count(distinct doc_id) as docs, max(rank) as last_rank from results group by query_id")
+def stored_results_summary(spark, d):
+    r = spark.read.parquet(f"{d}/results.parquet")
+    return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("docs"), F.max("rank").alias("last_rank"))
+
+
+@query()
+def search_stemmed(spark, d):
+    """The whole pipeline with the default analyzer: pages, index, spelling, BM25, re-ranking."""
+    index = I.build_index(A.preprocess(_pages(spark, d)))
+    return B.search(_queries(spark, d), index).select("query_id", "doc_id", "rank", "score")
+
+
+# --- pages and links
+
+_ALL_LINKS = "links as (select distinct unnest(outgoing_links) as url from raw_pages)"
+
+
+def _links(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/raw_pages.parquet").select(F.explode("outgoing_links").alias("url")).distinct()
+
+
+@query(f"with {_ALL_LINKS} select url, {Q.normal('url')} as normal from links")
+def normalize_url(spark, d):
+    return _links(spark, d).select("url", U.normalize_url(F.col("url")).alias("normal"))
+
+
+@query(f"select k, count(*) as rows from (select {Q.key('url')} as k from visited) group by k")
+def url_key_dedup(spark, d):
+    return spark.read.parquet(f"{d}/visited.parquet").groupBy(U.url_key(F.col("url")).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"select {Q.domain('url')} as domain, count(*) as visits from visited group by all")
+def registrable_domain(spark, d):
+    return spark.read.parquet(f"{d}/visited.parquet").groupBy(U.registrable_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("visits"))
+
+
+@query(f"with {_ALL_LINKS} select url from links where {Q.is_page('url')}")
+def html_url_filter(spark, d):
+    return _links(spark, d).where(U.is_page_url(F.col("url")))
+
+
+@query(f"with {_ALL_LINKS}, e as (select url, {Q.domain('url')} as domain from links) select url from e where domain = 'relekecol.example' or domain like '%.relekecol.example'")
+def blacklist_filter(spark, d):
+    return _links(spark, d).where(U.is_blacklisted(U.registrable_domain(F.col("url")), ("relekecol.example",)))
+
+
+@query(f"""with {Q.PAGES} select doc_id, regexp_matches(lower(coalesce(url, '') || ' ' || coalesce(title, '') || ' ' || coalesce(body, '')), {Q.quote(T.TOPIC_PATTERN)}) as related from pages""")
+def topic_filter(spark, d):
+    return _pages(spark, d).select("doc_id", T.is_on_topic(F.col("url"), F.col("title"), F.col("body")).alias("related"))
+
+
+@query(f"""with {Q.PAGES} select doc_id, case when coalesce(language, '') = 'en' then true when coalesce(language, '') not in ('', 'unknown') then false
+  else coalesce(contains(lower({Q.path('url')}), '/en'), null) end as english from pages""")
+def looks_english(spark, d):
+    return _pages(spark, d).select("doc_id", lang.looks_english(F.col("url"), F.col("language")).alias("english"))
+
+
+@query()
+def language_detect(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", lang.detect_language(F.col("text")).alias("detected"))
+
+
+@query()
+def extract_body(spark, d):
+    """Documents' texts read as HTML, as some hold left-over tags."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("https://here.example/").alias("fetched_url"), F.col("text").alias("html"))
+    return extract_pages(docs).select("doc_id", "title", "body", F.size("outgoing_links").alias("links"))
+
+
+@query(f"""with e as (select {Q.domain('url')} as src, {Q.domain('link')} as dst from (select url, unnest(outgoing_links) as link from raw_pages where url is not null))
+  select src, dst, count(*) as links from e where src <> dst group by all""")
+def domain_graph(spark, d):
+    e = spark.read.parquet(f"{d}/raw_pages.parquet").where("url is not null").select(U.registrable_domain(F.col("url")).alias("src"), F.explode("outgoing_links").alias("link"))
+    return e.select("src", U.registrable_domain(F.col("link")).alias("dst")).where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+
+
+_ROUTED = f"""with {_ALL_LINKS}, from_pages as (select unnest(outgoing_links) as link, coalesce(is_tuebingen_related, false) and coalesce(language, '') = 'en' as promote from raw_pages),
+  normal as (select {Q.normal('link')} as url, promote from from_pages),
+  ok as (select url, max(promote) as promote from normal where {Q.domain('url')} <> '' and {Q.is_page('url')} and {Q.domain('url')} <> 'archive.org' group by url),
+  seen as (select distinct {Q.normal('url')} as url from visited where url is not null),
+  routed as (select url, case when promote then 'high' else 'low' end as level, {Q.domain('url')} as domain from ok where url not in (select url from seen where url is not null))"""
+
+
+def _routed(spark, d) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/raw_pages.parquet")
+    promote = F.coalesce("is_tuebingen_related", F.lit(False)) & (F.coalesce("language", F.lit("")) == "en")
+    links = pages.select(F.explode("outgoing_links").alias("link"), promote.alias("promote")).select(U.normalize_url(F.col("link")).alias("url"), "promote")
+    seen = spark.read.parquet(f"{d}/visited.parquet").where("url is not null").select(U.normalize_url(F.col("url")).alias("url"))
+    return C.route(links, seen)
+
+
+@query(f"{_ROUTED} select level, domain, url from routed")
+def frontier_routing(spark, d):
+    return _routed(spark, d)
+
+
+@query(f"{_ROUTED} select level, domain, url from (select *, row_number() over (partition by domain order by level, url) as r from routed) where r = 1")
+def frontier_claim(spark, d):
+    waiting = _routed(spark, d).select("level", "domain", F.lit(0).cast("bigint").alias("seq"), "url", F.lit(0).alias("attempts"))
+    return C.claim(waiting, spark.createDataFrame([], "domain string, next_time double"), 0.0).select("level", "domain", "url")
+
+
+@query(f"{_ROUTED} select level, count(*) as urls, count(distinct domain) as domains, count(distinct domain) as ready_domains from routed group by level")
+def frontier_sizes(spark, d):
+    return C.frontier_sizes(_routed(spark, d), spark.createDataFrame([], "domain string, next_time double"), 0.0)
+
+
+@query(f"with {_ALL_LINKS} select url from links where {Q.normal('url')} not in (select {Q.normal('url')} from visited where url is not null)")
+def visited_antijoin(spark, d):
+    seen = spark.read.parquet(f"{d}/visited.parquet").where("url is not null").select(U.normalize_url(F.col("url")).alias("n")).distinct()
+    return _links(spark, d).join(seen, U.normalize_url(F.col("url")) == F.col("n"), "left_anti")
+
+
+@query(f"{_ROUTED} select url, cast(row_number() over (order by url) + 999 as bigint) as doc_id from routed")
+def doc_id_assignment(spark, d):
+    return C.number_new(_routed(spark, d).select("url"), 999, "doc_id", ["url"]).select("url", F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+@query("""select case when regexp_full_match(status_code, '[0-9]+') then cast(status_code as int) end as http_status,
+  case when not regexp_full_match(status_code, '[0-9]+') then status_code end as outcome, count(*) as n from visited group by all""")
+def visited_status_split(spark, d):
+    """The state that is a number or a word, as two columns."""
+    s = F.col("status_code")
+    number = s.rlike("^[0-9]+$")
+    return spark.read.parquet(f"{d}/visited.parquet").groupBy(F.when(number, s.cast("int")).alias("http_status"), F.when(~number, s).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_WHEN = "try_cast(regexp_replace(replace(visited_at, 'T', ' '), 'Z$', '') as timestamp)"
+
+
+@query(f"select date_trunc('day', {_WHEN}) as start, status_code, count(*) as visits from visited where {_WHEN} is not null group by all")
+def visits_by_day(spark, d):
+    """The streaming window count as a batch query."""
+    v = spark.read.parquet(f"{d}/visited.parquet")
+    at = F.expr("try_to_timestamp(regexp_replace(replace(visited_at, 'T', ' '), 'Z$', ''))")
+    return visits_by_window(v.select(at.alias("visited_at"), "status_code").where("visited_at is not null"))
+
+
+# --- explanations
+
+
+def _shown(spark, d) -> DataFrame:
+    """The best ten results of each query with the page's text and the query's words as they were entered."""
+    index, asked, best = _found(spark, d)
+    docs = index.docs.select("doc_id", "url", "title", "snippet", "title_tokens", "heading_tokens")
+    body = _pages(spark, d).select("doc_id", "body")
+    top = best.where("bm25_rank <= 10").select("query_id", "doc_id", "matched_terms")
+    return top.join(docs, "doc_id").join(body, "doc_id", "left").join(asked.select("query_id", "query", "query_tokens"), "query_id")
+
+
+_SHOWN = f"""{Q.SEARCH}, {Q.PAGES},
+  shown as (select b.query_id, b.doc_id, b.matched, d.url, d.title, d.snippet, d.title_tokens, d.heading_tokens, p.body, c.toks from best b join docs d using (doc_id)
+    left join pages p using (doc_id) join corrected c using (query_id) where bm25_rank <= 10),
+  low as (select *, replace(replace(lower(title || ' ' || url || ' ' || snippet || ' ' || coalesce(body, '')), 'tübingen', 'tubingen'), 'tuebingen', 'tubingen') as page from shown)"""
+
+
+@query(f"""{_SHOWN}, each as (select query_id, doc_id, page, unnest(list_distinct(toks)) as t from low)
+  select query_id, doc_id, coalesce(string_agg(t, ' ' order by t) filter (regexp_matches(page, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')), '') as found,
+   coalesce(string_agg(t, ' ' order by t) filter (not regexp_matches(page, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')), '') as missing from each group by query_id, doc_id""")
+def found_missing_terms(spark, d):
+    s = _shown(spark, d).withColumn("page", E.page_text(F.col("title"), F.col("url"), F.col("snippet"), F.col("body")))
+    return s.select("query_id", "doc_id", _joined(F.array_sort(E.found_terms(F.col("page"), F.col("query_tokens")))).alias("found"), _joined(F.array_sort(E.missing_terms(F.col("page"), F.col("query_tokens")))).alias("missing"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"""{_SHOWN}, t as (select *, list_filter(list_distinct(toks), lambda x: length(x) > 2) as long from shown)
+  select query_id, doc_id, case when len(long) > 0 then regexp_replace({_ESCAPED}, '(' || (select string_agg(x, '|' order by length(x) desc, x) from unnest(long) as u(x)) || ')', '<mark>\\1</mark>', 'gi') else {_ESCAPED} end as marked from t""")
+def highlight(spark, d):
+    return _shown(spark, d).select("query_id", "doc_id", E.highlight(F.col("title"), F.col("query_tokens")).alias("marked"))
+
+
+@query(f"""{_SHOWN}, h as (select query_id, doc_id, list_sort(list_intersect(list_distinct(toks), title_tokens)) as t, list_sort(list_intersect(list_distinct(toks), heading_tokens)) as g, matched from shown)
+  select query_id, doc_id, array_to_string(list_filter([case when len(t) > 0 then 'Matched query term in title: ' || array_to_string(t, ', ') end,
+   case when len(g) > 0 then 'Matched query term in headings: ' || array_to_string(g, ', ') end, 'Matched indexed terms: ' || array_to_string(matched[1:6], ', ')], lambda x: x is not null), ' / ') as reasons from h""")
+def why_reasons(spark, d):
+    s = _shown(spark, d)
+    return s.select("query_id", "doc_id", _joined(E.why_reasons(F.col("query_tokens"), F.col("title_tokens"), F.col("heading_tokens"), F.expr(E.EMPTY), F.col("matched_terms")), " / ").alias("reasons"))
+
+
+@query(f"""with {Q.PAGES}, s as (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(coalesce(body, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) as sentence from pages)
+  select doc_id, count(*) as sentences, sum(length(sentence))::bigint as chars from s where length(trim(sentence)) between 35 and 340 group by doc_id""")
+def sentence_split(spark, d):
+    s = _pages(spark, d).select("doc_id", F.explode(T.sentences(F.col("body"))).alias("sentence"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+
+
+@query()
+def smart_summary(spark, d):
+    return E.smart_summary(_shown(spark, d).withColumnRenamed("query_tokens", "query_terms"), A.PLAIN)
+
+
+@query()
+def prompt_context(spark, d):
+    return _shown(spark, d).select("query_id", "doc_id", E.compact_context(F.col("body"), F.col("query"), 1500).alias("context"))
