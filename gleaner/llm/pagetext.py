@@ -237,6 +237,7 @@ def fit(sample: list) -> PageModel:
     openers = frozenset(k for k, n in after.items() if n >= often and opened[k] >= 0.15 * n)
     keys = frozenset(k for k in repeated if len(k.split()) <= 40)
     skeletons = {_SKELETON.sub("", k): k for k in sorted(keys, key=lambda k: (len(seen[k]), k)) if not k.isascii()}
+    skeletons |= {_SKELETON.sub("", k): k for k in tags if not k.isascii()}
     skeletons.pop("", None)
     return PageModel(weights, keys, skeletons, openers, tags, *fit_prose([t for k, t in prose if k not in repeated]))
 
@@ -249,7 +250,7 @@ def _structure(m: PageModel, text: str, s: float, host: str) -> tuple[float, lis
     head = _LABEL.match(text)
     if head:
         front = WORD.findall(head.group(1).lower())
-        if front and (own_key(front, host) in m.tags or sum(map(m.weights.__getitem__, front)) >= 1.0):
+        if front and (own_key(front, host) in m.tags or "�" in text and _SKELETON.sub("", own_key(front, host)) in m.skeletons or sum(map(m.weights.__getitem__, front)) >= 1.0):
             s = max(s, 0.0) + 4.0
     parts = [x for x in _SEPARATOR.split(text) if x]
     if len(parts) >= 3 and max(map(len, parts)) <= 40:
