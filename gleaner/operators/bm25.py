@@ -1,8 +1,8 @@
 """BM25 for all queries at once.
 
-The query side is small: its distinct terms get their document frequency and idf first, then meet the postings by a
-join on the term, which is a broadcast while Spark sees the query side below its threshold. Document lengths are in
-the postings, so nothing else is joined before the top k of each query are known.
+The query side is small: its distinct terms get their document frequency and idf first and are counted; below a bound
+they are broadcast to the postings (whose folders they prune), beyond it both sides are shuffled. Document lengths are
+in the postings, so nothing else is joined before the top k of each query are known.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.operators.analyze import DEFAULT, Analyzer
-from gleaner.operators.index import Index
+from gleaner.operators.index import Index, term_bucket
+from gleaner.session import materialize
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,22 @@ def query_terms(analysed: DataFrame) -> DataFrame:
     return analysed.select("query_id", F.explode(F.array_distinct("query_tokens")).alias("term"))
 
 
+#: Query terms up to which they are broadcast to the postings (a few dozen bytes each).
+BROADCAST_TERMS = 500_000
+
+
+def weighed_terms(terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, term, w) of the queries' terms that the collection holds, with the bucket where the postings have one;
+    written once, as its size decides how it meets the postings."""
+    w = terms.join(index.vocabulary, "term").select("query_id", "term", idf(index.stats[0], F.col("df")).alias("w"))
+    w = materialize(w.withColumn("bucket", term_bucket(F.col("term"), index.buckets)) if index.buckets else w, "terms")
+    return F.broadcast(w) if w.count() <= BROADCAST_TERMS else w
+
+
 def matches(terms: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
     """(query_id, doc_id, bm25, matched_terms) of every document that holds a term of the query."""
-    n, avgdl = index.stats
-    weighed = terms.join(index.vocabulary, "term").select("query_id", "term", idf(n, F.col("df")).alias("w"))
-    hits = index.postings.join(weighed, "term")
-    part = term_weight(F.col("w"), F.col("tf"), F.col("doc_length"), avgdl, p)
+    hits = index.postings.join(weighed_terms(terms, index), ["bucket", "term"] if index.buckets else "term")
+    part = term_weight(F.col("w"), F.col("tf"), F.col("doc_length"), index.stats[1], p)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
 
 

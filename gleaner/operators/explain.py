@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.functions.text import clean_spaces, sentences
 
@@ -95,3 +97,26 @@ def compact_context(text: Column, query: Column, most: int = 24_000) -> Column:
     kept = F.array_join(F.filter(rest, lambda s: F.exists(words, lambda w: F.contains(F.lower(s), w))), " ")
     tail = F.when(kept != "", kept).otherwise(F.substring(t, -room, room))
     return F.when(F.length(t) <= most, t).otherwise(clean_spaces(F.concat(F.substring(t, 1, half), F.lit(" ... "), F.substring(tail, 1, room))))
+
+
+def page_context(title: Column, url: Column, snippet: Column, texts: list[Column], query: Column, most: int = 24_000) -> Column:
+    """What a prompt tells about a page: title, URL, snippet and the first of ``texts`` that isn't blank, compacted."""
+    body = F.coalesce(*[F.nullif(clean_spaces(t), F.lit("")) for t in [*texts, snippet]], F.lit(""))
+    parts = [F.concat(F.lit(name), F.coalesce(c, F.lit(""))) for name, c in (("Title: ", title), ("URL: ", url), ("Snippet: ", snippet), ("Page text: ", compact_context(body, query, most)))]
+    return F.concat_ws("\n", *parts)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A text template whose ``{name}`` places are columns, for prompts and messages; nulls fill as empty."""
+    out, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        out += [F.lit(template[at : m.start()]), F.coalesce(values[m.group(1)].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def adapt_results(rows: DataFrame) -> DataFrame:
+    """Results for display: missing scores and ranks filled, matched terms once each in their order."""
+    score = F.coalesce(F.col("score"), F.col("bm25_score"), F.lit(0.0))
+    w = W.partitionBy("query_id").orderBy(score.desc(), "doc_id")
+    return rows.withColumn("rank", F.coalesce("rank", F.row_number().over(w))).withColumn("score", score).withColumn("matched_terms", F.array_distinct(F.coalesce("matched_terms", F.expr(EMPTY))))

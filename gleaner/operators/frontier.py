@@ -15,6 +15,7 @@ from gleaner.functions.html import extract_pages
 from gleaner.functions.lang import detect_language, looks_english
 from gleaner.functions.text import is_on_topic
 from gleaner.functions.urls import is_blacklisted, is_page_url, normalize_url, registrable_domain, url_key
+from gleaner.session import materialize
 
 # HTTP states that are worth another try, and how often.
 TRANSIENT = (429, 500, 502, 503, 504)
@@ -78,7 +79,8 @@ def route(links: DataFrame, seen: DataFrame, conf: Crawl = Crawl()) -> DataFrame
 
 def number_new(rows: DataFrame, last: int, column: str, order: list[str]) -> DataFrame:
     """``rows`` numbered from ``last + 1`` on in ``order``, by range-sorted partitions and their offsets, not by one task."""
-    spread = rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # written once, so that the counts and the rows come from one and the same split
+    spread = materialize(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
     counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_p", "_first", before.alias("_before"))

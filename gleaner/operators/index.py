@@ -1,7 +1,7 @@
 """The inverted index as tables: documents, postings, vocabulary and statistics.
 
-Terms are counted within each document before anything is shuffled, so a posting crosses the network once. Stored
-postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
+Documents are brought together by their id once; counting terms by (term, document) needs no further exchange, as each
+document lies in one partition. Stored postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
 """
 
 from __future__ import annotations
@@ -99,11 +99,13 @@ def summary(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """The tables that queries need. ``stats`` has one row and is read once."""
+    """The tables that queries need. ``stats`` has one row and is read once; ``buckets`` is set where the postings are stored
+    by bucket of the term, so that a query's terms prune the folders that are read."""
 
     docs: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    buckets: int | None = None
 
     @cached_property
     def stats(self) -> tuple[int, float]:
@@ -116,16 +118,21 @@ class Index:
         return self
 
     def save(self, path: str, buckets: int = BUCKETS) -> None:
-        """Write a new version of the index below ``path``."""
+        """Write the index below ``path``; what was there is replaced."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         by_term = self.postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).repartition(buckets, "bucket")
         by_term.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        meta = statistics(self.docs).withColumn("buckets", F.lit(buckets))
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         read = lambda t: spark.read.parquet(f"{path}/{t}")
-        return Index(read("docs"), read("postings"), read("vocabulary"))
+        meta = read("meta").first()
+        index = Index(read("docs"), read("postings"), read("vocabulary"), meta.buckets)
+        index.stats = (int(meta.n_docs), float(meta.avgdl))
+        return index
 
     @staticmethod
     def drop(spark: SparkSession, path: str) -> None:

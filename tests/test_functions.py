@@ -125,3 +125,10 @@ def test_html_table(spark):
     rows = {r.id: r for r in extract_pages(df).collect()}
     assert rows[1].headings == ["Head"] and rows[2].body == "" and rows[2].outgoing_links == []
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_sql(spark):
+    from gleaner.functions.register import register
+
+    assert "stem" in register(spark)
+    assert spark.sql("select stem('museums') s, damerau('ca', 'abc') d, nfkd_plain('ﬁ') n").first() == ("museum", 2, "fi")

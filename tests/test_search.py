@@ -141,3 +141,17 @@ def test_context(spark):
     text = "x" * 60 + ". The needle sentence is long enough to be kept here. " + "y " * 200
     df = spark.createDataFrame([(text, "needle"), ("short", "needle")], "t string, q string").select(E.compact_context(F.col("t"), F.col("q"), 240).alias("c")).collect()
     assert "needle sentence" in df[0].c and df[1].c == "short"
+
+
+def test_prompt_pieces(spark):
+    df = spark.createDataFrame([("T", "u", "s", None, "  ", "q")], "t string, u string, s string, a string, b string, q string")
+    r = df.select(E.page_context(F.col("t"), F.col("u"), F.col("s"), [F.col("a"), F.col("b")], F.col("q")).alias("c"), E.fill("<{x}|{y}>", x=F.col("t"), y=F.col("a")).alias("f")).first()
+    assert r.c == "Title: T\nURL: u\nSnippet: s\nPage text: s" and r.f == "<T|>"
+    rows = spark.createDataFrame([("q", 1, None, 0.5, None, ["b", "a", "b"]), ("q", 2, None, 0.9, None, None)], "query_id string, doc_id bigint, rank int, bm25_score double, score double, matched_terms array<string>")
+    assert [(r.doc_id, r.rank, r.score, r.matched_terms) for r in E.adapt_results(rows).orderBy("rank").collect()] == [(2, 1, 0.9, []), (1, 2, 0.5, ["b", "a"])]
+
+
+def test_broadcast_and_shuffle_agree(spark, index, monkeypatch):
+    want = {(r.doc_id, r.bm25_score) for r in run(spark, index, "castl museum")[1].collect()}
+    monkeypatch.setattr(R, "BROADCAST_TERMS", 0)
+    assert {(r.doc_id, r.bm25_score) for r in run(spark, index, "castl museum")[1].collect()} == want
