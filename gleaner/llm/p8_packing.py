@@ -96,13 +96,13 @@ def best_fit(histogram: dict[int, int], lengths: list[int]) -> list[tuple[int, t
     return out
 
 
-def pack_shard(doc_ids: list[int], tokens: list[int], spec: str, lengths: list[int], separator: int, shard: int) -> list[tuple]:
+def pack_shard(doc_ids: list[str | None], tokens: list[int], spec: str, lengths: list[int], separator: int, shard: int) -> list[tuple]:
     """Rows of ``SCHEMA`` for one shard and one table entry. A separator stands between two items of a container, so
     sizes and lengths are compared with one separator added to each."""
     top = max(lengths)
     rows, by_size = [], {}
     box = 0
-    for d, n in sorted(zip(doc_ids, tokens)):
+    for d, n in sorted(zip(doc_ids, tokens), key=lambda x: (x[0] is None, x[0] or "", x[1])):
         start = piece = 0
         while n - start > top:
             rows.append((spec, f"{spec}/{shard}/{box}", top, 0, d, piece, start, start + top))
@@ -124,16 +124,19 @@ def pack_shard(doc_ids: list[int], tokens: list[int], spec: str, lengths: list[i
 
 def pack(documents: DataFrame, specs: list[tuple[str, list[int], int]], vocabulary: str = VOCABULARY, shard_docs: int = SHARD) -> DataFrame:
     """Rows of ``SCHEMA``: every text of ``documents`` (doc_id, text) in containers of each of ``specs`` (name, permitted
-    lengths, separator tokens). Null ids count as an id of their own row by row; null and empty texts get no row."""
-    sizes = sized(documents, vocabulary=vocabulary).where("tokens > 0")
+    lengths, separator tokens). Texts with a null id are placed like any other; null and empty texts get no row."""
+    # ids travel as text, since a null would make pandas read whole numbers as floating ones
+    sizes = sized(documents, vocabulary=vocabulary).where("tokens > 0").withColumn("doc_id", F.col("doc_id").cast("string"))
     shards = max(1, round(documents.select("doc_id").count() / shard_docs))
+    schema = SCHEMA.replace("doc_id bigint", "doc_id string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = [-1 if pd.isna(d) else int(d) for d in pdf.doc_id]
+        ids = [None if pd.isna(d) else d for d in pdf.doc_id]
         rows = [r for name, lengths, sep in specs for r in pack_shard(ids, pdf.tokens.tolist(), name, lengths, sep, int(pdf.shard.iloc[0]))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, SCHEMA)
+    packed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def read_specs(table: DataFrame) -> list[tuple[str, int, int]]:

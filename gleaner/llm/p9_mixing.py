@@ -104,14 +104,14 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, vocab
     """The mixes and their shares.
 
     First: (mix_id, source, doc_id, tokens, uses), every text that a mix uses, at most ``max_repeats`` times. Second:
-    (mix_id, source, stated_share, target_share, reached_share, tokens, texts, uses). Texts without tokens or source are
+    (mix_id, source, stated_share, target_share, reached_share, tokens, texts, uses). Texts without tokens, source or id are
     never used; sources without text have a reached share of 0.
     """
     spark = documents.sparkSession
     rows = targets.where("mix_id is not null and source is not null").select("mix_id", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    docs = materialize(sized(documents.where("source is not null"), keep=("doc_id", "source"), vocabulary=vocabulary).where("tokens > 0"), "sizes")
+    docs = materialize(sized(documents.where("source is not null and doc_id is not null"), keep=("doc_id", "source"), vocabulary=vocabulary).where("tokens > 0"), "sizes")
     asked = sorted({r[1] for r in rows})
     wanted = F.col("source").isin(asked) if asked else F.lit(False)
     stats = {r[0]: (int(r[1]), int(r[2])) for r in docs.where(wanted).groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}

@@ -29,7 +29,7 @@ SAMPLE_PAGES = 4000
 REPEATED = 3
 
 WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE_END = re.compile(r"[.!?…]+[\"”’“»)]*(?=\s|$)")
+_SENTENCE_END = re.compile(r"(?<![.!?…])[.!?…]++[\"”’“»)]*(?=\s|$)")
 _LEAD = re.compile(r"^[\s»>*•·–—\-]+")
 _TRAIL = re.compile(r"(?:\s*(?:>+|»+|→|\[[^\[\]\s]{1,12}\]|\.\.\.|…))\s*$")
 _SEPARATOR = re.compile(r"\s+[|•·/»>–-]\s+|\s{2,}|\s*[|•·]\s*")
@@ -160,7 +160,7 @@ def core(line: str) -> tuple[str, int]:
         traces += cut != text.lstrip()
         text = cut
     if text[-1:] in _TRAILING:
-        cut = _TRAIL.sub("", text)
+        cut = text[:-40] + _TRAIL.sub("", text[-40:])
         traces += 2 * (cut != text)
         text = cut
     return text, traces
