@@ -48,17 +48,28 @@ def query_terms(analysed: DataFrame) -> DataFrame:
 BROADCAST_TERMS = 500_000
 
 
+#: Distinct terms up to which they are pushed into the scan of the postings, which are sorted by term.
+PUSHED_TERMS = 2_000
+
+
 def weighed_terms(terms: DataFrame, index: Index) -> DataFrame:
     """(query_id, term, w) of the queries' terms that the collection holds, with the bucket where the postings have one;
     written once, as its size decides how it meets the postings."""
     w = terms.join(index.vocabulary, "term").select("query_id", "term", idf(index.stats[0], F.col("df")).alias("w"))
-    w = materialize(w.withColumn("bucket", term_bucket(F.col("term"), index.buckets)) if index.buckets else w, "terms")
-    return F.broadcast(w) if w.count() <= BROADCAST_TERMS else w
+    return materialize(w.withColumn("bucket", term_bucket(F.col("term"), index.buckets)) if index.buckets else w, "terms")
 
 
 def matches(terms: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
     """(query_id, doc_id, bm25, matched_terms) of every document that holds a term of the query."""
-    hits = index.postings.join(weighed_terms(terms, index), ["bucket", "term"] if index.buckets else "term")
+    weighed, postings = weighed_terms(terms, index), index.postings
+    if weighed.count() <= BROADCAST_TERMS:
+        if index.buckets:
+            postings = postings.where(F.col("bucket").isin([r.bucket for r in weighed.select("bucket").distinct().collect()]))
+        wanted = weighed.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+        if 0 < len(wanted) <= PUSHED_TERMS:
+            postings = postings.where(F.col("term").isin([r.term for r in wanted]))
+        weighed = F.broadcast(weighed)
+    hits = postings.join(weighed, ["bucket", "term"] if index.buckets else "term")
     part = term_weight(F.col("w"), F.col("tf"), F.col("doc_length"), index.stats[1], p)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
 
