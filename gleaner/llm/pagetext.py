@@ -87,7 +87,7 @@ class PageModel:
     skeletons: dict[str, str] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
     openers: frozenset[str] = frozenset()  # those that open a list of other pages
     tags: frozenset[str] = frozenset()  # labels before lists of tags
-    ngrams: dict[str, float] = field(default_factory=dict)  # ln P(word class | three before), shorter ones as fallback
+    ngrams: dict[str, float] = field(default_factory=lambda: Ngrams())  # how surprising a word class is after three others
     prose: tuple[float, float] = (0.0, 1.0)  # mean and deviation of a token's surprise in paragraphs, for a line of 25
 
 
@@ -110,16 +110,20 @@ def class_string(text: str) -> str:
     return "".join(map(CLASSES.__getitem__, TOKEN.findall(text)))
 
 
+class Ngrams(dict):
+    """-ln P(class | three classes before) by n-gram; unseen ones fall back on the last two classes, and are kept."""
+
+    def __missing__(self, gram: str) -> float:
+        x = self.get(gram[-2:], UNSEEN) + 1.5
+        if len(self) < 100_000:
+            self[gram] = x
+        return x
+
+
 def surprise(m: PageModel, classes: str) -> float:
     """Sum over the tokens of -ln P(class | three classes before)."""
-    s, get, total = "^^^" + classes, m.ngrams.get, 0.0
-    for i in range(ORDER, len(s) + 1):
-        x = get(s[i - ORDER : i])
-        if x is None:
-            x = get(s[i - 2 : i])
-            x = (UNSEEN if x is None else x) + 1.5
-        total += x
-    return total
+    s = "^^^" + classes
+    return sum(map(m.ngrams.__getitem__, [s[i : i + ORDER] for i in range(len(classes))]))
 
 
 def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
@@ -139,6 +143,7 @@ def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
             one[s[i - 2]] += 1
     table = {k: -math.log((n + 0.1) / (three[k[:-1]] + 1.0)) for k, n in four.items()}
     table |= {k: -math.log((n + 0.1) / (one[k[0]] + 1.0)) for k, n in two.items()}
+    table = Ngrams(table)
     m = PageModel(ngrams=table)
     each = [surprise(m, s[3:]) / (len(s) - 3) for s in strings]
     mean = sum(each) / len(each) if each else 1.0
