@@ -84,6 +84,8 @@ def neg_log_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.ndar
 
 #: Pages delivered more than once up to which their ids are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Frequent terms that are broadcast with their counts (a few dozen bytes each).
+BROADCAST_TERMS = 50_000
 
 
 def one_per_page(pages: DataFrame) -> DataFrame:
@@ -130,11 +132,18 @@ def enrichment(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     asked = base if probes is None else base.join(probes.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     counted = asked.mapInArrow(_count_terms, "doc_id bigint, n int, term string, k bigint")
 
+    # Terms with at least N / BROADCAST_TERMS places are at most BROADCAST_TERMS, as all places together are N: the frequent
+    # terms, which hold most rows and would crowd a shuffle's partitions, are broadcast; only the rest is shuffled.
+    hot = totals.where(F.col("collection_k") >= big_n / BROADCAST_TERMS)
+    first = materialize(counted.join(F.broadcast(hot), "term", "left"), "counted")
+    rare = first.where("collection_k is null").drop("collection_k").join(totals, "term")
+
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(score=neg_log_tail(b.k, b.n, b.collection_k, np.full(len(b), big_n)))
 
-    rows = counted.join(totals, "term").select("doc_id", "term", "k", "n", "collection_k")
+    order = ["doc_id", "term", "k", "n", "collection_k"]
+    rows = first.where("collection_k is not null").select(*order).unionByName(rare.select(*order))
     return rows.mapInPandas(scored, "doc_id bigint, term string, k bigint, n int, collection_k bigint, score double")
 
 
