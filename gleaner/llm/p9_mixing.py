@@ -9,7 +9,7 @@ balanced sample with inclusion probability r - floor(r). The cube method moves t
 null space of the constraints (tokens and number of texts of the sample) until all but a few entries are 0 or 1: three
 texts at a time, two constraints, so there is always one direction to go. Sources are flown in shards of bounded size,
 what is left of the shards is flown again together, and the last two or three entries (the landing problem) are
-rounded so that the tokens come out closest.
+rounded so that the tokens come out closest. Large texts are decided first, so those entries are small ones.
 """
 
 from __future__ import annotations
@@ -63,6 +63,17 @@ def plan(targets: list[tuple[str, str, float, int]], stats: dict[str, int], size
     return out
 
 
+def exact_size(targets: list[tuple[str, str, float, int]], stats: dict[str, int]) -> int:
+    """The largest size at which every mix meets its targets, over the sources that have text: the scarcest source's cap
+    divided by its share."""
+    most = math.inf
+    for e in plan(targets, stats):
+        if e["target"] > 0:
+            repeats = min(r or 0 for m, s, _, r in targets if (m, s) == (e["mix_id"], e["source"]))
+            most = min(most, repeats * stats[e["source"]] / e["target"])
+    return 0 if most is math.inf else int(most)
+
+
 def fly(prob: list[float], size: list[float], rng: random.Random) -> list[int]:
     """The flight phase, in place: moves ``prob`` while three entries lie strictly between 0 and 1, keeping the sums of
     prob and of prob * size. Returns the entries that are left."""
@@ -100,11 +111,13 @@ def land(prob: list[float], size: list[float]) -> list[int]:
     return [best >> b & 1 for b in range(len(prob))]
 
 
-def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, vocabulary: str = VOCABULARY, shard_docs: int = SHARD, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, size: int | str | None = None, vocabulary: str = VOCABULARY, shard_docs: int = SHARD, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The mixes and their shares.
 
     First: (mix_id, source, doc_id, tokens, uses), every text that a mix uses, at most ``max_repeats`` times. Second:
-    (mix_id, source, stated_share, target_share, reached_share, tokens, texts, uses). Texts without tokens, source or id are
+    (mix_id, source, stated_share, target_share, reached_share, state, tokens, texts, uses), where the state is ``reached``
+    (within a point of the target), ``above`` (it took what others couldn't give), ``capped`` or ``absent``. ``size`` is in
+    tokens, None for all tokens of a mix's sources, or ``exact`` for the largest size that meets all targets. Texts without tokens, source or id are
     never used; sources without text have a reached share of 0.
     """
     spark = documents.sparkSession
@@ -115,17 +128,21 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, vocab
     asked = sorted({r[1] for r in rows})
     wanted = F.col("source").isin(asked) if asked else F.lit(False)
     stats = {r[0]: (int(r[1]), int(r[2])) for r in docs.where(wanted).groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}
-    entries = plan([tuple(r) for r in rows], {s: t for s, (t, _) in stats.items()}, size)
+    have = {s: t for s, (t, _) in stats.items()}
+    asked_for = [tuple(r) for r in rows]
+    if size == "exact":  # each mix by its own scarcest source
+        each = [[r for r in asked_for if r[0] == m] for m in sorted({r[0] for r in rows})]
+        entries = [e for own in each for e in plan(own, have, exact_size(own, have) or None)]
+    else:
+        entries = plan(asked_for, have, size)
     table = [(e["mix_id"], e["source"], float(math.floor(e["rate"] + EPS)), max(0.0, e["rate"] - math.floor(e["rate"] + EPS)), max(1, round(stats[e["source"]][1] / shard_docs))) for e in entries if e["rate"] > 0]
     rates = spark.createDataFrame(table, "mix_id string, source string, base double, p double, shards int")
     units = docs.join(F.broadcast(rates), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
 
     def start(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[float], list[float], random.Random]:
-        pdf = pdf.sort_values(["doc_id", "tokens"], kind="stable").reset_index(drop=True)
+        # the largest texts are decided first, so that the few entries which are left to be rounded are small
+        pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed} {pdf.mix_id.iloc[0]} {pdf.source.iloc[0]} {pdf.shard.iloc[0]}")
-        order = list(range(len(pdf)))
-        rng.shuffle(order)
-        pdf = pdf.iloc[order].reset_index(drop=True)
         return pdf, pdf.p.tolist(), pdf.tokens.astype(float).tolist(), rng
 
     columns = ["mix_id", "source", "doc_id", "tokens", "base", "p", "shard"]
@@ -161,16 +178,18 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, vocab
     goals = spark.createDataFrame([(e["mix_id"], e["source"], e["stated"], e["target"]) for e in entries], "mix_id string, source string, stated_share double, target_share double")
     sums = used.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"))
     whole = sums.groupBy("mix_id").agg(F.sum("tokens").alias("whole"))
+    reached = F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0))
+    state = F.when(F.col("target_share") == 0, "absent").when(F.abs(reached - F.col("target_share")) <= 0.01, "reached").when(reached > F.col("target_share"), "above").otherwise("capped")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shares = (
         goals.join(sums, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
-        .select("mix_id", "source", "stated_share", F.round("target_share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("reached_share"), zero("tokens"), zero("texts"), zero("uses"))
+        .select("mix_id", "source", "stated_share", F.round("target_share", 6).alias("target_share"), F.round(reached, 6).alias("reached_share"), state.alias("state"), zero("tokens"), zero("texts"), zero("uses"))
     )
     return used, shares
 
 
-def _run(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
+def _run(spark, sf_dir: str, size: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"), size)
 
 
 def p9_mix(spark, sf_dir: str) -> DataFrame:
@@ -181,5 +200,10 @@ def p9_shares(spark, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)[1]
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
+def p9_exact_shares(spark, sf_dir: str) -> DataFrame:
+    """The largest mixes that meet their targets."""
+    return _run(spark, sf_dir, "exact")[1]
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares}
 ORACLE: dict[str, str] = {}

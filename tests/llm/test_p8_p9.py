@@ -81,6 +81,8 @@ def test_plan():
     exact = {e["source"]: e["give"] for e in M.plan([("m", "a", 2.0, 1), ("m", "b", 1.0, 1)], {"a": 900, "b": 900}, 600)}
     assert exact == pytest.approx({"a": 400, "b": 200})
     assert M.plan([], {}) == []
+    assert M.exact_size([("m", "a", 3.0, 1), ("m", "b", 1.0, 2), ("m", "none", 1.0, 2)], {"a": 900, "b": 100}) == 800
+    assert M.exact_size([], {}) == 0
 
 
 def test_flight_keeps_totals():
@@ -118,5 +120,8 @@ def test_mix(spark):
     used, shares = M.mix(docs(spark, rows), targets.where("mix_id = 'm'"), size=1200, shard_docs=40)
     got = {r.source: r.reached_share for r in shares.collect()}
     assert got["small"] == pytest.approx(0.25, abs=0.02)
+    used, shares = M.mix(docs(spark, rows), targets.where("mix_id = 'm'"), size="exact", shard_docs=40)
+    got = {r.source: r for r in shares.collect()}
+    assert abs(got["small"].reached_share - 0.25) < 0.02 and got["small"].state == got["big"].state == "reached" and got["gone"].state == "absent"
     used, shares = M.mix(docs(spark, []), targets)
     assert used.count() == 0 and all(r.reached_share == 0 for r in shares.collect())
