@@ -186,7 +186,7 @@ def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES) -> list:
     The hash is cut at the share that gives about ``1.2 n`` pages, so however many tasks there are, they send no more than
     that to the driver together.
     """
-    have = pages.where("body is not null").count()
+    have = pages.count()
     span = 1 << 40
     cut = span if have <= 1.2 * n else int(span * 1.2 * n / have)
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(span))
