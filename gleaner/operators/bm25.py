@@ -53,16 +53,20 @@ PUSHED_TERMS = 2_000
 
 
 def weighed_terms(terms: DataFrame, index: Index) -> DataFrame:
-    """(query_id, term, w) of the queries' terms that the collection holds, with the bucket where the postings have one;
-    written once, as its size decides how it meets the postings."""
+    """(query_id, term, w, word, bit) of the queries' terms that the collection holds, with the bucket where the postings have
+    one. A query's terms are numbered as bits of 60 to a word. Written once, as its size decides how it meets the postings."""
     w = terms.join(index.vocabulary, "term").select("query_id", "term", idf(index.stats[0], F.col("df")).alias("w"))
+    n = F.row_number().over(W.partitionBy("query_id").orderBy("term")) - 1
+    w = w.withColumn("_n", n).withColumn("word", F.floor(F.col("_n") / 60).cast("int")).withColumn("bit", F.expr("shiftleft(1L, cast(_n % 60 as int))")).drop("_n")
     return materialize(w.withColumn("bucket", term_bucket(F.col("term"), index.buckets)) if index.buckets else w, "terms")
 
 
-def matches(terms: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
-    """(query_id, doc_id, bm25, matched_terms) of every document that holds a term of the query."""
-    weighed, postings = weighed_terms(terms, index), index.postings
-    if weighed.count() <= BROADCAST_TERMS:
+def _matches(weighed: DataFrame, index: Index, p: Bm25) -> tuple[DataFrame, int]:
+    """(query_id, doc_id, bm25, mask0, ...) of every document that holds a term of the query, and the number of masks: sums and
+    bit masks stay in the compiled hash aggregation, lists of terms wouldn't."""
+    postings = index.postings
+    size, words = weighed.agg(F.count(F.lit(1)), F.coalesce(F.max("word"), F.lit(0)) + 1).first()
+    if size <= BROADCAST_TERMS:
         if index.buckets:
             postings = postings.where(F.col("bucket").isin([r.bucket for r in weighed.select("bucket").distinct().collect()]))
         wanted = weighed.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
@@ -71,7 +75,29 @@ def matches(terms: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
         weighed = F.broadcast(weighed)
     hits = postings.join(weighed, ["bucket", "term"] if index.buckets else "term")
     part = term_weight(F.col("w"), F.col("tf"), F.col("doc_length"), index.stats[1], p)
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
+    masks = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"mask{i}") for i in range(words)]
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), *masks), words
+
+
+def _named(scored: DataFrame, weighed: DataFrame, words: int) -> DataFrame:
+    """``scored`` with the rising list ``matched_terms`` in place of the masks."""
+    own = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "word", "bit")).alias("_terms"))
+
+    def held(x):
+        out = F.lit(False)
+        for i in range(words):
+            out = out | ((x["word"] == i) & (F.col(f"mask{i}").bitwiseAND(x["bit"]) != 0))
+        return out
+
+    names = F.array_sort(F.transform(F.filter("_terms", held), lambda x: x["term"]))
+    return scored.join(own, "query_id").withColumn("matched_terms", names).drop("_terms", *[f"mask{i}" for i in range(words)])
+
+
+def matches(terms: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
+    """(query_id, doc_id, bm25, matched_terms) of every document that holds a term of the query."""
+    weighed = weighed_terms(terms, index)
+    found, words = _matches(weighed, index, p)
+    return _named(found, weighed, words)
 
 
 def top_k(scored: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
@@ -81,8 +107,17 @@ def top_k(scored: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     return best.withColumn("bm25_score", F.round("bm25", 4)).drop("bm25")
 
 
+def candidates(terms: DataFrame, index: Index, p: Bm25 = Bm25(), digits: int | None = None) -> DataFrame:
+    """The best k of each query; their matched terms are named after the cut. ``digits`` rounds scores before they are ranked,
+    for results that don't depend on the order in which a score was summed."""
+    weighed = weighed_terms(terms, index)
+    found, words = _matches(weighed, index, p)
+    if digits is not None:
+        found = found.withColumn("bm25", F.round("bm25", digits))
+    return _named(top_k(found, p), weighed, words)
+
+
 def retrieve(analysed: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:
     """Candidates with their documents' url, title and snippet, joined after the cut to k."""
-    best = top_k(matches(query_terms(analysed), index, p), p)
     docs = index.docs.select("doc_id", "url", "fetched_url", "canonical_url", "title", "snippet")
-    return best.join(docs, "doc_id", "left")
+    return candidates(query_terms(analysed), index, p).join(docs, "doc_id", "left")

@@ -1,17 +1,21 @@
 """The inverted index as tables: documents, postings, vocabulary and statistics.
 
-Documents are brought together by their id once; counting terms by (term, document) needs no further exchange, as each
-document lies in one partition. Stored postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
+Documents are brought together by their id once; terms are counted within each document, so postings need no exchange, and
+the vocabulary one of pre-aggregated counts. Stored postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.session import remove
+from gleaner.session import materialize, remove
 
 BUCKETS = 64
 
@@ -42,11 +46,35 @@ def metadata(documents: DataFrame) -> DataFrame:
     )
 
 
+def count_terms(rows: DataFrame, terms: str, count: str = "tf") -> DataFrame:
+    """The other columns of ``rows`` with each distinct term of the list column ``terms`` and how often it stands there.
+
+    Counted within the row, batch by batch on dictionary codes, so nothing is shuffled; null terms and lists don't count.
+    """
+    keep = [c for c in rows.columns if c != terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keep))
+            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            coded = lists.flatten().dictionary_encode()
+            code = np.asarray(pc.fill_null(coded.indices, -1)).astype(np.int64)
+            row, code = row[code >= 0], code[code >= 0]
+            width = max(1, len(coded.dictionary))
+            pair, n = np.unique(row * width + code, return_counts=True)
+            at = pa.array(pair // width)
+            cols = [*(b.column(i).take(at) for i in range(len(keep))), coded.dictionary.take(pa.array(pair % width)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "term", count])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "term string", f"{count} int"])
+    return rows.select(*keep, terms).mapInArrow(run, schema)
+
+
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """(term, doc_id, tf, doc_length): terms of title, headings and body together, the length of the body only."""
-    terms = F.filter(F.concat(_list("title_tokens"), _list("heading_tokens"), _list("body_tokens")), lambda t: t.isNotNull())
-    rows = documents.select("doc_id", doc_length().alias("doc_length"), F.explode(terms).alias("term"))
-    return rows.groupBy("term", "doc_id", "doc_length").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "doc_id", "tf", "doc_length")
+    terms = F.concat(_list("title_tokens"), _list("heading_tokens"), _list("body_tokens"))
+    return count_terms(documents.select("doc_id", doc_length().alias("doc_length"), terms.alias("terms")), "terms").select("term", "doc_id", "tf", "doc_length")
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
@@ -123,7 +151,7 @@ class Index:
         by_term = self.postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).repartition(buckets, "bucket")
         by_term.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        meta = statistics(self.docs).withColumn("buckets", F.lit(buckets))
+        meta = statistics(self.docs.sparkSession.read.parquet(f"{path}/docs")).withColumn("buckets", F.lit(buckets))
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
@@ -140,7 +168,8 @@ class Index:
 
 
 def build_index(documents: DataFrame) -> Index:
-    """The index of preprocessed documents; repeated rows of a document count once."""
-    docs = one_per_id(documents)
-    postings = term_frequencies(docs)
+    """The index of preprocessed documents; repeated rows of a document count once. Documents and postings are written to the
+    shared folder, since several of an index's users read them."""
+    docs = materialize(one_per_id(documents), "docs")
+    postings = materialize(term_frequencies(docs), "postings")
     return Index(metadata(docs), postings, vocabulary(postings))

@@ -56,12 +56,8 @@ def _corrected(spark, d: str, index: I.Index) -> DataFrame:
 def _found(spark, d: str) -> tuple[I.Index, DataFrame, DataFrame]:
     index = _index(spark, d)
     asked = _corrected(spark, d, index)
-    return index, asked, _top(R.matches(R.query_terms(asked), index))
-
-
-def _top(scored: DataFrame) -> DataFrame:
     # a sum's last bits depend on its order, so ties are cut off for the comparison
-    return R.top_k(scored.withColumn("bm25", F.round("bm25", 9)))
+    return index, asked, R.candidates(R.query_terms(asked), index, digits=9)
 
 
 def _joined(c, by: str = " "):

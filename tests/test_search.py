@@ -155,3 +155,11 @@ def test_broadcast_and_shuffle_agree(spark, index, monkeypatch):
     want = {(r.doc_id, r.bm25_score) for r in run(spark, index, "castl museum")[1].collect()}
     monkeypatch.setattr(R, "BROADCAST_TERMS", 0)
     assert {(r.doc_id, r.bm25_score) for r in run(spark, index, "castl museum")[1].collect()} == want
+
+
+def test_queries_of_many_terms(spark):
+    many = [f"t{i:03d}" for i in range(150)]
+    ix = I.build_index(spark.createDataFrame([doc(0, "", "", " ".join(many[::2])), doc(1, "", "", many[149])], SCHEMA))
+    asked = spark.createDataFrame([("q", "", many, 0)], "query_id string, query string, query_tokens array<string>, pos bigint")
+    got = {r.doc_id: r.matched_terms for r in R.retrieve(asked, ix).collect()}
+    assert got == {0: many[::2], 1: [many[149]]}
