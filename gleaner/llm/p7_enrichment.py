@@ -15,10 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gleaner.operators.index import count_terms
 from gleaner.session import materialize
 
 # Stirling's series: B(2j) / (2j (2j - 1)), j = 1..6.
@@ -102,23 +101,6 @@ def one_per_page(pages: DataFrame) -> DataFrame:
     return rows.join(many, "doc_id", "left_anti").unionByName(again)
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, term, k) of each page, counted within the page; null tokens don't count."""
-    for b in batches:
-        lists = b.column(1)
-        tokens = lists.flatten()
-        page = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
-        coded = tokens.dictionary_encode()
-        code = np.asarray(pc.fill_null(coded.indices, -1)).astype(np.int64)
-        page, code = page[code >= 0], code[code >= 0]
-        width = max(1, len(coded.dictionary))
-        n = np.bincount(page, minlength=b.num_rows)
-        pair, k = np.unique(page * width + code, return_counts=True)
-        page = pair // width
-        cols = [b.column(0).take(pa.array(page)), pa.array(n[page].astype(np.int32)), coded.dictionary.take(pa.array(pair % width)), pa.array(k)]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "term", "k"])
-
-
 def enrichment(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, k, n, collection_k, score): every term of the asked pages, scored.
 
@@ -130,7 +112,8 @@ def enrichment(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     totals = materialize(token.groupBy("term").agg(F.count(F.lit(1)).alias("collection_k")), "terms")
     big_n = totals.agg(F.coalesce(F.sum("collection_k"), F.lit(0))).first()[0]
     asked = base if probes is None else base.join(probes.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    counted = asked.mapInArrow(_count_terms, "doc_id bigint, n int, term string, k bigint")
+    own = asked.select("doc_id", F.size(F.filter("body_tokens", lambda t: t.isNotNull())).alias("n"), "body_tokens")
+    counted = count_terms(own, "body_tokens", "k").withColumn("k", F.col("k").cast("bigint"))
 
     # Terms with at least N / BROADCAST_TERMS places are at most BROADCAST_TERMS, as all places together are N: the frequent
     # terms, which hold most rows and would crowd a shuffle's partitions, are broadcast; only the rest is shuffled.
