@@ -38,8 +38,9 @@ class PageParser(HTMLParser):
     ``main`` where there is one, else of ``body``, else all.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, skipped: frozenset[str] = _SKIPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.title: list[str] | None = None
         self.headings: list[list[str]] = []
         self.canonical = self.lang = None
@@ -54,7 +55,7 @@ class PageParser(HTMLParser):
             self.lang = a.get("lang") or ""
         if tag == "link" and self.canonical is None and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
             self.canonical = a["href"]
-        if tag == "a" and a.get("href") is not None and not _SKIPPED.intersection(self.open):
+        if tag == "a" and a.get("href") is not None and not self.skipped.intersection(self.open):
             self.links.append(a["href"].strip())
         if tag in _VOID:
             return
@@ -75,7 +76,7 @@ class PageParser(HTMLParser):
             self.title.append(data)
         if self.headings and any(h in self.open for h in ("h1", "h2", "h3")):
             self.headings[-1].append(data)
-        if _SKIPPED.intersection(self.open):
+        if self.skipped.intersection(self.open):
             return
         self.text["all"].append(data)
         for area in ("body", "main"):
@@ -117,6 +118,18 @@ def extract(html: str | None, fetched_url: str) -> dict:
     }
 
 
+#: Parts of a page that don't belong to its text when it is read for a summary.
+FRAME = frozenset({"nav", "footer", "header"})
+
+
+def readable_text(html: str | None) -> str:
+    """A page's text without scripts, styles, drawings and the frame around it."""
+    p = PageParser(_SKIPPED | FRAME)
+    p.feed(html or "")
+    p.close()
+    return _joined(p.text["main" if "main" in p.seen else "body" if "body" in p.seen else "all"])
+
+
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "fetched_url") -> DataFrame:
     """``pages`` with the extracted fields beside; fields of the same name are replaced. Null HTML is an empty page."""
     new = [f.split()[0] for f in SCHEMA.split(", ")]

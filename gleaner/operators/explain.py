@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.functions.text import clean_spaces, sentences
 
+# The sentences that explain a result, by what they rest on.
+REASONS = {
+    "title": "Matched query term in title: ",
+    "heading": "Matched query term in headings: ",
+    "terms": "Matched indexed terms: ",
+    "field": "Title or heading Field Boost contributed",
+    "none": "BM25 found textual overlap with the query.",
+}
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -74,11 +82,11 @@ def why_reasons(query: Column, title: Column, heading: Column, body: Column, mat
     hits = lambda c: F.array_sort(F.array_intersect(F.array_distinct(query), F.coalesce(c, F.expr(EMPTY))))
     body_hits = F.when(F.size(hits(body)) > 0, hits(body)).otherwise(F.array_sort(F.array_distinct(F.coalesce(matched, F.expr(EMPTY)))))
     says = lambda c, s: F.when(F.size(c) > 0, F.concat(F.lit(s), F.array_join(c, ", ")))
-    out = [says(hits(title), "Matched query term in title: "), says(hits(heading), "Matched query term in headings: "), says(F.slice(body_hits, 1, 6), "Matched indexed terms: ")]
+    out = [says(hits(title), REASONS["title"]), says(hits(heading), REASONS["heading"]), says(F.slice(body_hits, 1, 6), REASONS["terms"])]
     if details is not None:
-        out.append(F.when(details["normalized_field_boost"] > 0, F.lit("Title or heading Field Boost contributed")))
+        out.append(F.when(details["normalized_field_boost"] > 0, F.lit(REASONS["field"])))
     found = F.array_compact(F.array(*out))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("BM25 found textual overlap with the query.")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(REASONS["none"])))
 
 
 def score_value(value: Column) -> Column:
@@ -115,6 +123,16 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*out, F.lit(template[at:]))
 
 
+def routed(mode: Column, templates: dict[str, str], default: str, **values: Column) -> Column:
+    """The template of a row's mode filled with its columns; other modes take the one named ``default``."""
+    out = None
+    for name, template in templates.items():
+        if name != default:
+            out = F.when(mode == name, fill(template, **values)) if out is None else out.when(mode == name, fill(template, **values))
+    last = fill(templates[default], **values)
+    return last if out is None else out.otherwise(last)
+
+
 def adapt_results(rows: DataFrame) -> DataFrame:
     """Results for display: missing scores and ranks filled, matched terms once each in their order."""
     score = F.coalesce(F.col("score"), F.col("bm25_score"), F.lit(0.0))

@@ -42,6 +42,28 @@ def fetch(claimed: DataFrame, fetcher: Callable[[str], Fetched], timeout: float
     return claimed.mapInArrow(run, schema)
 
 
+def call(rows: DataFrame, prompt: str, output: str, answer: Callable[[str], str], timeout: float = 30.0, threads: int = 4) -> DataFrame:
+    """``rows`` with what an outside text service answers to the column ``prompt``; null prompts aren't sent, and every failure
+    becomes an error text, so that one bad answer doesn't end a job."""
+    names = rows.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{output}` string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = ThreadPoolExecutor(threads)
+        for b in batches:
+            jobs = [None if p is None else pool.submit(answer, p) for p in b.column(names.index(prompt)).to_pylist()]
+            texts = []
+            for j in jobs:
+                try:
+                    texts.append(None if j is None else j.result(timeout))
+                except Exception as e:
+                    texts.append(f"error: {type(e).__name__}: {e}".rstrip(": "))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, output])
+        pool.shutdown(wait=False, cancel_futures=True)
+
+    return rows.mapInArrow(run, schema)
+
+
 def replay(claimed: DataFrame, web: DataFrame) -> DataFrame:
     """``claimed`` met with stored pages (url, status, content_type, html): a crawl without a network. Unknown URLs are 404."""
     pages = web.groupBy(url_key(F.col("url")).alias("_key")).agg(F.min_by(F.struct("url", "status", "content_type", "html"), "url").alias("_p"))

@@ -120,6 +120,12 @@ def test_html():
     assert extract("<p>a<svg>b</svg>c", "u")["body"] == "a c"
 
 
+def test_readable_text():
+    from gleaner.functions.html import readable_text
+
+    assert readable_text("<body><nav>n</nav>a<footer>f</footer><script>s</script></body>") == "a" and readable_text(None) == ""
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, PAGE, "https://a.de/x/y", "old"), (2, None, None, None)], "id bigint, html string, fetched_url string, title string")
     rows = {r.id: r for r in extract_pages(df).collect()}

@@ -147,6 +147,8 @@ def test_prompt_pieces(spark):
     df = spark.createDataFrame([("T", "u", "s", None, "  ", "q")], "t string, u string, s string, a string, b string, q string")
     r = df.select(E.page_context(F.col("t"), F.col("u"), F.col("s"), [F.col("a"), F.col("b")], F.col("q")).alias("c"), E.fill("<{x}|{y}>", x=F.col("t"), y=F.col("a")).alias("f")).first()
     assert r.c == "Title: T\nURL: u\nSnippet: s\nPage text: s" and r.f == "<T|>"
+    modes = spark.createDataFrame([("sum", "t"), ("other", "t"), (None, "t")], "m string, t string")
+    assert [x.p for x in modes.select(E.routed(F.col("m"), {"sum": "S {t}", "ask": "A {t}"}, "ask", t=F.col("t")).alias("p")).collect()] == ["S t", "A t", "A t"]
     rows = spark.createDataFrame([("q", 1, None, 0.5, None, ["b", "a", "b"]), ("q", 2, None, 0.9, None, None)], "query_id string, doc_id bigint, rank int, bm25_score double, score double, matched_terms array<string>")
     assert [(r.doc_id, r.rank, r.score, r.matched_terms) for r in E.adapt_results(rows).orderBy("rank").collect()] == [(2, 1, 0.9, []), (1, 2, 0.5, ["b", "a"])]
 

@@ -97,3 +97,20 @@ def test_robots(spark):
     urls = spark.createDataFrame([(u,) for u in ("https://a/no", "https://a/yes", "https://b/", "https://c/", "https://d/", "https://e/", None)], "url string")
     got = {r.url: r.allowed for r in H.robots_allowed(urls, robots, "x").collect()}
     assert got == {"https://a/no": False, "https://a/yes": True, "https://b/": False, "https://c/": True, "https://d/": True, "https://e/": True, None: True}
+
+
+def test_settings():
+    from gleaner.sources.settings import read_settings
+
+    s = read_settings({"GLEANER_STORAGE_KEY": "k", "GLEANER_STORAGE_URL": "no"}, environ={"GLEANER_STORAGE_URL": "https://s/", "GLEANER_STORAGE_BUCKET": "b"})
+    assert s.configured and s.path("x.json") == "https://s/b/x.json" and not read_settings(environ={}).configured
+
+
+def test_call(spark):
+    def answer(text):
+        if text == "bad":
+            raise ValueError("no")
+        return text.upper()
+
+    rows = spark.createDataFrame([("a",), ("bad",), (None,)], "prompt string")
+    assert {r.prompt: r.text for r in H.call(rows, "prompt", "text", answer).collect()} == {"a": "A", "bad": "error: ValueError: no", None: None}
