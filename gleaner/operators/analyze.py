@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.porter import stem_tokens
+from gleaner.operators.dedup import one_per_key
 
 
 @dataclass(frozen=True)
@@ -34,11 +35,8 @@ DEFAULT = Analyzer()
 
 def latest_pages(pages: DataFrame, by: str = "ingested_at") -> DataFrame:
     """One row a document: of rows delivered again the latest, of equal times the one with the greatest body."""
-    if by not in pages.columns:
-        return pages.dropDuplicates(["doc_id"])
-    rest = [c for c in pages.columns if c != "doc_id"]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(by), F.coalesce("body", F.lit(""))))
-    return pages.where("doc_id is not null").groupBy("doc_id").agg(best.alias("_r")).select("doc_id", "_r.*").select(*pages.columns)
+    time = [F.col(by)] if by in pages.columns else []
+    return one_per_key(pages, "doc_id", F.struct(*time, F.coalesce("body", F.lit(""))))
 
 
 def preprocess(pages: DataFrame, analyzer: Analyzer = DEFAULT, preview: int = 80) -> DataFrame:

@@ -1,7 +1,7 @@
 """The inverted index as tables: documents, postings, vocabulary and statistics.
 
-Documents are brought together by their id once; terms are counted within each document, so postings need no exchange, and
-the vocabulary one of pre-aggregated counts. Stored postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
+Only documents that came more than once are brought together by their id; terms are counted within each document, so
+postings need no exchange, and the vocabulary one of pre-aggregated counts. Stored postings are partitioned by a hash bucket of the term and sorted by it: a query reads its terms' buckets only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleaner.operators.dedup import one_per_key
 from gleaner.session import materialize, remove
 
 BUCKETS = 64
@@ -25,8 +26,11 @@ def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def one_per_id(documents: DataFrame) -> DataFrame:
-    """One row a document. Raises where a document lacks its id, as such a document can't be found again."""
-    return documents.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a document has no doc_id")).cast("bigint"))).dropDuplicates(["doc_id"])
+    """One row a document, of rows that differ the longest. Raises where a document lacks its id, as such a document can't be
+    found again."""
+    if not documents.where("doc_id is null").isEmpty():
+        raise ValueError("a document has no doc_id")
+    return one_per_key(documents, "doc_id", F.struct(doc_length(), F.coalesce("url", F.lit("")), F.coalesce("body_tokens", F.array().cast("array<string>"))))
 
 
 def doc_length() -> Column:

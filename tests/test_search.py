@@ -165,3 +165,16 @@ def test_queries_of_many_terms(spark):
     asked = spark.createDataFrame([("q", "", many, 0)], "query_id string, query string, query_tokens array<string>, pos bigint")
     got = {r.doc_id: r.matched_terms for r in R.retrieve(asked, ix).collect()}
     assert got == {0: many[::2], 1: [many[149]]}
+
+
+def test_one_per_key(spark, monkeypatch):
+    from gleaner.operators import dedup
+
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "d", 1), (3, None, None), (3, None, None), (2, "c", 1)], "k bigint, v string, t int")
+    want = [(1, "b"), (2, "c"), (3, None)]
+    assert sorted((r.k, r.v) for r in dedup.one_per_key(rows, "k", F.struct("t", "v")).collect()) == want
+    monkeypatch.setattr(dedup, "FEW_ROWS", -1)
+    assert sorted((r.k, r.v) for r in dedup.one_per_key(rows, "k", F.struct("t", "v")).collect()) == want
+    monkeypatch.setattr(dedup, "BROADCAST_KEYS", -1)
+    assert sorted((r.k, r.v) for r in dedup.one_per_key(rows, "k", F.struct("t", "v")).collect()) == want
+    assert dedup.one_per_key(rows.limit(0), "k", F.col("t")).count() == 0
