@@ -26,11 +26,12 @@ def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def one_per_id(documents: DataFrame) -> DataFrame:
-    """One row a document, of rows that differ the longest. Raises where a document lacks its id, as such a document can't be
+    """One row a document, of rows that differ the longest, then the one with fewest empty fields. Raises where a document lacks its id, as such a document can't be
     found again."""
     if not documents.where("doc_id is null").isEmpty():
         raise ValueError("a document has no doc_id")
-    return one_per_key(documents, "doc_id", F.struct(doc_length(), F.coalesce("url", F.lit("")), F.coalesce("body_tokens", F.array().cast("array<string>"))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return one_per_key(documents, "doc_id", F.struct(doc_length(), text("url"), text("canonical_url"), text("title"), F.greatest(F.size("outgoing_links"), F.lit(0)), _list("body_tokens")))
 
 
 def doc_length() -> Column:

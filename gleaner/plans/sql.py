@@ -26,7 +26,8 @@ PAGES = "pages as (select * from (select *, row_number() over (partition by doc_
 DOCS = """docs as (select doc_id, coalesce(url, '') as url, coalesce(fetched_url, '') as fetched_url, coalesce(canonical_url, '') as canonical_url,
   coalesce(title, '') as title, coalesce(snippet, '') as snippet, coalesce(title_tokens, []) as title_tokens, coalesce(heading_tokens, []) as heading_tokens,
   coalesce(body_tokens, []) as body_tokens, coalesce(body_length, len(coalesce(body_tokens, []))) as doc_length, coalesce(outgoing_links, []) as outgoing_links
-  from (select *, row_number() over (partition by doc_id order by url) as _r from preprocessed_pages) where _r = 1)"""
+  from (select *, row_number() over (partition by doc_id order by coalesce(body_length, len(coalesce(body_tokens, []))) desc, coalesce(url, '') desc,
+    coalesce(canonical_url, '') desc, coalesce(title, '') desc, len(coalesce(outgoing_links, [])) desc) as _r from preprocessed_pages) where _r = 1)"""
 POSTINGS = """places as (select doc_id, doc_length, unnest(list_concat(list_concat(title_tokens, heading_tokens), body_tokens)) as term from docs),
 postings as (select term, doc_id, doc_length, count(*) as tf from places where term is not null group by all),
 vocab as (select term, count(*) as df from postings group by term),
