@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.urls import site
 from gleaner.llm.p2_mojibake import readable
-from gleaner.llm.pagetext import PageModel, class_string, core, fit, label_lines, prepare, sample_pages, surprise
+from gleaner.llm.pagetext import STRONG, WORD, PageModel, class_string, core, fit, line_kind, own_headings, sample_pages, surprise
 
 #: Share of abnormal words from which a page is a case; fewest own words that are judged.
 SHARE = 0.5
@@ -26,38 +26,41 @@ MIN_WORDS = 8
 DEVIATIONS = 5.0
 
 
-def abnormal(m: PageModel, text: str) -> tuple[bool, int]:
-    """Whether a line (without its bullet) isn't prose, and its number of words: an entry of a few words that ends no
-    sentence, or any other line whose perplexity is abnormal."""
-    c = class_string(text)
-    words = sum(map(c.count, "flCAx"))
-    if not words:
-        return False, 0
+def abnormal(m: PageModel, c: str, words: int) -> bool:
+    """Whether a line isn't prose, by its class string (without its bullet) and number of words: an entry of a few words
+    that ends no sentence, or any other line whose perplexity is abnormal."""
     if words < 6 and "." not in c:
-        return True, words
+        return True
     mean, dev = m.prose
     room = DEVIATIONS * dev * max(1.0, (25 / len(c)) ** 0.5)
-    return abs(surprise(m, c) / len(c) - mean) > room, words
+    return abs(surprise(m, c) / len(c) - mean) > room
 
 
 def is_stuffed(m: PageModel, lines: list[str], headings: list[str] | None, host: str) -> tuple[bool, int, float]:
     """Whether a page is a case, with its own words and their abnormal share.
 
-    Lines are judged from the longest down; prose that outweighs all the page's other pieces settles the matter before
-    any line is labelled, as the lines set aside could only lower the share further.
+    Lines are labelled and judged from the longest down. The page's own prose settles the matter once it outweighs all the
+    page's other words, labelled or not: lines set aside later only take words from the other side.
     """
-    texts = [core(x)[0] for x in lines]
-    sizes = [x.count(" ") + 1 if x else 0 for x in texts]
-    total, good = sum(sizes), 0
-    verdict: dict[int, tuple[bool, int]] = {}
+    cores = [core(x) for x in lines]
+    classes = [class_string(text) for text, _ in cores]
+    sizes = [sum(map(c.count, "flCAx")) for c in classes]
+    own = own_headings(headings)
+    total, good, words, odd = sum(sizes), 0, 0, 0
     for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
-        verdict[i] = abnormal(m, texts[i])
-        good += 0 if verdict[i][0] else sizes[i]
-        if good >= (1 - SHARE) * total:
-            return False, total, 0.0
-    own = [verdict[i] for i, page in enumerate(label_lines(m, prepare(lines), headings, host, strong=True)) if not page]
-    words = sum(n for _, n in own)
-    share = sum(n for odd, n in own if odd) / words if words else 0.0
+        if not sizes[i]:
+            break
+        text, traces = cores[i]
+        if line_kind(m, text, traces, WORD.findall(text.lower()), own, host)[0] in STRONG:
+            continue
+        words += sizes[i]
+        if abnormal(m, classes[i], sizes[i]):
+            odd += sizes[i]
+        else:
+            good += sizes[i]
+            if good >= (1 - SHARE) * total:
+                return False, total, 0.0
+    share = odd / words if words else 0.0
     return words >= MIN_WORDS and share > SHARE, words, share
 
 

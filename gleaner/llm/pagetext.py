@@ -293,56 +293,58 @@ def regions(ratio: list[float]) -> list[bool]:
     return [x >= cut and x > 0 for x in smooth]
 
 
-def label_lines(m: PageModel, prepared: list[tuple[str, int, list[str]]], headings: list[str] | None, host: str, strong: bool = False) -> list[int]:
-    """For each prepared line 1 where it is not the page's own text, else 0; lines without letters get 0.
+#: Kinds of lines that show evidence of their own that they aren't the page's text, and headings.
+STRONG = frozenset({"opener", "page", "heading"})
 
-    With ``strong`` lines count that show evidence of their own, and headings; not those that their place gives away.
-    """
-    own = {core(h)[0] for h in headings if h} if headings else ()
-    n = len(prepared)
-    out, kind, ratio = [OWN] * n, [""] * n, [0.0] * n
+
+def own_headings(headings: list[str] | None) -> set[str]:
+    return {core(h)[0] for h in headings if h} if headings else set()
+
+
+def line_kind(m: PageModel, text: str, traces: int, words: list[str], own: set[str], host: str) -> tuple[str, float]:
+    """What a line shows by itself, whatever its place, and its text-to-tag ratio."""
+    if not words:
+        return "blank", 0.0
+    if text in own:
+        return "heading", 0.0
     weights, keys = m.weights, m.keys
     weight = weights.__getitem__
+    count = len(words)
+    s = sum(map(weight, words))
+    if host in words:
+        s += words.count(host) * (weight("§") - weight(host))
+    if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
+        s -= 2.0 * sum(w not in weights and w in text for w in words)
+    key = own_key(words, host) if count <= 40 else ""
+    if key not in keys and key and not text.isascii():  # wrongly decoded letters: compare what is left of the key
+        key = m.skeletons.get(_SKELETON.sub("", key), key)
+    if key in keys:
+        s = max(s, 0.0) + 6.0
+    if count <= 14 and _DATE.search(text):
+        s += 6.0
+    ended = text[-1] in ".!?…" or _SENTENCE_END.search(text) is not None
+    parts = ()
+    if not ended:
+        s, parts = _structure(m, text, s, host)
+    if count >= 9 and key not in keys and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not traces:
+        s = min(s, 0.0)
+    if s > 2.0:
+        return "opener" if key in m.openers else "page", 0.0
+    if traces >= 2:
+        return "teaser", 0.0
+    ratio = count / (1 + traces + max(0, len(parts) - 1))
+    if is_paragraph(text, words):
+        return "para", ratio
+    return "prose" if count >= 6 and (s < -6.0 or ended) else "short", ratio
+
+
+def label_lines(m: PageModel, prepared: list[tuple[str, int, list[str]]], headings: list[str] | None, host: str) -> list[int]:
+    """For each prepared line 1 where it is not the page's own text, else 0; lines without letters get 0."""
+    own = own_headings(headings)
+    n = len(prepared)
+    out, kind, ratio = [OWN] * n, [""] * n, [0.0] * n
     for i, (text, traces, words) in enumerate(prepared):
-        if not words:
-            kind[i] = "blank"
-            continue
-        if text in own:
-            kind[i] = "heading"
-            continue
-        count = len(words)
-        s = sum(map(weight, words))
-        if host in words:
-            s += words.count(host) * (weight("§") - weight(host))
-        if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
-            s -= 2.0 * sum(w not in weights and w in text for w in words)
-        key = own_key(words, host) if count <= 40 else ""
-        if key not in keys and key and not text.isascii():  # wrongly decoded letters: compare what is left of the key
-            key = m.skeletons.get(_SKELETON.sub("", key), key)
-        if key in keys:
-            s = max(s, 0.0) + 6.0
-        if count <= 14 and _DATE.search(text):
-            s += 6.0
-        ended = text[-1] in ".!?…" or _SENTENCE_END.search(text) is not None
-        parts = ()
-        if not ended:
-            s, parts = _structure(m, text, s, host)
-        if count >= 9 and key not in keys and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not traces:
-            s = min(s, 0.0)
-        if s > 2.0:
-            kind[i] = "opener" if key in m.openers else "page"
-        elif traces >= 2:
-            kind[i] = "teaser"
-        elif is_paragraph(text, words):
-            kind[i] = "para"
-        elif count >= 6 and (s < -6.0 or ended):
-            kind[i] = "prose"
-        else:
-            kind[i] = "short"
-        if kind[i] not in ("opener", "page", "teaser"):
-            ratio[i] = count / (1 + traces + max(0, len(parts) - 1))
-    if strong:
-        return [PAGE if k in ("opener", "page", "heading") else OWN for k in kind]
+        kind[i], ratio[i] = line_kind(m, text, traces, words, own, host)
     region = False
     last = max((i for i, k in enumerate(kind) if k in ("para", "heading")), default=-1)
     for i, k in enumerate(kind):

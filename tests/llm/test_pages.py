@@ -59,6 +59,18 @@ def test_stuffed(model, plain_pages, raw_pages):
     assert {r.doc_id for r in B.boilerplate_lines(raw_pages(*bad), model).collect()} == set()
 
 
+def test_stuffed_beside_notices(model, plain_pages):
+    """Boilerplate sentences outweigh the page's own keywords and may not speak for them, nor may tags without spaces."""
+    notices = [f"The {x} of Nowhere stands beside the notice and it is open to all members in spring." for x in ("form", "list", "map", "plan", "shop", "fund")]
+    m = T.fit(sample([p | {"body": "\n".join([*notices, p["body"]])} for p in plain_pages]))
+    lines = [*notices, *KEYWORDS[0].strip().rsplit(" ", 30)[:1]]
+    assert [T.line_kind(m, *T.prepare([x])[0], set(), "")[0] for x in notices] == ["page"] * 6
+    assert K.is_stuffed(m, lines, None, "")[0] and K.is_stuffed(m, lines[6:], None, "")[2] == 1.0
+    tags = "".join(f"#hotel#shoes#coupon{c}x" for c in "abcdefghijklmnop")
+    prose = "The old tower stands beside the river and it is open to all visitors in spring."
+    assert K.is_stuffed(model, [prose, tags], None, "")[0]
+
+
 SPEECH = {
     "en": "the old tower of the town is open to visitors and it stands beside the river with its garden",
     "de": "der alte Turm der Stadt ist für die Gäste offen und er steht neben dem Fluss mit seinem Garten",
