@@ -5,7 +5,7 @@ trained on paragraphs of a bounded sample of pages; lines whose perplexity per t
 aren't prose. A page is reported when most words of its own text (boilerplate lines set aside) stand in such lines, so
 sentences beside many links, list entries or tags don't make a case.
 
-Each page is judged by itself in one pass over the text: no shuffle but for making the ids distinct.
+Each page is judged by itself in one pass over the text, after one that counts the lines that pages repeat.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.urls import site
 from gleaner.llm.p2_mojibake import readable
-from gleaner.llm.pagetext import STRONG, WORD, PageModel, class_string, core, fit, line_kind, own_headings, sample_pages, surprise
+from gleaner.llm.pagetext import (
+    REPEATED, STRONG, LineTables, PageModel, class_string, fit, line_facts, line_kind, line_tables, own_headings, prepare, sample_pages, surprise,
+)
 
 #: Share of abnormal words from which a page is a case; fewest own words that are judged.
 SHARE = 0.5
@@ -36,28 +38,30 @@ def abnormal(m: PageModel, c: str, words: int) -> bool:
     return abs(surprise(m, c) / len(c) - mean) > room
 
 
-def is_stuffed(m: PageModel, lines: list[str], headings: list[str] | None, host: str) -> tuple[bool, int, float]:
+def is_stuffed(m: PageModel, lines: list[str], headings: list[str] | None, host: str, ready: list[tuple[str, int, list[str]]] | None = None) -> tuple[bool, int, float]:
     """Whether a page is a case, with its own words and their abnormal share.
 
     Lines are labelled and judged from the longest down. The page's own prose settles the matter once it outweighs all the
-    page's other words, labelled or not: lines set aside later only take words from the other side.
+    page's other words, labelled or not: lines set aside later only take words from the other side. Until a line is judged
+    its runs of letters stand for its words, which are never more. ``ready`` are the prepared lines, where they are at hand.
     """
-    cores = [core(x) for x in lines]
-    classes = [class_string(text) for text, _ in cores]
-    sizes = [sum(map(c.count, "flCAx")) for c in classes]
+    ready = ready or prepare(lines)
+    sizes = [len(words) for *_, words in ready]
     own = own_headings(headings)
     total, good, words, odd = sum(sizes), 0, 0, 0
     for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+        text = ready[i][0]
         if not sizes[i]:
             break
-        text, traces = cores[i]
-        if line_kind(m, text, traces, WORD.findall(text.lower()), own, host)[0] in STRONG:
+        if line_kind(m, *ready[i], own, host)[0] in STRONG:
             continue
-        words += sizes[i]
-        if abnormal(m, classes[i], sizes[i]):
-            odd += sizes[i]
+        c = class_string(text)
+        n = sum(map(c.count, "flCAx"))
+        words += n
+        if n and abnormal(m, c, n):
+            odd += n
         else:
-            good += sizes[i]
+            good += n
             if good >= (1 - SHARE) * total:
                 return False, total, 0.0
     share = odd / words if words else 0.0
@@ -78,13 +82,39 @@ def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
             yield d, body.split("\n") if "\r" not in body else [x.removesuffix("\r") for x in body.split("\n")], [readable(h) for h in headings if h] if headings else None, host
 
 
+def count_lines(pages: DataFrame) -> LineTables:
+    """The lines and labels that stand in ``REPEATED`` distinct documents or more, counted over all pages.
+
+    Only those reach the driver. A document delivered again counts once; a hot line is aggregated before its final count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, *x) for d, lines, headings, host in page_batches([b]) for x in line_facts(prepare(lines), headings, host)]
+            cols = zip(*rows) if rows else [()] * 6
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "front", "k", "z", "a", "o"])
+
+    facts = page_columns(pages).mapInArrow(run, "doc_id bigint, front boolean, k bigint, z bigint, a boolean, o boolean")
+    once = facts.groupBy("front", "k", "doc_id").agg(F.max("z").alias("z"), F.max("a").cast("int").alias("a"), F.max("o").cast("int").alias("o"))
+    each = once.groupBy("front", "k").agg(F.max("z").alias("z"), F.count(F.lit(1)).alias("docs"), F.sum("a").alias("a"), F.sum("o").alias("o"))
+    found = each.where(F.col("docs") >= REPEATED).toArrow()
+    return line_tables(zip(*(found.column(c).to_pylist() for c in ("front", "k", "z", "docs", "a", "o"))))
+
+
+def fit_pages(pages: DataFrame, sample: list | None = None) -> PageModel:
+    """The page model: lines counted over all pages, words and n-grams weighed on the sample, read as the lines are."""
+    sample = sample_pages(pages) if sample is None else sample
+    return fit([(host, [readable(h) for h in headings if h], readable(body), lang) for host, headings, body, lang in sample], count_lines(pages))
+
+
 def stuffed_pages(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     """(doc_id, words, share): pages whose own text is mainly keywords, link texts or tags.
 
     Null and empty bodies and pages of fewer than ``MIN_WORDS`` own words are never reported. Rows repeated for a page are
     judged alike; the distinct ids are returned. Columns beside those read don't matter.
     """
-    m = model or fit(sample_pages(pages))
+    m = model or fit_pages(pages)
     shared = pages.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

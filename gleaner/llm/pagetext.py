@@ -1,4 +1,6 @@
-"""What problems 3, 4 and 5 share: a page model fitted on a bounded sample, and the labels of a page's lines.
+"""What problems 3, 4 and 5 share: a page model, and the labels of a page's lines.
+
+Which lines pages repeat is counted over all pages (``count_lines``); word and n-gram weights come from a bounded sample.
 
 Lines are taken apart by the standard library's parser (a streaming ``HTMLParser``: left-over tags are events, the
 text between them is data). The traces that flattened markup leaves in plain text (separators of menus, bullets,
@@ -14,8 +16,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,8 +31,9 @@ from gleaner.llm.lexicon import ANY_FUNCTION, TOKEN, word_class
 
 #: Pages in the fitting sample (those with the lowest hash of their id), and characters of each that are read.
 SAMPLE_PAGES = 4000
-#: Pages of the sample in which a line must stand to count as repeated.
-REPEATED = 3
+#: Distinct documents in which a line must stand to count as repeated, whatever the table's size (as in problem 1; a line
+#: that reaches it on one site reaches it overall), and those from which the share of a line's followers is judged.
+REPEATED, OFTEN = 5, 10
 
 WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"(?<![.!?…])[.!?…]++[\"”’“»)]*(?=\s|$)")
@@ -71,6 +78,22 @@ def own_key(words: list[str], host: str) -> str:
     return " ".join("§" if w == host else w for w in words)
 
 
+def hashed(key: str) -> int:
+    """64 bits of a key, the same on every worker."""
+    return int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class Hashes:
+    """A set of hashed keys in eight bytes each."""
+
+    def __init__(self, keys: Iterable[int] = ()) -> None:
+        self.sorted = array("q", sorted(set(keys)))
+
+    def __contains__(self, key: int) -> bool:
+        i = bisect_left(self.sorted, key)
+        return i < len(self.sorted) and self.sorted[i] == key
+
+
 class Weights(dict):
     """Word evidence; words that the sample lacks have none."""
 
@@ -80,13 +103,13 @@ class Weights(dict):
 
 @dataclass
 class PageModel:
-    """Fitted tables; all are bounded by the sample."""
+    """Fitted tables. Those of words and n-grams are bounded by the sample, those of keys hold all repeated lines, hashed."""
 
     weights: Weights = field(default_factory=Weights)  # log odds of words: repeated line / paragraph
-    keys: frozenset[str] = frozenset()  # masked keys of repeated short lines
-    skeletons: dict[str, str] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
-    openers: frozenset[str] = frozenset()  # those that open a list of other pages
-    tags: frozenset[str] = frozenset()  # labels before lists of tags
+    keys: Hashes = field(default_factory=Hashes)  # masked keys of repeated short lines
+    skeletons: dict[int, int] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
+    openers: Hashes = field(default_factory=Hashes)  # those that open a list of other pages
+    tags: Hashes = field(default_factory=Hashes)  # labels before lists of tags
     ngrams: dict[str, float] = field(default_factory=lambda: Ngrams())  # how surprising a word class is after three others
     prose: tuple[float, float] = (0.0, 1.0)  # mean and deviation of a token's surprise in paragraphs, for a line of 25
 
@@ -198,53 +221,95 @@ def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES) -> list:
     return [(r.host or "", r.headings or [], r.body, r.language) for r in rows[:n]]
 
 
-def fit(sample: list) -> PageModel:
-    """Fit the word evidence from the sample itself: repeated lines against paragraphs, without labels."""
-    seen: dict[str, set[int]] = defaultdict(set)
-    labels, tagged, prose = Counter(), Counter(), []
-    parsed = []
-    for i, (host, headings, body, _) in enumerate(sample):
+def line_facts(ready: list[tuple[str, int, list[str]]], headings: list[str] | None, host: str) -> Iterator[tuple[bool, int, int | None, bool, bool]]:
+    """(front, key, skeleton, a, o) of a page's prepared lines: for each line whether it may open a list and whether one
+    follows, and for the label in front of a line (``front``) whether tags follow."""
+    own = {h.strip() for h in headings if h} if headings else ()
+    page = [x for x in ready if x[2]]
+    for j, (text, _, words) in enumerate(page):
+        if len(words) <= 40:
+            key = own_key(words, host)
+            short = len(words) <= 6 and j + 1 < len(page) and text not in own
+            yield False, hashed(key), skeleton(key), short, short and page[j + 1][1] >= 2
+        head = _LABEL.match(text)
+        if head:
+            front = own_key(WORD.findall(head.group(1).lower()), host)
+            if front:
+                yield True, hashed(front), skeleton(front), True, "," in text and not _SENTENCE_END.search(text)
+
+
+def skeleton(key: str) -> int | None:
+    """What wrong decoding leaves of a key with other than ASCII letters."""
+    left = "" if key.isascii() else _SKELETON.sub("", key)
+    return hashed(left) if left else None
+
+
+@dataclass
+class LineTables:
+    """What ``PageModel`` holds of the lines that pages repeat."""
+
+    keys: Hashes
+    skeletons: dict[int, int]
+    openers: Hashes
+    tags: Hashes
+
+
+def line_tables(rows: Iterable[tuple[bool, int, int | None, int, int, int]]) -> LineTables:
+    """From (front, key, skeleton, documents, a, o) of the lines and labels in ``REPEATED`` documents or more."""
+    keys, tags, openers, bare = [], [], [], []
+    for front, k, z, docs, a, o in rows:
+        if front:
+            if docs < OFTEN or o < 0.6 * docs:
+                continue
+            tags.append(k)
+        else:
+            keys.append(k)
+            if a >= OFTEN and o >= 0.15 * a:
+                openers.append(k)
+        if z is not None:
+            bare.append((front, docs, k, z))
+    return LineTables(Hashes(keys), {z: k for *_, k, z in sorted(bare)}, Hashes(openers), Hashes(tags))
+
+
+def count_sample(sample: list) -> LineTables:
+    """The counts of a sample that is all there is."""
+    docs, a, o, bare = Counter(), Counter(), Counter(), {}
+    for host, headings, body, _ in sample:
+        page = {}
+        for front, k, z, x, y in line_facts(prepare(body.split("\n")), headings, host):
+            bare[k] = z
+            had = page.get((front, k), (False, False))
+            page[front, k] = (had[0] or x, had[1] or y)
+        docs.update(page.keys())
+        for key, (x, y) in page.items():
+            a[key] += x
+            o[key] += y
+    return line_tables((*key, bare[key[1]], n, a[key], o[key]) for key, n in docs.items() if n >= REPEATED)
+
+
+def fit(sample: list, lines: LineTables | None = None) -> PageModel:
+    """Fit the word evidence: words of repeated lines against those of paragraphs, without labels. ``lines`` holds what the
+    whole table repeats; without it the sample is taken for the whole."""
+    lines = lines or count_sample(sample)
+    b, p, prose = Counter(), Counter(), []
+    for host, headings, body, _ in sample:
         own = {h.strip() for h in headings if h}
-        page = []
-        for line in body.split("\n"):
-            text, traces = core(line)
-            words = WORD.findall(text.lower())
-            if words:
-                key = own_key(words, host)
-                head = _LABEL.match(text)
-                if head:
-                    front = own_key(WORD.findall(head.group(1).lower()), host)
-                    labels[front] += 1
-                    tagged[front] += "," in text and not _SENTENCE_END.search(text)
-                page.append((key, words, traces, text in own, is_paragraph(text, words)))
-                if len(words) <= 40:
-                    seen[key].add(i)
-                if (page[-1][4] or len(words) >= 8 and _SENTENCE_END.search(text)) and not ANY_FUNCTION.isdisjoint(words):
-                    prose.append((key, text))
-        parsed.append(page)
-    repeated = {k for k, v in seen.items() if len(v) >= REPEATED}
-    b, p = Counter(), Counter()
-    after, opened = Counter(), Counter()
-    for page in parsed:
-        for j, (key, words, traces, heading, para) in enumerate(page):
-            if key in repeated and not heading:
+        for text, _, words in prepare(body.split("\n")):
+            if not words:
+                continue
+            key = own_key(words, host)
+            repeated = len(words) <= 40 and hashed(key) in lines.keys
+            para = is_paragraph(text, words)
+            if repeated and text not in own:
                 b.update(set(key.split()))
-                if len(words) <= 6 and j + 1 < len(page):
-                    after[key] += 1
-                    opened[key] += page[j + 1][2] >= 2
             elif para:
                 p.update(set(words))
+            if not repeated and (para or len(words) >= 8 and _SENTENCE_END.search(text)) and not ANY_FUNCTION.isdisjoint(words):
+                prose.append(text)
     nb, np_ = sum(b.values()) + 1, sum(p.values()) + 1
     weights = {w: math.log((b[w] + 0.3) / nb) - math.log((p[w] + 0.3) / np_) for w in b.keys() | p.keys() if b[w] + p[w] >= 3}
     weights = Weights({w: max(-4.0, min(4.0, x)) for w, x in weights.items()})
-    often = max(REPEATED, len(sample) // 400)
-    tags = frozenset(k for k, n in labels.items() if n >= often and tagged[k] >= 0.6 * n and k)
-    openers = frozenset(k for k, n in after.items() if n >= often and opened[k] >= 0.15 * n)
-    keys = frozenset(k for k in repeated if len(k.split()) <= 40)
-    skeletons = {_SKELETON.sub("", k): k for k in sorted(keys, key=lambda k: (len(seen[k]), k)) if not k.isascii()}
-    skeletons |= {_SKELETON.sub("", k): k for k in tags if not k.isascii()}
-    skeletons.pop("", None)
-    return PageModel(weights, keys, skeletons, openers, tags, *fit_prose([t for k, t in prose if k not in repeated]))
+    return PageModel(weights, lines.keys, lines.skeletons, lines.openers, lines.tags, *fit_prose(prose))
 
 
 OWN, PAGE = 0, 1
@@ -255,14 +320,15 @@ def _structure(m: PageModel, text: str, s: float, host: str) -> tuple[float, lis
     head = _LABEL.match(text)
     if head:
         front = WORD.findall(head.group(1).lower())
-        if front and (own_key(front, host) in m.tags or "�" in text and _SKELETON.sub("", own_key(front, host)) in m.skeletons or sum(map(m.weights.__getitem__, front)) >= 1.0):
+        key = own_key(front, host)
+        if front and (hashed(key) in m.tags or "�" in text and hashed(_SKELETON.sub("", key)) in m.skeletons or sum(map(m.weights.__getitem__, front)) >= 1.0):
             s = max(s, 0.0) + 4.0
     parts = [x for x in _SEPARATOR.split(text) if x]
     if len(parts) >= 3 and max(map(len, parts)) <= 40:
         s += 2.0 * len(parts)
     if len(parts) >= 2:
         front = WORD.findall(parts[0].lower())
-        if front and (own_key(front, host) in m.keys or sum(map(m.weights.__getitem__, front)) >= 3.0):
+        if front and (hashed(own_key(front, host)) in m.keys or sum(map(m.weights.__getitem__, front)) >= 3.0):
             s = max(s, 0.0) + 4.0
     return s, parts
 
@@ -315,10 +381,13 @@ def line_kind(m: PageModel, text: str, traces: int, words: list[str], own: set[s
         s += words.count(host) * (weight("§") - weight(host))
     if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
         s -= 2.0 * sum(w not in weights and w in text for w in words)
-    key = own_key(words, host) if count <= 40 else ""
-    if key not in keys and key and not text.isascii():  # wrongly decoded letters: compare what is left of the key
-        key = m.skeletons.get(_SKELETON.sub("", key), key)
-    if key in keys:
+    letters = own_key(words, host) if count <= 40 else ""
+    key = hashed(letters)
+    repeated = count <= 40 and key in keys
+    if not repeated and letters and not text.isascii():  # wrongly decoded letters: compare what is left of the key
+        key = m.skeletons.get(hashed(_SKELETON.sub("", letters)), key)
+        repeated = key in keys
+    if repeated:
         s = max(s, 0.0) + 6.0
     if count <= 14 and _DATE.search(text):
         s += 6.0
@@ -326,7 +395,7 @@ def line_kind(m: PageModel, text: str, traces: int, words: list[str], own: set[s
     parts = ()
     if not ended:
         s, parts = _structure(m, text, s, host)
-    if count >= 9 and key not in keys and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not traces:
+    if count >= 9 and not repeated and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not traces:
         s = min(s, 0.0)
     if s > 2.0:
         return "opener" if key in m.openers else "page", 0.0

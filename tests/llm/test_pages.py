@@ -71,6 +71,21 @@ def test_stuffed_beside_notices(model, plain_pages):
     assert K.is_stuffed(model, [prose, tags], None, "")[0]
 
 
+def test_repeats_are_counted_over_all_pages(raw_pages, plain_pages, monkeypatch):
+    """A small site's menu line outside the sample is known as repeated; four documents or one delivered again don't do."""
+    pages = [p | {"doc_id": 50 + p["doc_id"]} for p in plain_pages[:20]]
+    rare = [{"doc_id": i, "url": "https://small.example/x", "body": "Gläserne Klappe\nPrices Ünder Guarantee" if i < 4 else "Gläserne Klappe"} for i in range(5)]
+    rows = raw_pages(*pages, *rare, rare[0], rare[0])
+    monkeypatch.setattr(K, "sample_pages", lambda _: sample(pages))
+    m = K.fit_pages(rows)
+    assert T.hashed("gläserne klappe") in m.keys and T.hashed("prices ünder guarantee") not in m.keys
+    assert T.hashed("related pages") in m.openers and T.hashed("the tower of placeaa") not in m.keys
+    assert T.line_kind(m, *T.prepare(["Gl�serne Klappe"])[0], set(), "small")[0] == "page"
+    tables, alone = K.count_lines(raw_pages(*pages)), T.count_sample(sample(pages))
+    assert all(getattr(tables, f).sorted == getattr(alone, f).sorted for f in ("keys", "openers", "tags")) and tables.skeletons == alone.skeletons
+    assert not len(K.count_lines(raw_pages()).keys.sorted)
+
+
 SPEECH = {
     "en": "the old tower of the town is open to visitors and it stands beside the river with its garden",
     "de": "der alte Turm der Stadt ist für die Gäste offen und er steht neben dem Fluss mit seinem Garten",
