@@ -115,6 +115,20 @@ def test_held_out(crf):
     assert sure[0] == 0.0 and len(langs) == 2
 
 
+def test_words_beyond_the_bound(crf, monkeypatch):
+    """Lines labelled before the word cache is full keep their words' scores."""
+    rng = random.Random(6)
+    lines = [G.line_words(shuffled(lang, rng)) for lang in SPEECH for _ in range(20)]
+    crf.known.clear()
+    whole = G.label(crf, lines)
+    crf.known.clear()
+    monkeypatch.setattr(G, "KNOWN", 30)
+    for _ in range(2):
+        part = G.label(crf, lines)
+        assert (part[0] == whole[0]).all() and np.allclose(part[1], whole[1])
+    assert len(crf.known) == len({w for x in lines for w in x})
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(5)
     emit, moves, length = rng.normal(size=(3, 4, 5)), rng.normal(size=(5, 5)), np.array([4, 2, 1])
