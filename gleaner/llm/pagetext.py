@@ -106,7 +106,7 @@ class PageModel:
     """Fitted tables. Those of words and n-grams are bounded by the sample, those of keys hold all repeated lines, hashed."""
 
     weights: Weights = field(default_factory=Weights)  # log odds of words: repeated line / paragraph
-    keys: Hashes = field(default_factory=Hashes)  # masked keys of repeated short lines
+    keys: Hashes = field(default_factory=Hashes)  # masked keys of repeated lines
     skeletons: dict[int, int] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
     openers: Hashes = field(default_factory=Hashes)  # those that open a list of other pages
     tags: Hashes = field(default_factory=Hashes)  # labels before lists of tags
@@ -227,10 +227,9 @@ def line_facts(ready: list[tuple[str, int, list[str]]], headings: list[str] | No
     own = {h.strip() for h in headings if h} if headings else ()
     page = [x for x in ready if x[2]]
     for j, (text, _, words) in enumerate(page):
-        if len(words) <= 40:
-            key = own_key(words, host)
-            short = len(words) <= 6 and j + 1 < len(page) and text not in own
-            yield False, hashed(key), skeleton(key), short, short and page[j + 1][1] >= 2
+        key = own_key(words, host)
+        short = len(words) <= 6 and j + 1 < len(page) and text not in own
+        yield False, hashed(key), skeleton(key), short, short and page[j + 1][1] >= 2
         head = _LABEL.match(text)
         if head:
             front = own_key(WORD.findall(head.group(1).lower()), host)
@@ -298,7 +297,7 @@ def fit(sample: list, lines: LineTables | None = None) -> PageModel:
             if not words:
                 continue
             key = own_key(words, host)
-            repeated = len(words) <= 40 and hashed(key) in lines.keys
+            repeated = hashed(key) in lines.keys
             para = is_paragraph(text, words)
             if repeated and text not in own:
                 b.update(set(key.split()))
@@ -381,10 +380,10 @@ def line_kind(m: PageModel, text: str, traces: int, words: list[str], own: set[s
         s += words.count(host) * (weight("§") - weight(host))
     if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
         s -= 2.0 * sum(w not in weights and w in text for w in words)
-    letters = own_key(words, host) if count <= 40 else ""
+    letters = own_key(words, host)
     key = hashed(letters)
-    repeated = count <= 40 and key in keys
-    if not repeated and letters and not text.isascii():  # wrongly decoded letters: compare what is left of the key
+    repeated = key in keys
+    if not repeated and not text.isascii():  # wrongly decoded letters: compare what is left of the key
         key = m.skeletons.get(hashed(_SKELETON.sub("", letters)), key)
         repeated = key in keys
     if repeated:

@@ -7,6 +7,7 @@ import pytest
 
 from gleaner.llm import p3_boilerplate as B, p4_language as G, p5_stuffing as K, pagetext as T
 from gleaner.llm.lexicon import label_language
+from tests.llm.conftest import PROSE
 
 
 def sample(pages):
@@ -86,6 +87,16 @@ def test_repeats_are_counted_over_all_pages(raw_pages, plain_pages, monkeypatch)
     assert not len(K.count_lines(raw_pages()).keys.sorted)
 
 
+def test_long_repeated_line(plain_pages):
+    """A notice of more than 40 words on one line is known by its key, and isn't taken for a paragraph in the fit."""
+    notice = " ".join(PROSE[0].format("Nowhere") for _ in range(2))
+    assert len(notice.split()) > 40
+    m = T.fit(sample([p | {"body": p["body"] + "\n" + notice} for p in plain_pages]))
+    ready = T.prepare([*plain_pages[0]["body"].split("\n"), notice])
+    assert T.label_lines(m, ready, plain_pages[0]["headings"], "site0")[2:6] == [0] * 4
+    assert T.label_lines(m, ready, plain_pages[0]["headings"], "site0")[-1] == 1
+
+
 SPEECH = {
     "en": "the old tower of the town is open to visitors and it stands beside the river with its garden",
     "de": "der alte Turm der Stadt ist für die Gäste offen und er steht neben dem Fluss mit seinem Garten",
