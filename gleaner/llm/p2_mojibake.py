@@ -119,7 +119,7 @@ def suspicious(text: str) -> bool:
         return False
     doubtful = False
     for run in set(_RUN.findall(text)):
-        if not (_plain_run(run) if len(run) < 12 else _ORDINARY.fullmatch(run)):
+        if not (_plain_run if len(run) < 12 else _plain_run.__wrapped__)(run):  # long runs aren't kept
             return True
         doubtful = doubtful or not _DOUBTFUL.isdisjoint(run)
     return doubtful and _INSIDE.search(text) is not None

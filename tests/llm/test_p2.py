@@ -58,6 +58,15 @@ def test_found(raw_pages, lm):
     assert P.repaired(raw_pages(*rows), lm).count() == len(rows)
 
 
+@pytest.mark.parametrize("mark", "–“")
+def test_marks_in_a_row(raw_pages, lm, mark):
+    for n in (3, 4, 40):
+        text = f"The end {mark * n} of it."
+        broken = garble(text, "utf-8", "cp1252")
+        assert P.suspicious(broken) and not P.suspicious(text) and P.readable(broken) == text
+        assert P.garbled_fields(raw_pages({"doc_id": 1, "url": "https://a.example/", "body": broken}), lm).count() == 1
+
+
 def test_empty(raw_pages, lm):
     assert P.garbled_fields(raw_pages(), lm).count() == 0 and P.repaired(raw_pages(), lm).count() == 0
 
