@@ -454,4 +454,4 @@ def smart_summary(spark, d):
 
 @query()
 def prompt_context(spark, d):
-    return _shown(spark, d).select("query_id", "doc_id", E.compact_context(F.col("body"), F.col("query"), 1500).alias("context"))
+    return _shown(spark, d).select("query_id", "doc_id", E.compact_context(F.col("body"), F.col("query")).alias("context"))

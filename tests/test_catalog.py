@@ -24,3 +24,10 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["query_id", "doc_id", "rank", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prompt_context_is_whole(spark, monkeypatch):
+    shown = [("q", 1, "river", "The river. " * 1000), ("q", 2, "river", "The river. " * 3000)]
+    monkeypatch.setattr(catalog, "_shown", lambda s, _: s.createDataFrame(shown, "query_id string, doc_id bigint, query string, body string"))
+    got = {r.doc_id: r.context for r in catalog.QUERIES["prompt_context"](spark, SMALL).collect()}
+    assert got[1] == shown[0][3].strip() and 20_000 < len(got[2]) <= 24_000
