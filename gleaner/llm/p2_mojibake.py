@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pandas as pd
@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.urls import site
-from gleaner.llm.pagetext import sample_pages
 from gleaner.session import materialize
 
 #: Nats by which a field's units must gain from being read through the table.
@@ -148,13 +147,27 @@ def occurrences(text: str) -> Counter:
     return out
 
 
+def count_pairs(texts: Iterable[str]) -> Counter:
+    pairs: Counter = Counter()
+    for t in texts:
+        pairs.update(zip(t, t[1:]))
+    return pairs
+
+
 class Bigrams:
     """ln P(next sign | sign) of clean text, with a floor; an unknown neighbour ('') says nothing."""
 
-    def __init__(self, texts: list[str]) -> None:
-        pairs: Counter = Counter()
-        for t in texts:
-            pairs.update(zip(t, t[1:]))
+    def __init__(self, texts: Iterable[str]) -> None:
+        self._weigh(count_pairs(texts))
+
+    @classmethod
+    def of(cls, pairs: dict[tuple[str, str], int]) -> Bigrams:
+        """From counted pairs."""
+        m = cls.__new__(cls)
+        m._weigh(pairs)
+        return m
+
+    def _weigh(self, pairs: dict[tuple[str, str], int]) -> None:
         first = Counter()
         for (a, _), n in pairs.items():
             first[a] += n
@@ -171,8 +184,17 @@ class Bigrams:
 
 
 def fit_bigrams(pages: DataFrame) -> Bigrams:
-    """From the clean bodies of the bounded sample."""
-    return Bigrams([b for _, _, b, _ in sample_pages(pages) if not suspicious(b)])
+    """From all clean titles and bodies; each task sends one count of a pair, and the driver gets the sums alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        for b in batches:
+            pairs.update(count_pairs(x for c in b.columns for x in c.to_pylist() if x and not suspicious(x)))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array(pairs.values(), pa.int64())], names=["a", "b", "n"])
+
+    counts = pages.where("doc_id is not null").select("title", "body").mapInArrow(run, "a string, b string, n bigint")
+    sums = counts.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    return Bigrams.of({(a, b): n for a, b, n in zip(*(sums.column(c).to_pylist() for c in ("a", "b", "n")))})
 
 
 def learn_table(rows: list[tuple[str, str, str, int]], lm: Bigrams) -> dict[str, tuple[str, float]]:

@@ -67,6 +67,14 @@ def test_marks_in_a_row(raw_pages, lm, mark):
         assert P.garbled_fields(raw_pages({"doc_id": 1, "url": "https://a.example/", "body": broken}), lm).count() == 1
 
 
+def test_bigrams_of_all_fields(raw_pages):
+    """Every clean field counts, titles too; garbled ones don't."""
+    rows = [{"doc_id": i, "url": "https://a.example/", "title": "ñu" if i == 7 else None, "body": "x" + chr(97 + i % 26) + chr(97 + i // 26)} for i in range(60)]
+    got = P.fit_bigrams(raw_pages(*rows, {"doc_id": 99, "body": garble("Brücke", "utf-8", "cp1252")}, {"doc_id": 98}))
+    assert got.table == P.Bigrams([t for r in rows for t in (r["title"], r["body"]) if t]).table and ("ñ", "u") in got.table
+    assert P.fit_bigrams(raw_pages()).table == {}
+
+
 def test_empty(raw_pages, lm):
     assert P.garbled_fields(raw_pages(), lm).count() == 0 and P.repaired(raw_pages(), lm).count() == 0
 
