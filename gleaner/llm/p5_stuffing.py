@@ -1,9 +1,10 @@
 """Problem 5: keyword-stuffed and link-list pages.
 
-Every word becomes a class (function word, lower case, capital, number, mark, ...). A 4-gram model of class sequences is
-trained on paragraphs of a bounded sample of pages; lines whose perplexity per token is abnormally high or low under it
-aren't prose. A page is reported when most words of its own text (boilerplate lines set aside) stand in such lines, so
-sentences beside many links, list entries or tags don't make a case.
+Every word becomes a class (function word, lower case, capital, number, mark, ...). A 4-gram model of class sequences with
+their ends is trained on paragraphs of a bounded sample of pages; lines whose perplexity per token is abnormally high or low
+under it aren't prose, whatever their length: a heap of words without a full stop has an end that no prose has. A page is
+reported when most words of its own text (boilerplate lines set aside) stand in such lines, so sentences beside many links,
+list entries or tags don't make a case; the page's outgoing links count beside its words, each a little.
 
 Each page is judged by itself in one pass over the text, after one that counts the lines that pages repeat.
 """
@@ -13,119 +14,88 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.functions.urls import site
-from gleaner.llm.p2_mojibake import readable
-from gleaner.llm.pagetext import (
-    REPEATED, STRONG, LineTables, PageModel, class_string, fit, line_facts, line_kind, line_tables, own_headings, prepare, sample_pages, surprise,
-)
+from gleaner.llm.pagescan import Fitted, fit_pages, for_page, page_rows
+from gleaner.llm.pagetext import Line, PageModel, class_string, own_headings, read_line, surprise
 
 #: Share of abnormal words from which a page is a case; fewest own words that are judged.
 SHARE = 0.5
 MIN_WORDS = 8
+#: Abnormal words that an outgoing link stands for.
+LINK_WORDS = 0.25
 #: Deviations from prose beyond which a line is abnormal, for a line of 25 tokens; shorter lines get more room.
 DEVIATIONS = 5.0
 
 
-def abnormal(m: PageModel, c: str, words: int) -> bool:
-    """Whether a line isn't prose, by its class string (without its bullet) and number of words: an entry of a few words
-    that ends no sentence, or any other line whose perplexity is abnormal."""
-    if words < 6 and "." not in c:
-        return True
+def abnormal(m: PageModel, c: str) -> bool:
+    """Whether a line isn't prose, by the perplexity of its class string (without its bullet)."""
     mean, dev = m.prose
     room = DEVIATIONS * dev * max(1.0, (25 / len(c)) ** 0.5)
-    return abs(surprise(m, c) / len(c) - mean) > room
+    return abs(surprise(m, c) - mean) > room
 
 
-def is_stuffed(m: PageModel, lines: list[str], headings: list[str] | None, host: str, ready: list[tuple[str, int, list[str]]] | None = None) -> tuple[bool, int, float]:
-    """Whether a page is a case, with its own words and their abnormal share.
+def judged(m: PageModel, x: Line) -> tuple[int, bool]:
+    """A line's words and whether it is abnormal; kept with the line."""
+    if x.judged is None:
+        c = class_string(x.text)
+        n = sum(map(c.count, "flCAx"))
+        x.judged = n, n > 0 and abnormal(m, c)
+    return x.judged
+
+
+def is_stuffed(m: PageModel, lines: list[Line], headings: list[str] | None, links: int = 0) -> tuple[bool, int, float]:
+    """Whether a page is a case, with its own words and the abnormal share of them and its links.
 
-    Lines are labelled and judged from the longest down. The page's own prose settles the matter once it outweighs all the
-    page's other words, labelled or not: lines set aside later only take words from the other side. Until a line is judged
-    its runs of letters stand for its words, which are never more. ``ready`` are the prepared lines, where they are at hand.
+    Lines are judged from the longest down. The page's own prose settles the matter once it outweighs all the page's other
+    words, judged or not, and the links: lines set aside later only take words from the other side. Until a line is judged its
+    runs of letters stand for its words, which are never more.
     """
-    ready = ready or prepare(lines)
-    sizes = [len(words) for *_, words in ready]
     own = own_headings(headings)
-    total, good, words, odd = sum(sizes), 0, 0, 0
-    for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
-        text = ready[i][0]
-        if not sizes[i]:
+    weight = LINK_WORDS * max(0, links)
+    total, good, words, odd = sum(len(x.words) for x in lines), 0, 0, 0
+    for x in sorted(lines, key=lambda x: len(x.words), reverse=True):
+        if not x.words:
             break
-        if line_kind(m, *ready[i], own, host)[0] in STRONG:
+        if x.strong or x.text in own:
             continue
-        c = class_string(text)
-        n = sum(map(c.count, "flCAx"))
+        n, wrong = judged(m, x)
         words += n
-        if n and abnormal(m, c, n):
+        if wrong:
             odd += n
         else:
             good += n
-            if good >= (1 - SHARE) * total:
+            if good >= (1 - SHARE) * (total + weight):
                 return False, total, 0.0
-    share = odd / words if words else 0.0
-    return words >= MIN_WORDS and share > SHARE, words, share
-
+    share = (odd + weight) / (words + weight) if words else 0.0
+    return words >= MIN_WORDS and odd > 0 and share > SHARE, words, share
 
-def page_columns(pages: DataFrame) -> DataFrame:
-    """What the page problems read: (doc_id, host, headings, body) of pages with a body."""
-    host = F.coalesce(F.substring_index(site(F.col("url")), ".", 1), F.lit(""))
-    return pages.where("doc_id is not null and body is not null and body != ''").select("doc_id", host.alias("host"), "headings", "body")
 
+def link_count() -> Column:
+    """Outgoing links of a page; none where the list is null."""
+    return F.coalesce(F.size("outgoing_links"), F.lit(0)).alias("links")
 
-def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[str] | None, str]]:
-    """(doc_id, lines, headings, host) of each page, wrongly decoded text read back."""
-    for b in batches:
-        for d, host, headings, body in zip(*(c.to_pylist() for c in b.columns)):
-            body = readable(body)
-            yield d, body.split("\n") if "\r" not in body else [x.removesuffix("\r") for x in body.split("\n")], [readable(h) for h in headings if h] if headings else None, host
-
-
-def count_lines(pages: DataFrame) -> LineTables:
-    """The lines and labels that stand in ``REPEATED`` distinct documents or more, counted over all pages.
-
-    Only those reach the driver. A document delivered again counts once; a hot line is aggregated before its final count.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, *x) for d, lines, headings, host in page_batches([b]) for x in line_facts(prepare(lines), headings, host)]
-            cols = zip(*rows) if rows else [()] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "front", "k", "z", "a", "o"])
-
-    facts = page_columns(pages).mapInArrow(run, "doc_id bigint, front boolean, k bigint, z bigint, a boolean, o boolean")
-    once = facts.groupBy("front", "k", "doc_id").agg(F.max("z").alias("z"), F.max("a").cast("int").alias("a"), F.max("o").cast("int").alias("o"))
-    each = once.groupBy("front", "k").agg(F.max("z").alias("z"), F.count(F.lit(1)).alias("docs"), F.sum("a").alias("a"), F.sum("o").alias("o"))
-    found = each.where(F.col("docs") >= REPEATED).toArrow()
-    return line_tables(zip(*(found.column(c).to_pylist() for c in ("front", "k", "z", "docs", "a", "o"))))
-
-
-def fit_pages(pages: DataFrame, sample: list | None = None) -> PageModel:
-    """The page model: lines counted over all pages, words and n-grams weighed on the sample, read as the lines are."""
-    sample = sample_pages(pages) if sample is None else sample
-    return fit([(host, [readable(h) for h in headings if h], readable(body), lang) for host, headings, body, lang in sample], count_lines(pages))
-
-
-def stuffed_pages(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
+def stuffed_pages(pages: DataFrame, model: Fitted | None = None) -> DataFrame:
     """(doc_id, words, share): pages whose own text is mainly keywords, link texts or tags.
 
     Null and empty bodies and pages of fewer than ``MIN_WORDS`` own words are never reported. Rows repeated for a page are
     judged alike; the distinct ids are returned. Columns beside those read don't matter.
     """
     m = model or fit_pages(pages)
-    shared = pages.sparkSession.sparkContext.broadcast(m)
+    shared = pages.sparkSession.sparkContext.broadcast(m.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, shares = [], [], []
-        for d, lines, headings, host in page_batches(batches):
-            found, n, share = is_stuffed(shared.value, lines, headings, host)
-            if found:
-                ids.append(d), words.append(n), shares.append(share)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "words", "share"])
-
-    found = page_columns(pages).mapInArrow(run, "doc_id bigint, words bigint, share double")
+        for b in batches:
+            ids, words, shares = [], [], []
+            for d, host, headings, lines, known, links in page_rows(b):
+                page = for_page(shared.value, known)
+                found, n, share = is_stuffed(page, [read_line(page, x, host) for x in lines], headings, links)
+                if found:
+                    ids.append(d), words.append(n), shares.append(share)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "words", "share"])
+
+    found = m.columns(pages, link_count()).mapInArrow(run, "doc_id bigint, words bigint, share double")
     return found.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("share").alias("share"))
 
 

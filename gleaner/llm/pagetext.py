@@ -1,15 +1,20 @@
-"""What problems 3, 4 and 5 share: a page model, and the labels of a page's lines.
+"""What problems 3, 4 and 5 share: a page model, and which of a page's lines are its own text.
 
-Which lines pages repeat is counted over all pages (``count_lines``); word and n-gram weights come from a bounded sample.
+Each line is taken apart by the standard library's parser (a streaming ``HTMLParser``: left-over tags are events, the text
+between them is data). The bodies were flattened before they came, so most of the tags are gone; what can still be known of
+them enters the text-to-tag ratio of a line:
 
-Lines are taken apart by the standard library's parser (a streaming ``HTMLParser``: left-over tags are events, the
-text between them is data). The traces that flattened markup leaves in plain text (separators of menus, bullets,
-arrows, "[more]" marks) count as tags as well. Each line gets
+* *text*: the words expected to be the page's own, that is the line's words times the probability that they are, by word
+  evidence (naive-Bayes log odds of "line that many pages repeat" against "paragraph"); words inside a list of links are none;
+* *tags*: 1, those met, the traces that flattened markup leaves (separators of menus, bullets, arrows, "[more]" marks), and
+  one for each nat by which the line looks like one that many pages repeat.
 
-* a text-to-tag ratio: words against 1 + tag traces,
-* word evidence: naive-Bayes log odds of "line that many pages repeat" against "paragraph",
+The logarithm of the ratio is smoothed over the neighbouring lines by a Gaussian, and the smoothed values of a page are split
+by the threshold between two clusters (``regions``), whose centres are fitted on the sample and moved by the page's own lines.
+Every line of every page is decided by its cluster, by nothing else.
 
-and the smoothed sequence decides on the lines that show neither.
+Which lines pages repeat is counted over all pages (``pagescan.count_lines``); word and n-gram weights come from a bounded
+sample.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ import re
 from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from gleaner.functions.urls import site
 from gleaner.llm.lexicon import ANY_FUNCTION, TOKEN, word_class
@@ -35,12 +40,14 @@ SAMPLE_PAGES = 4000
 #: that reaches it on one site reaches it overall), and those from which the share of a line's followers is judged.
 REPEATED, OFTEN = 5, 10
 
+#: Short lines whose evidence a worker keeps, and how short.
+KNOWN, SHORT = 40_000, 200
+
 WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"(?<![.!?…])[.!?…]++[\"”’“»)]*(?=\s|$)")
 _LEAD = re.compile(r"^[\s»>*•·–—\-]+")
-_TRAIL = re.compile(r"(?:\s*(?:>+|»+|→|\[[^\[\]\s]{1,12}\]|\.\.\.|…))\s*$")
+_BRACKET = re.compile(r"\[[^\[\]\s]{1,12}\]")
 _SEPARATOR = re.compile(r"\s+[|•·/»>–-]\s+|\s{2,}|\s*[|•·]\s*")
-_SKELETON = re.compile(r"[^a-z§]+")
 _LABEL = re.compile(r"^([^:\d]{2,24}?)\s*(?::|\s[-–])\s+\S")
 _DATE = re.compile(r"\b\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|\b\d{1,2}\.?\s+[^\W\d_]{3,10}\s+(?:19|20)\d\d\b|\b(?:19|20)\d\d-\d\d-\d\d\b")
 
@@ -75,12 +82,12 @@ def parse_line(line: str) -> tuple[str, int]:
 
 def own_key(words: list[str], host: str) -> str:
     """Key of a line whatever its marks, digits and case; the site's own name is masked."""
-    return " ".join("§" if w == host else w for w in words)
+    return " ".join(["§" if w == host else w for w in words] if host in words else words)
 
 
-def hashed(key: str) -> int:
+def hashed(key: str | bytes) -> int:
     """64 bits of a key, the same on every worker."""
-    return int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+    return xxh64_intdigest(key) - (1 << 63)
 
 
 class Hashes:
@@ -101,17 +108,30 @@ class Weights(dict):
         return 0.0
 
 
+@dataclass
+class LineTables:
+    """The lines that pages repeat. Of those of a whole collection, or of those that one page's lines may be looked up in."""
+
+    keys: Container[int] = field(default_factory=Hashes)  # masked keys of repeated lines
+    skeletons: dict[int, int] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
+    openers: Container[int] = field(default_factory=Hashes)  # those that open a list of other pages
+    tags: Container[int] = field(default_factory=Hashes)  # labels before lists of tags
+
+
 @dataclass
 class PageModel:
-    """Fitted tables. Those of words and n-grams are bounded by the sample, those of keys hold all repeated lines, hashed."""
+    """Fitted tables. Those of words and n-grams are bounded by the sample; ``lines`` is set for each page where the
+    collection's repeated lines are too many to be sent to every worker."""
 
     weights: Weights = field(default_factory=Weights)  # log odds of words: repeated line / paragraph
-    keys: Hashes = field(default_factory=Hashes)  # masked keys of repeated lines
-    skeletons: dict[int, int] = field(default_factory=dict)  # ASCII letters of the keys that hold others -> key
-    openers: Hashes = field(default_factory=Hashes)  # those that open a list of other pages
-    tags: Hashes = field(default_factory=Hashes)  # labels before lists of tags
+    lines: LineTables = field(default_factory=LineTables)
     ngrams: dict[str, float] = field(default_factory=lambda: Ngrams())  # how surprising a word class is after three others
     prose: tuple[float, float] = (0.0, 1.0)  # mean and deviation of a token's surprise in paragraphs, for a line of 25
+    centres: tuple[float, float] = (-2.5, 2.8)  # of the smoothed ratio, in boilerplate and content
+    seen: dict[str, Line] = field(default_factory=dict)  # evidence of short lines, kept by each worker
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
 
 
 class _Classes(dict):
@@ -144,9 +164,10 @@ class Ngrams(dict):
 
 
 def surprise(m: PageModel, classes: str) -> float:
-    """Sum over the tokens of -ln P(class | three classes before)."""
-    s = "^^^" + classes
-    return sum(map(m.ngrams.__getitem__, [s[i : i + ORDER] for i in range(len(classes))]))
+    """Mean over a line's tokens and its end of -ln P(class | three classes before)."""
+    s = "^^^" + classes + "$"
+    n = len(classes) + 1
+    return sum(map(m.ngrams.__getitem__, [s[i : i + ORDER] for i in range(n)])) / n
 
 
 def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
@@ -156,7 +177,7 @@ def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
         c = class_string(t)
         words = sum(x in "flCAx" for x in c)
         if words >= 8 and c.count("f") >= 0.2 * words:
-            strings.append("^^^" + c)
+            strings.append("^^^" + c + "$")
     four, three, two, one = Counter(), Counter(), Counter(), Counter()
     for s in strings:
         for i in range(ORDER, len(s) + 1):
@@ -168,7 +189,7 @@ def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
     table |= {k: -math.log((n + 0.1) / (one[k[0]] + 1.0)) for k, n in two.items()}
     table = Ngrams(table)
     m = PageModel(ngrams=table)
-    each = [surprise(m, s[3:]) / (len(s) - 3) for s in strings]
+    each = [surprise(m, s[3:-1]) for s in strings]
     mean = sum(each) / len(each) if each else 1.0
     dev = math.sqrt(sum((x - mean) ** 2 for x in each) / len(each)) if each else 1.0
     return table, (mean, max(dev, 0.02))
@@ -177,6 +198,19 @@ def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
 _LEADING, _TRAILING = frozenset(" \t»>*•·–—-\xa0"), frozenset(">»→].…")
 
 
+def _without_end(text: str) -> str:
+    """``text`` without the arrow, dots or bracket at its end."""
+    last = text[-1:]
+    if last in (">", "»"):
+        return text.rstrip(last).rstrip()
+    if last in ("→", "…"):
+        return text[:-1].rstrip()
+    if text.endswith("..."):
+        return text[:-3].rstrip()
+    at = text.rfind("[") if last == "]" else -1
+    return text[:at].rstrip() if at >= 0 and _BRACKET.fullmatch(text, at) else text
+
+
 def core(line: str) -> tuple[str, int]:
     """A line without bullets, arrows and marks of its ends, and how many such traces there were."""
     text, traces = parse_line(line)
@@ -188,21 +222,83 @@ def core(line: str) -> tuple[str, int]:
         traces += cut != text.lstrip()
         text = cut
     if text[-1:] in _TRAILING:
-        cut = text[:-40] + _TRAIL.sub("", text[-40:])
+        cut = _without_end(text)
         traces += 2 * (cut != text)
         text = cut
     return text, traces
 
 
-def prepare(lines: list[str]) -> list[tuple[str, int, list[str]]]:
-    """(text, traces, lower-case words) of each line."""
-    return [(text, traces, WORD.findall(text.lower())) for text, traces in map(core, lines)]
-
-
 def is_paragraph(text: str, words: list[str]) -> bool:
     return len(words) >= 12 and (len(text) > 160 or len(_SENTENCE_END.findall(text)) >= 2)
 
 
+def skeleton(key: str) -> int | None:
+    """What wrong decoding leaves of a key with other than ASCII letters."""
+    return None if key.isascii() else ascii_hash(key)
+
+
+def ascii_hash(key: str) -> int | None:
+    left = key.encode("ascii", "ignore").replace(b" ", b"")
+    return hashed(left) if left else None
+
+
+@dataclass(slots=True)
+class Shape:
+    """What a line is by itself: its text and traces, words, letters and their key, and the label in front of a list."""
+
+    text: str
+    traces: int
+    words: list[str]
+    letters: str = ""
+    key: int = 0
+    front: tuple[int, int | None, bool] | None = None  # key and skeleton of the label, whether tags follow
+
+
+def shape(raw: str, host: str) -> Shape:
+    text, traces = core(raw)
+    words = WORD.findall(text.lower())
+    if not words:
+        return Shape(text, traces, words)
+    letters = own_key(words, host)
+    front = None
+    if head := _LABEL.match(text):
+        if name := own_key(WORD.findall(head.group(1).lower()), host):
+            front = hashed(name), skeleton(name), "," in text and not _SENTENCE_END.search(text)
+    return Shape(text, traces, words, letters, hashed(letters), front)
+
+
+class Shapes(dict):
+    """Shapes of short lines that don't name their site, kept up to a bound."""
+
+    def of(self, raw: str, host: str) -> Shape:
+        x = self.get(raw)
+        if x is None or host in x.words:
+            x = shape(raw, host)
+            if len(raw) <= SHORT and host not in x.words:
+                if len(self) >= KNOWN:
+                    self.clear()
+                self[raw] = x
+        return x
+
+
+def page_facts(shapes: list[Shape], headings: list[str] | None) -> dict[tuple[bool, int], tuple[int | None, bool, bool]]:
+    """(front, key) -> (skeleton, a, o) of a page's lines: for each line whether it may open a list and whether one follows,
+    and for the label in front of a line (``front``) whether tags follow."""
+    own = {h.strip() for h in headings if h} if headings else ()
+    out: dict[tuple[bool, int], tuple[int | None, bool, bool]] = {}
+    page = [x for x in shapes if x.words]
+    for x, after in zip(page, [*page[1:], None]):
+        a = after is not None and len(x.words) <= 6 and x.text not in own
+        o = a and after.traces >= 2
+        if had := out.get((False, x.key)):
+            a, o = a or had[1], o or had[2]
+        out[False, x.key] = had[0] if had else skeleton(x.letters), a, o
+        if x.front:
+            had = out.get((True, x.front[0]))
+            out[True, x.front[0]] = x.front[1], True, x.front[2] or had is not None and had[2]
+    return out
+
+
 def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES) -> list:
     """At most ``n`` pages as (host label, headings, body, language), those with the lowest hash of their id.
 
@@ -221,213 +317,248 @@ def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES) -> list:
     return [(r.host or "", r.headings or [], r.body, r.language) for r in rows[:n]]
 
 
-def line_facts(ready: list[tuple[str, int, list[str]]], headings: list[str] | None, host: str) -> Iterator[tuple[bool, int, int | None, bool, bool]]:
-    """(front, key, skeleton, a, o) of a page's prepared lines: for each line whether it may open a list and whether one
-    follows, and for the label in front of a line (``front``) whether tags follow."""
-    own = {h.strip() for h in headings if h} if headings else ()
-    page = [x for x in ready if x[2]]
-    for j, (text, _, words) in enumerate(page):
-        key = own_key(words, host)
-        short = len(words) <= 6 and j + 1 < len(page) and text not in own
-        yield False, hashed(key), skeleton(key), short, short and page[j + 1][1] >= 2
-        head = _LABEL.match(text)
-        if head:
-            front = own_key(WORD.findall(head.group(1).lower()), host)
-            if front:
-                yield True, hashed(front), skeleton(front), True, "," in text and not _SENTENCE_END.search(text)
-
-
-def skeleton(key: str) -> int | None:
-    """What wrong decoding leaves of a key with other than ASCII letters."""
-    left = "" if key.isascii() else _SKELETON.sub("", key)
-    return hashed(left) if left else None
-
-
-@dataclass
-class LineTables:
-    """What ``PageModel`` holds of the lines that pages repeat."""
-
-    keys: Hashes
-    skeletons: dict[int, int]
-    openers: Hashes
-    tags: Hashes
-
-
-def line_tables(rows: Iterable[tuple[bool, int, int | None, int, int, int]]) -> LineTables:
-    """From (front, key, skeleton, documents, a, o) of the lines and labels in ``REPEATED`` documents or more."""
-    keys, tags, openers, bare = [], [], [], []
+def judge_lines(rows: Iterable[tuple[bool, int, int | None, int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, key, value) of the repeated lines, from (front, key, skeleton, documents, a, o) of the lines and labels in
+    ``REPEATED`` documents or more: a "line" with 1 where it opens lists, a label before "tags", a "bare" skeleton's key."""
     for front, k, z, docs, a, o in rows:
         if front:
             if docs < OFTEN or o < 0.6 * docs:
                 continue
-            tags.append(k)
+            yield "tags", k, 1
         else:
-            keys.append(k)
-            if a >= OFTEN and o >= 0.15 * a:
-                openers.append(k)
+            yield "line", k, int(a >= OFTEN and o >= 0.15 * a)
         if z is not None:
-            bare.append((front, docs, k, z))
-    return LineTables(Hashes(keys), {z: k for *_, k, z in sorted(bare)}, Hashes(openers), Hashes(tags))
+            yield "bare", z, k
+
+
+def line_tables(rows: Iterable[tuple[str, int, int]], pack: type = Hashes) -> LineTables:
+    """The tables of ``judge_lines``' rows; of several keys with one skeleton the largest stands for it."""
+    found: dict[str, list[tuple[int, int]]] = {"line": [], "tags": [], "bare": []}
+    for kind, k, v in rows:
+        found[kind].append((k, v))
+    lines = found["line"]
+    return LineTables(pack(k for k, _ in lines), dict(sorted(found["bare"])), pack(k for k, v in lines if v), pack(k for k, _ in found["tags"]))
 
 
 def count_sample(sample: list) -> LineTables:
     """The counts of a sample that is all there is."""
-    docs, a, o, bare = Counter(), Counter(), Counter(), {}
+    docs, a, o, bare, shapes = Counter(), Counter(), Counter(), {}, Shapes()
     for host, headings, body, _ in sample:
-        page = {}
-        for front, k, z, x, y in line_facts(prepare(body.split("\n")), headings, host):
-            bare[k] = z
-            had = page.get((front, k), (False, False))
-            page[front, k] = (had[0] or x, had[1] or y)
-        docs.update(page.keys())
-        for key, (x, y) in page.items():
+        for key, (z, x, y) in page_facts([shapes.of(line, host) for line in body.split("\n")], headings).items():
+            bare[key] = z
+            docs[key] += 1
             a[key] += x
             o[key] += y
-    return line_tables((*key, bare[key[1]], n, a[key], o[key]) for key, n in docs.items() if n >= REPEATED)
+    return line_tables(judge_lines((*key, bare[key], n, a[key], o[key]) for key, n in docs.items() if n >= REPEATED))
 
 
 def fit(sample: list, lines: LineTables | None = None) -> PageModel:
-    """Fit the word evidence: words of repeated lines against those of paragraphs, without labels. ``lines`` holds what the
-    whole table repeats; without it the sample is taken for the whole."""
+    """Fit the word evidence, words of repeated lines against those of paragraphs, the n-grams and the clusters' centres,
+    all without labels. ``lines`` holds what the whole table repeats; without it the sample is taken for the whole."""
     lines = lines or count_sample(sample)
-    b, p, prose = Counter(), Counter(), []
+    b, p, prose, shapes = Counter(), Counter(), [], Shapes()
     for host, headings, body, _ in sample:
-        own = {h.strip() for h in headings if h}
-        for text, _, words in prepare(body.split("\n")):
-            if not words:
+        own = {h.strip() for h in headings if h} if headings else ()
+        for x in [shapes.of(line, host) for line in body.split("\n")]:
+            if not x.words:
                 continue
-            key = own_key(words, host)
-            repeated = hashed(key) in lines.keys
-            para = is_paragraph(text, words)
-            if repeated and text not in own:
-                b.update(set(key.split()))
+            repeated = x.key in lines.keys
+            para = is_paragraph(x.text, x.words)
+            if repeated and x.text not in own:
+                b.update("§" if w == host else w for w in set(x.words))
             elif para:
-                p.update(set(words))
-            if not repeated and (para or len(words) >= 8 and _SENTENCE_END.search(text)) and not ANY_FUNCTION.isdisjoint(words):
-                prose.append(text)
+                p.update(set(x.words))
+            if not repeated and (para or len(x.words) >= 8 and _SENTENCE_END.search(x.text)) and not ANY_FUNCTION.isdisjoint(x.words):
+                prose.append(x.text)
     nb, np_ = sum(b.values()) + 1, sum(p.values()) + 1
     weights = {w: math.log((b[w] + 0.3) / nb) - math.log((p[w] + 0.3) / np_) for w in b.keys() | p.keys() if b[w] + p[w] >= 3}
     weights = Weights({w: max(-4.0, min(4.0, x)) for w, x in weights.items()})
-    return PageModel(weights, lines.keys, lines.skeletons, lines.openers, lines.tags, *fit_prose(prose))
+    m = PageModel(weights, lines, *fit_prose(prose))
+    smooth = [v for host, headings, body, _ in sample for v in smoothed(page_ratios(m, [read_line(m, x, host) for x in body.split("\n")], headings))]
+    m.centres = two_means(smooth, m.centres, 0.0)
+    return m
 
 
-OWN, PAGE = 0, 1
+#: Nats of evidence from which a line is rather one that many pages repeat.
+EVEN = 2.0
+
+
+@dataclass(slots=True)
+class Line:
+    """A line's evidence; ``ratio`` is that of a line outside lists of links, ``linked`` inside one."""
 
+    text: str
+    words: list[str]
+    strong: bool = False  # looks like a line that many pages repeat
+    opens: bool = False  # opens a list of other pages
+    para: bool = False
+    ratio: float = 0.0
+    linked: float = 0.0
+    judged: tuple[int, bool] | None = None  # problem 5: its words, whether it's abnormal
 
-def _structure(m: PageModel, text: str, s: float, host: str) -> tuple[float, list[str]]:
-    """Evidence from labels before lists and from menu separators, for lines that end no sentence."""
-    head = _LABEL.match(text)
-    if head:
-        front = WORD.findall(head.group(1).lower())
-        key = own_key(front, host)
-        if front and (hashed(key) in m.tags or "�" in text and hashed(_SKELETON.sub("", key)) in m.skeletons or sum(map(m.weights.__getitem__, front)) >= 1.0):
+
+def _structure(m: PageModel, x: Shape, s: float, host: str) -> tuple[float, int]:
+    """Evidence from labels before lists and from menu separators, for lines that end no sentence, and the separators."""
+    head = _LABEL.match(x.text)
+    if head and x.front:
+        key, bare, _ = x.front
+        if key in m.lines.tags or "�" in x.text and bare in m.lines.skeletons or sum(map(m.weights.__getitem__, WORD.findall(head.group(1).lower()))) >= 1.0:
             s = max(s, 0.0) + 4.0
-    parts = [x for x in _SEPARATOR.split(text) if x]
+    parts = [p for p in _SEPARATOR.split(x.text) if p]
     if len(parts) >= 3 and max(map(len, parts)) <= 40:
         s += 2.0 * len(parts)
     if len(parts) >= 2:
         front = WORD.findall(parts[0].lower())
-        if front and (hashed(own_key(front, host)) in m.keys or sum(map(m.weights.__getitem__, front)) >= 3.0):
+        if front and (hashed(own_key(front, host)) in m.lines.keys or sum(map(m.weights.__getitem__, front)) >= 3.0):
             s = max(s, 0.0) + 4.0
-    return s, parts
-
-
-#: Gaussian over the neighbouring lines, deviation of 1.2 lines.
-_KERNEL = tuple(math.exp(-d * d / (2 * 1.2**2)) for d in (0, 1, 2, 3))
-
-
-def regions(ratio: list[float]) -> list[bool]:
-    """Content regions: lines whose smoothed text-to-tag ratio lies in the upper of two clusters (one-dimensional 2-means)."""
-    n = len(ratio)
-    smooth = []
-    for i in range(n):
-        total = weight = 0.0
-        for j in range(max(0, i - 3), min(n, i + 4)):
-            k = _KERNEL[abs(i - j)]
-            total += k * ratio[j]
-            weight += k
-        smooth.append(total / weight)
-    low, high = min(smooth, default=0.0), max(smooth, default=0.0)
-    for _ in range(8):
-        cut = (low + high) / 2
-        a, b = [x for x in smooth if x < cut], [x for x in smooth if x >= cut]
-        if not a or not b:
-            break
-        low, high = sum(a) / len(a), sum(b) / len(b)
-    cut = (low + high) / 2
-    return [x >= cut and x > 0 for x in smooth]
-
-
-#: Kinds of lines that show evidence of their own that they aren't the page's text, and headings.
-STRONG = frozenset({"opener", "page", "heading"})
-
-
-def own_headings(headings: list[str] | None) -> set[str]:
-    return {core(h)[0] for h in headings if h} if headings else set()
-
-
-def line_kind(m: PageModel, text: str, traces: int, words: list[str], own: set[str], host: str) -> tuple[str, float]:
-    """What a line shows by itself, whatever its place, and its text-to-tag ratio."""
+    return s, max(0, len(parts) - 1)
+
+
+def asked(x: Shape, host: str) -> Iterator[tuple[str, int]]:
+    """(kind, key) of all that the evidence of a line looks up in the repeated lines."""
+    if not x.words:
+        return
+    yield "line", x.key
+    if not x.text.isascii():
+        if (bare := ascii_hash(x.letters)) is not None:
+            yield "bare", bare
+    if x.front:
+        yield "tags", x.front[0]
+        if x.front[1] is not None:
+            yield "bare", x.front[1]
+    parts = [p for p in _SEPARATOR.split(x.text) if p]
+    if len(parts) >= 2 and (front := WORD.findall(parts[0].lower())):
+        yield "line", hashed(own_key(front, host))
+
+
+def weigh(m: PageModel, x: Shape, host: str) -> Line:
+    """A line's evidence and text-to-tag ratios, whatever its place."""
+    words, text = x.words, x.text
     if not words:
-        return "blank", 0.0
-    if text in own:
-        return "heading", 0.0
-    weights, keys = m.weights, m.keys
+        return Line(text, words)
+    weights = m.weights
     weight = weights.__getitem__
     count = len(words)
     s = sum(map(weight, words))
     if host in words:
         s += words.count(host) * (weight("§") - weight(host))
     if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
-        s -= 2.0 * sum(w not in weights and w in text for w in words)
-    letters = own_key(words, host)
-    key = hashed(letters)
-    repeated = key in keys
+        s -= 2.0 * len([w for w in words if w not in weights and w in text])
+    key = x.key
+    repeated = key in m.lines.keys
     if not repeated and not text.isascii():  # wrongly decoded letters: compare what is left of the key
-        key = m.skeletons.get(hashed(_SKELETON.sub("", letters)), key)
-        repeated = key in keys
+        key = m.lines.skeletons.get(ascii_hash(x.letters), key)
+        repeated = key in m.lines.keys
     if repeated:
         s = max(s, 0.0) + 6.0
     if count <= 14 and _DATE.search(text):
         s += 6.0
-    ended = text[-1] in ".!?…" or _SENTENCE_END.search(text) is not None
-    parts = ()
-    if not ended:
-        s, parts = _structure(m, text, s, host)
-    if count >= 9 and not repeated and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not traces:
+    separators = 0
+    if text[-1] not in ".!?…" and _SENTENCE_END.search(text) is None:
+        s, separators = _structure(m, x, s, host)
+    if count >= 9 and not repeated and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not x.traces:
         s = min(s, 0.0)
-    if s > 2.0:
-        return "opener" if key in m.openers else "page", 0.0
-    if traces >= 2:
-        return "teaser", 0.0
-    ratio = count / (1 + traces + max(0, len(parts) - 1))
-    if is_paragraph(text, words):
-        return "para", ratio
-    return "prose" if count >= 6 and (s < -6.0 or ended) else "short", ratio
-
-
-def label_lines(m: PageModel, prepared: list[tuple[str, int, list[str]]], headings: list[str] | None, host: str) -> list[int]:
-    """For each prepared line 1 where it is not the page's own text, else 0; lines without letters get 0."""
-    own = own_headings(headings)
-    n = len(prepared)
-    out, kind, ratio = [OWN] * n, [""] * n, [0.0] * n
-    for i, (text, traces, words) in enumerate(prepared):
-        kind[i], ratio[i] = line_kind(m, text, traces, words, own, host)
-    region = False
-    last = max((i for i, k in enumerate(kind) if k in ("para", "heading")), default=-1)
-    for i, k in enumerate(kind):
-        if k == "opener":
-            region = True
-        elif k in ("para", "heading"):
-            region = False
-        if k in ("opener", "page", "teaser"):
-            out[i] = PAGE
-        elif region and k in ("prose", "short"):
-            out[i] = PAGE
-        elif k == "prose":
-            last = max(last, i)
-    content = regions(ratio) if last < 0 else ()
-    for i, k in enumerate(kind):
-        if k == "short" and (i > last or last < 0 and not content[i]):
-            out[i] = PAGE
+    strong = s > EVEN
+    own = 0.0 if x.traces >= 2 else count / (1.0 + math.exp(min(s - EVEN, 50.0))) + 0.5 * max(0.0, min(-s, 30.0))
+    tags = x.traces + separators + max(0.0, s)
+    para = not strong and x.traces < 2 and is_paragraph(text, words)
+    return Line(text, words, strong, strong and key in m.lines.openers, para, _log_ratio(own, tags), _log_ratio(0.0, tags + LIST_TAGS))
+
+
+#: Tags around an entry of a list of links; bound of a logarithmic ratio, so that a line's own stands against its neighbours'.
+LIST_TAGS, BOUND = 5, 3.5
+#: The ratio of the page's headings, which its own markup named.
+HEADING = 3.0
+
+
+def _log_ratio(words: float, tags: float) -> float:
+    return max(-BOUND, min(BOUND, math.log1p(words) - math.log1p(tags)))
+
+
+def read_line(m: PageModel, raw: str, host: str) -> Line:
+    """A line's evidence; that of short lines that don't name their site is kept."""
+    x = m.seen.get(raw)
+    if x is None or host in x.words:
+        x = weigh(m, shape(raw, host), host)
+        if len(raw) <= SHORT and host not in x.words:
+            if len(m.seen) >= KNOWN:
+                m.seen.clear()
+            m.seen[raw] = x
+    return x
+
+
+def own_headings(headings: list[str] | None) -> set[str]:
+    return {core(h)[0] for h in headings if h} if headings else set()
+
+
+def page_ratios(m: PageModel, lines: list[Line], headings: list[str] | None) -> list[float]:
+    """Logarithmic text-to-tag ratios of a page's lines with letters. A line that opens a list of other pages is the start
+    event of a list of links, which the next paragraph or heading ends."""
+    own, out, inside = own_headings(headings), [], False
+    for x in lines:
+        if not x.words:
+            continue
+        if x.text in own:
+            inside = False
+            out.append(HEADING)
+            continue
+        if x.opens:
+            inside = True
+        elif x.para:
+            inside = False
+        out.append(x.linked if inside else x.ratio)
+    return out
+
+
+#: Gaussian over the neighbouring lines, its deviation in lines.
+DEVIATION = 0.5
+_KERNEL = tuple(math.exp(-d * d / (2 * DEVIATION**2)) for d in (0, 1, 2))
+
+
+def smoothed(ratio: list[float]) -> list[float]:
+    """The Gaussian mean of each line's surroundings."""
+    k0, k1, k2 = _KERNEL
+    n, out = len(ratio), []
+    for i, x in enumerate(ratio):
+        total, weight = k0 * x, k0
+        for j, k in ((i - 2, k2), (i - 1, k1), (i + 1, k1), (i + 2, k2)):
+            if 0 <= j < n:
+                total += k * ratio[j]
+                weight += k
+        out.append(total / weight)
     return out
+
+
+def two_means(values: list[float], centres: tuple[float, float], prior: float) -> tuple[float, float]:
+    """Centres of two clusters in one dimension, each starting with the weight of ``prior`` values at the given centre."""
+    low, high = centres
+    for _ in range(10):
+        cut = (low + high) / 2
+        over = [v for v in values if v >= cut]
+        below, n = sum(values) - sum(over), len(values) - len(over)
+        new = (below + prior * centres[0]) / (n + prior) if n + prior else low, (sum(over) + prior * centres[1]) / (len(over) + prior) if over or prior else high
+        if new == (low, high):
+            break
+        low, high = new
+    return low, high
+
+
+#: Lines that the centres of all pages count for beside a page's own.
+PRIOR_LINES = 8.0
+
+
+def regions(ratio: list[float], centres: tuple[float, float] = (-2.5, 2.8), prior: float = PRIOR_LINES) -> list[bool]:
+    """Content regions: lines whose smoothed ratio lies in the upper of the page's two clusters."""
+    smooth = smoothed(ratio)
+    low, high = two_means(smooth, centres, prior)
+    cut = (low + high) / 2
+    return [x >= cut for x in smooth]
+
+
+OWN, PAGE = 0, 1
+
+
+def label_lines(m: PageModel, lines: list[Line], headings: list[str] | None) -> list[int]:
+    """For each line 1 where it is not the page's own text, else 0; lines without letters get 0."""
+    content = iter(regions(page_ratios(m, lines, headings), m.centres))
+    return [PAGE if x.words and not next(content) else OWN for x in lines]

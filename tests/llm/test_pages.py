@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gleaner.llm import p3_boilerplate as B, p4_language as G, p5_stuffing as K, pagetext as T
+from gleaner.llm import p3_boilerplate as B, p4_language as G, p5_stuffing as K, pagescan as N, pagetext as T
 from gleaner.llm.lexicon import label_language
 from tests.llm.conftest import PROSE
 
@@ -19,29 +19,66 @@ def model(plain_pages):
     return T.fit(sample(plain_pages))
 
 
-def test_lines(model, plain_pages, raw_pages):
+@pytest.fixture(scope="module")
+def fitted(model):
+    return N.Fitted(model)
+
+
+def read(m, lines, host=""):
+    return [T.read_line(m, x, host) for x in lines]
+
+
+def stuffed(m, lines, links=0):
+    return K.is_stuffed(m, read(m, lines), None, links)
+
+
+def test_lines(fitted, plain_pages, raw_pages):
     pages = plain_pages[:3] + [plain_pages[0], {"doc_id": 90, "body": None}, {"doc_id": 91, "body": ""}, {"doc_id": 92, "body": "* * *\n12\n\n"}, {"doc_id": None, "body": "x"}]
     got = {}
-    for r in B.boilerplate_lines(raw_pages(*pages), model).collect():
+    for r in B.boilerplate_lines(raw_pages(*pages), fitted).collect():
         got.setdefault(r.doc_id, []).append(r.line_no)
     assert {d: sorted(v) for d, v in got.items()} == {i: [1, 7, 8, 9, 10] for i in range(3)}
-    assert B.boilerplate_lines(raw_pages(), model).count() == 0
+    assert B.boilerplate_lines(raw_pages(), fitted).count() == 0
 
 
-def test_null_headings_and_links(model, plain_pages, raw_pages):
+def test_null_headings_and_links(fitted, plain_pages, raw_pages):
     page = plain_pages[5] | {"headings": None, "url": None}
-    assert sorted(r.line_no for r in B.boilerplate_lines(raw_pages(page), model).collect()) == [1, 7, 8, 9, 10]
-    out = B.main_text(raw_pages(page, {"doc_id": 3, "body": None}), model).collect()
+    assert sorted(r.line_no for r in B.boilerplate_lines(raw_pages(page), fitted).collect()) == [1, 7, 8, 9, 10]
+    out = B.main_text(raw_pages(page, {"doc_id": 3, "body": None}), fitted).collect()
     assert len(out) == 1 and out[0].main_text.startswith("The tower of") and out[0].kept_lines == 5
 
 
 def test_markup_and_regions(model):
     assert T.parse_line("a <b>c</b> &amp; d") == ("a c & d", 2)
-    assert T.core("» Contact >") == ("Contact", 3)
-    assert T.regions([0, 0, 30, 28, 31, 0, 0, 0, 0]) == [False, False, True, True, True, False, False, False, False]
+    assert T.core("» Contact >") == ("Contact", 3) and T.core("Read on" + " " * 60 + "[more]" + " " * 60) == ("Read on", 2)
+    assert T.core("a ... b [not a mark]") == ("a ... b [not a mark]", 0) and T.core("and so on ...") == ("and so on", 2)
+    assert T.regions([-3, -3, 3, 2.8, 0.4, 3.1, -3, 0.4, -3]) == [False, False, True, True, True, True, False, False, False]
     assert T.regions([]) == []
 
 
+def test_clusters_decide(model, plain_pages):
+    """Without smoothing and clusters nothing is labelled; a short line goes with its surroundings."""
+    page, host = plain_pages[0], "site0"
+    lines = page["body"].split("\n")
+    at = lambda i: T.label_lines(model, read(model, [*lines[:i], "old mill Ortaz", *lines[i:]], host), page["headings"])[i]
+    assert at(4) == 0 and at(len(lines)) == 1
+    bare = [model.lines.keys, T.page_ratios(model, read(model, lines, host), page["headings"])]
+    assert bare[1] and T.regions(bare[1], model.centres) == [not x for x in T.label_lines(model, read(model, lines, host), page["headings"])]
+
+
+def test_known_lines_by_join(raw_pages, plain_pages, monkeypatch):
+    """Where the repeated lines are too many to be broadcast, each page comes with its own: same rows."""
+    odd = [{"doc_id": 700 + i, "url": f"https://a{i % 3}.example/", "body": "Gläserne Klappe\nGl�serne Klappe\nTopics: mill, tower\nHome > Tower > Mill" if i < 9 else ""} for i in range(10)]
+    rows = raw_pages(*plain_pages, *odd, odd[0], {"doc_id": 800, "body": "one lonely line"})
+    want = {f: sorted(map(tuple, f(rows).collect())) for f in (B.boilerplate_lines, B.main_text, K.stuffed_pages)}
+    assert want[B.boilerplate_lines]
+    monkeypatch.setattr(N, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(N, "HELD", 3)
+    for f, x in want.items():
+        assert sorted(map(tuple, f(rows).collect())) == x
+
+
 KEYWORDS = [
     "coupon hotel tickets coupon casino shoes hotel loan coupon hotel tickets casino casino shoes loan hotel " * 6,
     "\n".join(f">> hotel tickets Ort{c}x" for c in "abcdefghijklmnopq"),
@@ -50,14 +87,14 @@ KEYWORDS = [
 ]
 
 
-def test_stuffed(model, plain_pages, raw_pages):
+def test_stuffed(fitted, plain_pages, raw_pages):
     bad = [{"doc_id": 200 + i, "url": "https://s.example/", "body": "Home | Contact | Opening hours | Search\n" + k + "\nAll rights reserved"} for i, k in enumerate(KEYWORDS)]
     lists = plain_pages[0] | {"doc_id": 300, "body": plain_pages[0]["body"] + "\n" + "\n".join(f"* old mill Ort{c}z" for c in "abcdefghij")}
     few = {"doc_id": 301, "url": "https://s.example/", "body": "hotel coupon"}
-    got = {r.doc_id: r.share for r in K.stuffed_pages(raw_pages(*plain_pages[:5], *bad, bad[0], lists, few, {"doc_id": 302}), model).collect()}
+    got = {r.doc_id: r.share for r in K.stuffed_pages(raw_pages(*plain_pages[:5], *bad, bad[0], lists, few, {"doc_id": 302}), fitted).collect()}
     assert set(got) == {200, 201, 202, 203} and min(got.values()) > 0.5
-    assert K.stuffed_pages(raw_pages(), model).count() == 0
-    assert {r.doc_id for r in B.boilerplate_lines(raw_pages(*bad), model).collect()} == set()
+    assert K.stuffed_pages(raw_pages(), fitted).count() == 0
+    assert {r.doc_id for r in B.boilerplate_lines(raw_pages(*bad), fitted).collect()} == set()
 
 
 def test_stuffed_beside_notices(model, plain_pages):
@@ -65,11 +102,25 @@ def test_stuffed_beside_notices(model, plain_pages):
     notices = [f"The {x} of Nowhere stands beside the notice and it is open to all members in spring." for x in ("form", "list", "map", "plan", "shop", "fund")]
     m = T.fit(sample([p | {"body": "\n".join([*notices, p["body"]])} for p in plain_pages]))
     lines = [*notices, *KEYWORDS[0].strip().rsplit(" ", 30)[:1]]
-    assert [T.line_kind(m, *T.prepare([x])[0], set(), "")[0] for x in notices] == ["page"] * 6
-    assert K.is_stuffed(m, lines, None, "")[0] and K.is_stuffed(m, lines[6:], None, "")[2] == 1.0
+    assert all(x.strong and not x.opens for x in read(m, notices))
+    assert stuffed(m, lines)[0] and stuffed(m, lines[6:])[2] == 1.0
     tags = "".join(f"#hotel#shoes#coupon{c}x" for c in "abcdefghijklmnop")
     prose = "The old tower stands beside the river and it is open to all visitors in spring."
-    assert K.is_stuffed(model, [prose, tags], None, "")[0]
+    assert stuffed(model, [prose, tags])[0]
+
+
+def test_links_weigh_a_little(model):
+    """Many links tip a page that is half keywords, but don't make a case of a page of sentences."""
+    prose = "The old tower stands beside the river and it is open to all visitors in spring."
+    words = "hotel tickets coupon casino shoes loan hotel coupon casino shoes tickets loan hotel shoes"
+    assert not stuffed(model, [prose, words])[0] and stuffed(model, [prose, words], 60)[0]
+    assert not stuffed(model, [prose] * 3, 70)[0]
+
+
+def test_short_lines_are_scored(model):
+    """A heap of few words is abnormal by its perplexity, a short sentence isn't."""
+    assert all(K.abnormal(model, T.class_string(x)) for x in ("hotel tickets Ortaz", "hotel", "#loan #shoes"))
+    assert not K.abnormal(model, T.class_string("The old tower is open to all visitors."))
 
 
 def test_repeats_are_counted_over_all_pages(raw_pages, plain_pages, monkeypatch):
@@ -77,14 +128,15 @@ def test_repeats_are_counted_over_all_pages(raw_pages, plain_pages, monkeypatch)
     pages = [p | {"doc_id": 50 + p["doc_id"]} for p in plain_pages[:20]]
     rare = [{"doc_id": i, "url": "https://small.example/x", "body": "Gläserne Klappe\nPrices Ünder Guarantee" if i < 4 else "Gläserne Klappe"} for i in range(5)]
     rows = raw_pages(*pages, *rare, rare[0], rare[0])
-    monkeypatch.setattr(K, "sample_pages", lambda _: sample(pages))
-    m = K.fit_pages(rows)
-    assert T.hashed("gläserne klappe") in m.keys and T.hashed("prices ünder guarantee") not in m.keys
-    assert T.hashed("related pages") in m.openers and T.hashed("the tower of placeaa") not in m.keys
-    assert T.line_kind(m, *T.prepare(["Gl�serne Klappe"])[0], set(), "small")[0] == "page"
-    tables, alone = K.count_lines(raw_pages(*pages)), T.count_sample(sample(pages))
+    monkeypatch.setattr(N, "sample_pages", lambda _: sample(pages))
+    m = N.fit_pages(rows).model
+    lines = m.lines
+    assert T.hashed("gläserne klappe") in lines.keys and T.hashed("prices ünder guarantee") not in lines.keys
+    assert T.hashed("related pages") in lines.openers and T.hashed("the tower of placeaa") not in lines.keys
+    assert read(m, ["Gl�serne Klappe"], "small")[0].strong
+    tables, alone = N._collected(N.count_lines(raw_pages(*pages))), T.count_sample(sample(pages))
     assert all(getattr(tables, f).sorted == getattr(alone, f).sorted for f in ("keys", "openers", "tags")) and tables.skeletons == alone.skeletons
-    assert not len(K.count_lines(raw_pages()).keys.sorted)
+    assert N.count_lines(raw_pages()).count() == 0
 
 
 def test_long_repeated_line(plain_pages):
@@ -92,9 +144,9 @@ def test_long_repeated_line(plain_pages):
     notice = " ".join(PROSE[0].format("Nowhere") for _ in range(2))
     assert len(notice.split()) > 40
     m = T.fit(sample([p | {"body": p["body"] + "\n" + notice} for p in plain_pages]))
-    ready = T.prepare([*plain_pages[0]["body"].split("\n"), notice])
-    assert T.label_lines(m, ready, plain_pages[0]["headings"], "site0")[2:6] == [0] * 4
-    assert T.label_lines(m, ready, plain_pages[0]["headings"], "site0")[-1] == 1
+    lines = read(m, [*plain_pages[0]["body"].split("\n"), notice], "site0")
+    got = T.label_lines(m, lines, plain_pages[0]["headings"])
+    assert got[2:6] == [0] * 4 and got[-1] == 1
 
 
 SPEECH = {
@@ -165,24 +217,24 @@ def test_labels(tag, want):
     assert label_language(tag) == want
 
 
-def test_wrong_labels(model, crf, raw_pages):
+def test_wrong_labels(fitted, crf, raw_pages):
     rng = random.Random(4)
     body = "\n".join([shuffled("de", rng), "kurz", "", shuffled("de", rng), shuffled("fr", rng)])
     rows = [{"doc_id": i, "url": "https://a.example/", "body": body, "language": tag} for i, tag in enumerate(("de", "DE-at", None, "en", "nl"))]
     rows += [rows[0], {"doc_id": 9, "body": None}, {"doc_id": 10, "body": "zu kurz", "language": None}, {"doc_id": None, "body": body}]
-    lines = G.labelled_lines(raw_pages(*rows), (model, crf), skip_stuffed=False)
+    lines = G.labelled_lines(raw_pages(*rows), (fitted, crf), skip_stuffed=False)
     got = sorted(tuple(r) for r in G.wrong_labels(lines).collect())
     assert got == sorted([(i, 5, "fr") for i in range(5)] + [(i, 0, "de") for i in (2, 3, 4)])
     assert all(0 < r.confidence <= 1 for r in lines.collect())
-    runs = [(r.doc_id, r.first_line, r.last_line, r.lang) for r in G.segments(raw_pages(rows[0]), (model, crf), skip_stuffed=False).orderBy("first_line").collect()]
+    runs = [(r.doc_id, r.first_line, r.last_line, r.lang) for r in G.segments(raw_pages(rows[0]), (fitted, crf), skip_stuffed=False).orderBy("first_line").collect()]
     assert runs == [(0, 1, 4, "de"), (0, 5, 5, "fr")]
-    assert G.labelled_lines(raw_pages(), (model, crf)).count() == 0
+    assert G.labelled_lines(raw_pages(), (fitted, crf)).count() == 0
 
 
 def test_fitting_on_nothing(raw_pages):
     assert T.sample_pages(raw_pages()) == []
     empty = T.fit([])
-    assert B.boilerplate_lines(raw_pages({"doc_id": 1, "body": "a line of words"}), empty).count() >= 0
+    assert B.boilerplate_lines(raw_pages({"doc_id": 1, "body": "a line of words"}), N.Fitted(empty)).count() >= 0
     assert G.label(G.fit_crf([]), [["a"]])[0].shape == (1,)
 
 
@@ -193,6 +245,5 @@ def test_sample_is_bounded(raw_pages, plain_pages):
 
 def test_long_texts(model):
     for text in ("a " * 200_000, "." * 100_000 + "x", " " * 200_000 + "x", "word. " * 100_000, "x" * 500_000):
-        ready = T.prepare([text])
-        T.label_lines(model, ready, None, "")
-        K.is_stuffed(model, [text], None, "")
+        T.label_lines(model, read(model, [text]), None)
+        stuffed(model, [text])
