@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.llm.pagescan import Fitted, fit_pages, for_page, page_rows
+from gleaner.llm.pagescan import Fitted, fit_pages, for_page, in_worker, page_rows
 from gleaner.llm.pagetext import Line, PageModel, class_string, own_headings, read_line, surprise
 
 #: Share of abnormal words from which a page is a case; fewest own words that are judged.
@@ -86,10 +86,11 @@ def stuffed_pages(pages: DataFrame, model: Fitted | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(m.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = in_worker(shared)
         for b in batches:
             ids, words, shares = [], [], []
             for d, host, headings, lines, known, links in page_rows(b):
-                page = for_page(shared.value, known)
+                page = for_page(whole, known)
                 found, n, share = is_stuffed(page, [read_line(page, x, host) for x in lines], headings, links)
                 if found:
                     ids.append(d), words.append(n), shares.append(share)

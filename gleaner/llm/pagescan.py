@@ -7,11 +7,13 @@ labels.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.urls import site
@@ -44,6 +46,15 @@ def page_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield d, host, [readable(h) for h in headings if h] if headings else None, lines, *more
 
 
+def in_worker(shared: Broadcast):
+    """A broadcast model. The garbage collector leaves it and what a worker has loaded alone from here on, and looks less often at
+    the rest, which hardly holds cycles."""
+    value = shared.value
+    gc.freeze()
+    gc.set_threshold(100_000, 20, 50)
+    return value
+
+
 def for_page(m: PageModel, known: list[dict] | None) -> PageModel:
     """The model with the repeated lines that a page came with, where it came with them."""
     if known is None:
@@ -77,6 +88,7 @@ def count_lines(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "front", "k", "z", "n", "a", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(100_000, 20, 50)
         shapes, held, bare = Shapes(), Counter(), {}
         for b in batches:
             for d, host, headings, lines, _, again in page_rows(b):

@@ -24,7 +24,7 @@ import re
 from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -80,7 +80,7 @@ def parse_line(line: str) -> tuple[str, int]:
     return "".join(p.text), p.tags
 
 
-def own_key(words: list[str], host: str) -> str:
+def own_key(words: Sequence[str], host: str) -> str:
     """Key of a line whatever its marks, digits and case; the site's own name is masked."""
     return " ".join(["§" if w == host else w for w in words] if host in words else words)
 
@@ -228,7 +228,7 @@ def core(line: str) -> tuple[str, int]:
     return text, traces
 
 
-def is_paragraph(text: str, words: list[str]) -> bool:
+def is_paragraph(text: str, words: Sequence[str]) -> bool:
     return len(words) >= 12 and (len(text) > 160 or len(_SENTENCE_END.findall(text)) >= 2)
 
 
@@ -248,7 +248,7 @@ class Shape:
 
     text: str
     traces: int
-    words: list[str]
+    words: tuple[str, ...]
     letters: str = ""
     key: int = 0
     front: tuple[int, int | None, bool] | None = None  # key and skeleton of the label, whether tags follow
@@ -256,7 +256,7 @@ class Shape:
 
 def shape(raw: str, host: str) -> Shape:
     text, traces = core(raw)
-    words = WORD.findall(text.lower())
+    words = (*WORD.findall(text.lower()),)
     if not words:
         return Shape(text, traces, words)
     letters = own_key(words, host)
@@ -388,7 +388,7 @@ class Line:
     """A line's evidence; ``ratio`` is that of a line outside lists of links, ``linked`` inside one."""
 
     text: str
-    words: list[str]
+    words: tuple[str, ...]
     strong: bool = False  # looks like a line that many pages repeat
     opens: bool = False  # opens a list of other pages
     para: bool = False
@@ -436,14 +436,13 @@ def weigh(m: PageModel, x: Shape, host: str) -> Line:
     words, text = x.words, x.text
     if not words:
         return Line(text, words)
-    weights = m.weights
-    weight = weights.__getitem__
-    count = len(words)
-    s = sum(map(weight, words))
+    weights, count = m.weights, len(words)
+    each = [*map(weights.get, words)]
+    s = sum(filter(None, each))
     if host in words:
-        s += words.count(host) * (weight("§") - weight(host))
-    if count >= 8:  # lower-case words that the sample lacks speak against a line that pages repeat
-        s -= 2.0 * len([w for w in words if w not in weights and w in text])
+        s += words.count(host) * (weights["§"] - weights[host])
+    if count >= 8 and None in each:  # lower-case words that the sample lacks speak against a line that pages repeat
+        s -= 2.0 * len([w for w, x in zip(words, each) if x is None and w in text])
     key = x.key
     repeated = key in m.lines.keys
     if not repeated and not text.isascii():  # wrongly decoded letters: compare what is left of the key
