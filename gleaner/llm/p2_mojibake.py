@@ -39,11 +39,11 @@ _PUNCTUATION = "“”„‘’‚–—…€•«»©®°·¿¡§\xa0ºª"
 #: Letters and marks that the five languages write: Latin-1's letters, the oe ligatures and typographic marks.
 TARGETS = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)) + "œŒ" + _PUNCTUATION
 _PLAIN = "äöüßéèêëàâîïôûùçœáíóúñìòÄÖÜÉÈÀÂÊÎÔÛÙÇŒÑÁÍÓÚÌÒ" + _PUNCTUATION
-_ORDINARY = re.compile(f"[{re.escape(_PLAIN)}]+")
+_CLEAN = frozenset(_PLAIN).union(map(chr, range(128)))
 _DOUBTFUL = frozenset("ÈÍÓÙÁÒÛÌÚÏÎÔ")  # capitals that a wrong table puts into words
-_RUN = re.compile(r"[^\x00-\x7f]+")
 _INSIDE = re.compile(r"[a-zß-ÿ][ÈÍÓÙÁÒÛÌÚÏÎÔ]")
-_LATE = re.compile(r"[âÂÃãĂ][^\x00-\x7f]")
+_EARLY = frozenset("âÂÃãĂ")  # what misread UTF-8 often begins with
+_LATE = re.compile(f"[{''.join(sorted(_EARLY))}][^\\x00-\\x7f]")
 _QUOTED = re.compile(r"“[^“”\n]{1,60}”|„[^„“”\n]{1,60}[“”]|«[^«»\n]{1,60}»|‘[^‘’\n]{1,60}’")
 
 # Code pages by which UTF-8 is often read, and pairs of one-byte pages (true, read as).
@@ -107,21 +107,14 @@ def _unit_pattern() -> re.Pattern[str]:
     return re.compile("|".join(runs) + r"|[^\x00-\x7f]")
 
 
-@cache
-def _plain_run(run: str) -> bool:
-    return _ORDINARY.fullmatch(run) is not None and not _LATE.search(run)
-
-
 def suspicious(text: str) -> bool:
     """A cheap test that clean text passes: whether a field has to be looked at at all."""
     if text.isascii():
         return False
-    doubtful = False
-    for run in set(_RUN.findall(text)):
-        if not (_plain_run if len(run) < 12 else _plain_run.__wrapped__)(run):  # long runs aren't kept
-            return True
-        doubtful = doubtful or not _DOUBTFUL.isdisjoint(run)
-    return doubtful and _INSIDE.search(text) is not None
+    signs = set(text)
+    if not signs <= _CLEAN:
+        return True
+    return not _EARLY.isdisjoint(signs) and _LATE.search(text) is not None or not _DOUBTFUL.isdisjoint(signs) and _INSIDE.search(text) is not None
 
 
 def occurrences(text: str) -> Counter:

@@ -8,7 +8,6 @@ labels.
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -59,7 +58,7 @@ def for_page(m: PageModel, known: list[dict] | None) -> PageModel:
     """The model with the repeated lines that a page came with, where it came with them."""
     if known is None:
         return m
-    return replace(m, lines=line_tables(((x["kind"], x["h"], x["v"]) for x in known), frozenset))
+    return replace(m, lines=line_tables((x["kind"], x["h"], x["v"]) for x in known))
 
 
 def count_lines(pages: DataFrame) -> DataFrame:
@@ -76,30 +75,32 @@ def count_lines(pages: DataFrame) -> DataFrame:
     else:
         own = own.withColumn("again", F.lit(True))
 
-    def rows(held: Counter, z: dict) -> pa.RecordBatch:
-        sums: dict = {}
-        for (d, key, a, o), n in held.items():
-            x = sums.setdefault((d, key), [0, 0, 0])
-            x[0] += n
-            x[1] += n * a
-            x[2] += n * o
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        cols = zip(*((d, *key, z[key], *x) for (d, key), x in sums.items())) if sums else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "front", "k", "z", "n", "a", "o"])
+    def rows(at: dict[tuple, int], cols: tuple[list, ...]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), *[pa.int64()] * 4)
+        out = [pa.array(c, k) for c, k in zip((*(zip(*at) if at else [()] * 3), *cols), kinds)]
+        at.clear()
+        for c in cols:
+            c.clear()
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "front", "k", "z", "n", "a", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.set_threshold(100_000, 20, 50)
-        shapes, held, bare = Shapes(), Counter(), {}
+        shapes, at, cols = Shapes(), {}, ([], [], [], [])
+        z_, n_, a_, o_ = cols
         for b in batches:
             for d, host, headings, lines, _, again in page_rows(b):
-                for key, (z, a, o) in page_facts([shapes.of(x, host) for x in lines], headings).items():
-                    held[d if again else None, key, a, o] += 1
-                    bare[key] = z
-            if len(held) >= HELD:
-                yield rows(held, bare)
-                held.clear()
-                bare.clear()
-        yield rows(held, bare)
+                own = d if again else None
+                for (front, k), (z, a, o) in page_facts([shapes.of(x, host) for x in lines], headings).items():
+                    i = at.setdefault((own, front, k), len(n_))
+                    if i < len(n_):
+                        n_[i] += 1
+                        a_[i] += a
+                        o_[i] += o
+                    else:
+                        z_.append(z), n_.append(1), a_.append(int(a)), o_.append(int(o))
+            if len(at) >= HELD:
+                yield rows(at, cols)
+        yield rows(at, cols)
 
     facts = own.mapInArrow(run, "doc_id bigint, front boolean, k bigint, z bigint, n bigint, a bigint, o bigint")
     alone = F.col("doc_id").isNull()

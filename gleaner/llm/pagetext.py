@@ -40,12 +40,17 @@ SAMPLE_PAGES = 4000
 #: that reaches it on one site reaches it overall), and those from which the share of a line's followers is judged.
 REPEATED, OFTEN = 5, 10
 
+#: Keys up to which a plain set holds them (about 60 bytes each), beyond it ``Hashes``.
+FEW = 200_000
+#: Pages of the sample on which the clusters' centres are fitted.
+CENTRE_PAGES = 1000
 #: Short lines whose evidence a worker keeps, and how short.
 KNOWN, SHORT = 40_000, 200
 
 WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"(?<![.!?…])[.!?…]++[\"”’“»)]*(?=\s|$)")
 _LEAD = re.compile(r"^[\s»>*•·–—\-]+")
+_SEPARATED = re.compile(r"[|•·/»>–-]|\s\s")  # what every separator holds
 _BRACKET = re.compile(r"\[[^\[\]\s]{1,12}\]")
 _SEPARATOR = re.compile(r"\s+[|•·/»>–-]\s+|\s{2,}|\s*[|•·]\s*")
 _LABEL = re.compile(r"^([^:\d]{2,24}?)\s*(?::|\s[-–])\s+\S")
@@ -180,11 +185,11 @@ def fit_prose(texts: list[str]) -> tuple[dict[str, float], tuple[float, float]]:
             strings.append("^^^" + c + "$")
     four, three, two, one = Counter(), Counter(), Counter(), Counter()
     for s in strings:
-        for i in range(ORDER, len(s) + 1):
-            four[s[i - 4 : i]] += 1
-            three[s[i - 4 : i - 1]] += 1
-            two[s[i - 2 : i]] += 1
-            one[s[i - 2]] += 1
+        four.update([s[i : i + ORDER] for i in range(len(s) - ORDER + 1)])
+    for k, n in four.items():
+        three[k[:-1]] += n
+        two[k[-2:]] += n
+        one[k[-2]] += n
     table = {k: -math.log((n + 0.1) / (three[k[:-1]] + 1.0)) for k, n in four.items()}
     table |= {k: -math.log((n + 0.1) / (one[k[0]] + 1.0)) for k, n in two.items()}
     table = Ngrams(table)
@@ -228,6 +233,11 @@ def core(line: str) -> tuple[str, int]:
     return text, traces
 
 
+def ends_sentence(text: str) -> bool:
+    """Whether a sentence ends in the text."""
+    return ("." in text or "!" in text or "?" in text or "…" in text) and _SENTENCE_END.search(text) is not None
+
+
 def is_paragraph(text: str, words: Sequence[str]) -> bool:
     return len(words) >= 12 and (len(text) > 160 or len(_SENTENCE_END.findall(text)) >= 2)
 
@@ -251,6 +261,7 @@ class Shape:
     words: tuple[str, ...]
     letters: str = ""
     key: int = 0
+    label: tuple[str, ...] = ()  # words of the label in front
     front: tuple[int, int | None, bool] | None = None  # key and skeleton of the label, whether tags follow
 
 
@@ -260,11 +271,13 @@ def shape(raw: str, host: str) -> Shape:
     if not words:
         return Shape(text, traces, words)
     letters = own_key(words, host)
-    front = None
-    if head := _LABEL.match(text):
-        if name := own_key(WORD.findall(head.group(1).lower()), host):
-            front = hashed(name), skeleton(name), "," in text and not _SENTENCE_END.search(text)
-    return Shape(text, traces, words, letters, hashed(letters), front)
+    label, front = (), None
+    if (":" in text or "-" in text or "–" in text) and (head := _LABEL.match(text)):
+        label = words[: len(WORD.findall(head.group(1)))]
+        if label:
+            name = own_key(label, host)
+            front = hashed(name), skeleton(name), "," in text and not ends_sentence(text)
+    return Shape(text, traces, words, letters, hashed(letters), label, front)
 
 
 class Shapes(dict):
@@ -331,12 +344,13 @@ def judge_lines(rows: Iterable[tuple[bool, int, int | None, int, int, int]]) ->
             yield "bare", z, k
 
 
-def line_tables(rows: Iterable[tuple[str, int, int]], pack: type = Hashes) -> LineTables:
+def line_tables(rows: Iterable[tuple[str, int, int]]) -> LineTables:
     """The tables of ``judge_lines``' rows; of several keys with one skeleton the largest stands for it."""
     found: dict[str, list[tuple[int, int]]] = {"line": [], "tags": [], "bare": []}
     for kind, k, v in rows:
         found[kind].append((k, v))
     lines = found["line"]
+    pack = frozenset if len(lines) <= FEW else Hashes
     return LineTables(pack(k for k, _ in lines), dict(sorted(found["bare"])), pack(k for k, v in lines if v), pack(k for k, _ in found["tags"]))
 
 
@@ -368,13 +382,13 @@ def fit(sample: list, lines: LineTables | None = None) -> PageModel:
                 b.update("§" if w == host else w for w in set(x.words))
             elif para:
                 p.update(set(x.words))
-            if not repeated and (para or len(x.words) >= 8 and _SENTENCE_END.search(x.text)) and not ANY_FUNCTION.isdisjoint(x.words):
+            if not repeated and (para or len(x.words) >= 8 and ends_sentence(x.text)) and not ANY_FUNCTION.isdisjoint(x.words):
                 prose.append(x.text)
     nb, np_ = sum(b.values()) + 1, sum(p.values()) + 1
     weights = {w: math.log((b[w] + 0.3) / nb) - math.log((p[w] + 0.3) / np_) for w in b.keys() | p.keys() if b[w] + p[w] >= 3}
     weights = Weights({w: max(-4.0, min(4.0, x)) for w, x in weights.items()})
     m = PageModel(weights, lines, *fit_prose(prose))
-    smooth = [v for host, headings, body, _ in sample for v in smoothed(page_ratios(m, [read_line(m, x, host) for x in body.split("\n")], headings))]
+    smooth = [v for host, headings, body, _ in sample[:CENTRE_PAGES] for v in smoothed(page_ratios(m, [read_line(m, x, host) for x in body.split("\n")], headings))]
     m.centres = two_means(smooth, m.centres, 0.0)
     return m
 
@@ -399,11 +413,12 @@ class Line:
 
 def _structure(m: PageModel, x: Shape, s: float, host: str) -> tuple[float, int]:
     """Evidence from labels before lists and from menu separators, for lines that end no sentence, and the separators."""
-    head = _LABEL.match(x.text)
-    if head and x.front:
+    if x.front:
         key, bare, _ = x.front
-        if key in m.lines.tags or "�" in x.text and bare in m.lines.skeletons or sum(map(m.weights.__getitem__, WORD.findall(head.group(1).lower()))) >= 1.0:
+        if key in m.lines.tags or "�" in x.text and bare in m.lines.skeletons or sum(map(m.weights.__getitem__, x.label)) >= 1.0:
             s = max(s, 0.0) + 4.0
+    if not _SEPARATED.search(x.text):
+        return s, 0
     parts = [p for p in _SEPARATOR.split(x.text) if p]
     if len(parts) >= 3 and max(map(len, parts)) <= 40:
         s += 2.0 * len(parts)
@@ -450,10 +465,10 @@ def weigh(m: PageModel, x: Shape, host: str) -> Line:
         repeated = key in m.lines.keys
     if repeated:
         s = max(s, 0.0) + 6.0
-    if count <= 14 and _DATE.search(text):
+    if count <= 14 and ("19" in text or "20" in text) and _DATE.search(text):
         s += 6.0
     separators = 0
-    if text[-1] not in ".!?…" and _SENTENCE_END.search(text) is None:
+    if text[-1] not in ".!?…" and not ends_sentence(text):
         s, separators = _structure(m, x, s, host)
     if count >= 9 and not repeated and s < 1.0 * count and text[0].isupper() and text[-1] == "." and not x.traces:
         s = min(s, 0.0)
