@@ -226,6 +226,8 @@ def test_wrong_labels(fitted, crf, raw_pages):
     got = sorted(tuple(r) for r in G.wrong_labels(lines).collect())
     assert got == sorted([(i, 5, "fr") for i in range(5)] + [(i, 0, "de") for i in (2, 3, 4)])
     assert all(0 < r.confidence <= 1 for r in lines.collect())
+    cases = G.labelled_lines(raw_pages(*rows, {"doc_id": 20, "url": "https://a.example/", "body": shuffled("de", rng), "language": "de"}), (fitted, crf), skip_stuffed=False, only_cases=True)
+    assert sorted(tuple(r) for r in G.wrong_labels(cases).collect()) == got and cases.where("doc_id = 20").count() == 0
     runs = [(r.doc_id, r.first_line, r.last_line, r.lang) for r in G.segments(raw_pages(rows[0]), (fitted, crf), skip_stuffed=False).orderBy("first_line").collect()]
     assert runs == [(0, 1, 4, "de"), (0, 5, 5, "fr")]
     assert G.labelled_lines(raw_pages(), (fitted, crf)).count() == 0
