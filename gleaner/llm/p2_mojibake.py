@@ -2,15 +2,17 @@
 
 A wrong decoding replaces each letter by one fixed sign or run of signs, so within a source it is a substitution cipher.
 
-1. *Scan.* Fields whose non-ASCII runs aren't ordinary give their cipher units with the characters on both sides; the
-   units are built from Python's code pages by rule (every pair of a true and a wrong encoding, also applied twice and
-   with lowered case). Units inside proper quotation marks are citations and left out.
+1. *Scan.* Fields whose non-ASCII runs aren't ordinary give their cipher units with the characters on both sides. Units of
+   common swaps are built from Python's code pages by rule (every pair of a true and a wrong encoding, also applied twice and
+   with lowered case). Units of any other swap are *free*: runs of signs of other scripts that touch a Latin letter, which no
+   language writes. Units inside proper quotation marks are citations and left out.
 2. *EM per source.* The units' contexts are counted per site. Expectation: how likely is each target letter in its
    context under a character-bigram model of clean text, times the source's current table; maximisation: the table's new
-   weights. The code pages only give the start weights, the reading of a sign itself ("it is right as it stands") is
-   one of the targets.
+   weights. The code pages only give the start weights of their units; the reading of a sign itself ("it is right as it
+   stands") is one of the targets. A free unit may stand for any target, starting from the letters' own frequencies; which
+   signs begin a letter (misread UTF-8 writes several for one) is learned from the source's runs.
 3. *Decision.* A field is reported when reading its units by the source's table makes them more likely than they are as
-   they stand, by at least ``GAIN`` nats, or when it holds the replacement sign, which nothing can read back.
+   they stand, by at least ``GAIN`` nats. A second rule reports the replacement sign, which nothing can read back.
 4. *Repair.* The table is applied with ``str.translate`` for single signs and one regular expression for runs.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -29,8 +32,15 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.functions.urls import site
 from gleaner.session import materialize
 
-#: Nats by which a field's units must gain from being read through the table.
-GAIN = 4.0
+#: Nats by which a field's units must gain from being read through the table, and the most that one unit counts for.
+GAIN, MOST = 4.0, 20.0
+#: Start weight of letters that no code page gives a unit, all together beside 1 of a usual swap.
+UNLISTED = 0.05
+#: Free units: fewest in a source, least mean log probability of a bigram with the target, signs of a run at most; different
+#: contexts in which a listed unit must be met before it is given an unlisted letter.
+FREE_UNITS, FREE_FIT, FREE_SIGNS, FREE_CONTEXTS = 2, -5.0, 24, 3
+#: Characters of a citation in quotation marks at most; longer ones are passages of the text itself.
+CITED = 60
 #: Rounds of EM, weight of the start table in counts, least log probability of a bigram.
 ROUNDS, PRIOR, FLOOR = 6, 1.0, math.log(1e-6)
 LOST = "�"
@@ -44,7 +54,7 @@ _DOUBTFUL = frozenset("ÈÍÓÙÁÒÛÌÚÏÎÔ")  # capitals that a wrong table
 _INSIDE = re.compile(r"[a-zß-ÿ][ÈÍÓÙÁÒÛÌÚÏÎÔ]")
 _EARLY = frozenset("âÂÃãĂ")  # what misread UTF-8 often begins with
 _LATE = re.compile(f"[{''.join(sorted(_EARLY))}][^\\x00-\\x7f]")
-_QUOTED = re.compile(r"“[^“”\n]{1,60}”|„[^„“”\n]{1,60}[“”]|«[^«»\n]{1,60}»|‘[^‘’\n]{1,60}’")
+_QUOTED = re.compile("|".join(f"{a}[^{a}{b}\\n]{{1,{CITED}}}[{b}]" for a, b in (("“", "”"), ("„", "“”"), ("«", "»"), ("‘", "’"))))
 
 # Code pages by which UTF-8 is often read, and pairs of one-byte pages (true, read as).
 WIDE = ("cp1252", "latin_1", "cp437", "cp850", "cp1251", "mac_roman", "cp1250", "iso8859_2", "iso8859_15")
@@ -117,17 +127,47 @@ def suspicious(text: str) -> bool:
     return not _EARLY.isdisjoint(signs) and _LATE.search(text) is not None or not _DOUBTFUL.isdisjoint(signs) and _INSIDE.search(text) is not None
 
 
+_FREE = re.compile(rf"[^\x00-\x7f{LOST}]{{1,{FREE_SIGNS}}}+")
+
+
+@cache
+def _foreign(sign: str) -> bool:
+    """Whether a sign is of another script than Latin and no mark or sign of Latin-1."""
+    return ord(sign) > 0xFF and sign not in _CLEAN and not unicodedata.name(sign, "").startswith("LATIN ")
+
+
+@cache
+def _known_run(run: str) -> bool:
+    """Whether no sign of a run is of another script, or the code pages' units make it up."""
+    return not any(map(_foreign, run)) or run in units() or all(len(u) > 1 or not _foreign(u) for u in _unit_pattern().findall(run))
+
+
+def free_runs(text: str) -> Iterator[re.Match[str]]:
+    """Runs inside or beside Latin words that hold signs of other scripts and aren't made up of known units."""
+    for m in _FREE.finditer(text):
+        a, b = m.span()
+        if (a and text[a - 1].isascii() and text[a - 1].isalpha() or b < len(text) and text[b].isascii() and text[b].isalpha()) and not _known_run(m.group()):
+            yield m
+
+
 def occurrences(text: str) -> Counter:
     """(unit, left, right) -> count of a field's cipher units outside citations.
 
     A single sign is a unit only where no other non-ASCII sign touches it (foreign words and line drawings are runs), and an
-    ordinary letter or mark only as a capital inside a word.
+    ordinary letter or mark only as a capital inside a word. A free run is one unit, whatever number of letters it stands for.
     """
     table, out = units(), Counter()
     cited = [m.span() for m in _QUOTED.finditer(text)]
+    free: set[int] = set()
+    for m in free_runs(text):
+        a, b = m.span()
+        if not any(s < a and b < e for s, e in cited):
+            left, right = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
+            out[m.group(), left if left.isascii() else "", right if right.isascii() else ""] += 1
+        free.update(range(a, b))
     for m in _unit_pattern().finditer(text):
         u, (a, b) = m.group(), m.span()
-        if u not in table and u != LOST:
+        if a in free or u not in table and u != LOST:
             continue
         left, right = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
         if len(u) == 1 and u != LOST and not (left.isascii() and right.isascii()):
@@ -166,9 +206,13 @@ class Bigrams:
             first[a] += n
         self.table = {ab: math.log(n / (first[ab[0]] + 5.0)) for ab, n in pairs.items()}
 
+        self.signs = {a: n / sum(first.values()) for a, n in first.items()}
+
     def around(self, left: str, sign: str, right: str) -> float:
+        """Log probability of a sign (or several) between its neighbours."""
         get = self.table.get
-        return (get((left, sign), FLOOR) if left else 0.0) + (get((sign, right), FLOOR) if right else 0.0)
+        inner = sum(get(ab, FLOOR) for ab in zip(sign, sign[1:])) if len(sign) > 1 else 0.0
+        return inner + (get((left, sign[0]), FLOOR) if left else 0.0) + (get((sign[-1], right), FLOOR) if right else 0.0)
 
     def gain(self, left: str, unit: str, right: str, target: str) -> float:
         """By how much the context fits the target better than the unit as it stands; a run's inner pairs count too."""
@@ -190,34 +234,111 @@ def fit_bigrams(pages: DataFrame) -> Bigrams:
     return Bigrams.of({(a, b): n for a, b, n in zip(*(sums.column(c).to_pylist() for c in ("a", "b", "n")))})
 
 
+def expect_maximise(contexts: list[tuple[str, str, int]], start: dict[str, float], lm: Bigrams) -> dict[str, float]:
+    """Weights of a unit's targets after EM over its (left, right, count)."""
+    total = sum(start.values())
+    theta = {t: w / total for t, w in start.items()}
+    if len(theta) == 1:
+        return theta
+    fits = [(n, {t: lm.around(left, t, right) for t in theta}) for left, right, n in contexts]
+    for _ in range(ROUNDS):
+        new = {t: PRIOR * w / total for t, w in start.items()}
+        for n, fit in fits:
+            top = max(fit.values())
+            post = {t: theta[t] * math.exp(x - top) for t, x in fit.items()}
+            z = sum(post.values()) or 1.0
+            for t, x in post.items():
+                new[t] += n * x / z
+        z = sum(new.values())
+        theta = {t: x / z for t, x in new.items()}
+    return theta
+
+
+def fits(contexts: list[tuple[str, str, int]], target: str, lm: Bigrams) -> bool:
+    """Whether a target stands in its contexts as letters of clean text do."""
+    sides = sum(n * (bool(left) + bool(right)) for left, right, n in contexts)
+    return sides > 0 and sum(n * lm.around(left, target, right) for left, right, n in contexts) >= FREE_FIT * sides
+
+
+def lead_signs(runs: Counter) -> set[str]:
+    """The signs that begin a letter, where nearly all of a source's free runs are of two signs or more (misread UTF-8): the
+    commonest first signs that begin 95 % of the runs. Empty where single signs are letters by themselves."""
+    total = runs.total()
+    if sum(n for u, n in runs.items() if len(u) > 1) < 0.9 * total:
+        return set()
+    first, covered, out = Counter(), 0, set()
+    for u, n in runs.items():
+        first[u[0]] += n
+    for sign, n in sorted(first.items(), key=lambda x: (-x[1], x[0])):
+        if covered >= 0.95 * total:
+            break
+        out.add(sign)
+        covered += n
+    return out
+
+
+def letters_of(run: str, leads: set[str]) -> list[str]:
+    """A free run split into the units of its letters: a lead and what follows it up to the next, or single signs."""
+    if not leads:
+        return list(run)
+    out: list[str] = []
+    for c in run:
+        if not out or c in leads and not (len(out[-1]) == 1 and out[-1] in leads):
+            out.append(c)
+        else:
+            out[-1] += c
+    return out
+
+
+def learn_free(seen: dict[str, list[tuple[str, str, int]]], lm: Bigrams) -> dict[str, tuple[str, float]]:
+    """EM over a source's free runs: run -> (letters, least weight of one). Where the letters don't fit their contexts as clean
+    text does, the run stands for itself."""
+    runs = Counter({u: sum(n for *_, n in c) for u, c in seen.items()})
+    leads = lead_signs(runs)
+    contexts: dict[str, Counter] = defaultdict(Counter)
+    for u, c in seen.items():
+        parts = letters_of(u, leads)
+        for i, p in enumerate(parts):
+            for left, right, n in c:
+                contexts[p][left if i == 0 else "", right if i == len(parts) - 1 else ""] += n
+    start = {t: lm.signs[t] for t in TARGETS if t in lm.signs}
+    best: dict[str, tuple[str, float]] = {}
+    if start and sum(runs.values()) >= FREE_UNITS:
+        for p, c in contexts.items():
+            around = [(left, right, n) for (left, right), n in c.items() if left or right]
+            theta = expect_maximise(around, start, lm)
+            t = max(sorted(theta), key=theta.__getitem__)
+            if fits(around, t, lm):
+                best[p] = t, theta[t]
+    out = {}
+    for u in seen:
+        parts = letters_of(u, leads)
+        read = [best.get(p) for p in parts]
+        out[u] = ("".join(t for t, _ in read), min(w for _, w in read)) if all(read) else (u, 1.0)
+    return out
+
+
 def learn_table(rows: list[tuple[str, str, str, int]], lm: Bigrams) -> dict[str, tuple[str, float]]:
-    """EM over one source's (unit, left, right, count): unit -> (best target, its weight). The unit itself is a target of
-    single signs; runs have the code pages' targets only."""
+    """EM over one source's (unit, left, right, count): unit -> (best target, its weight). The code pages say what is likely at
+    the start, and the unit itself is a target of single signs; where none of these fits its contexts, any letter is. Single
+    Latin letters, which may be rightly written foreign ones, have the code pages' targets only."""
     table = units()
     seen: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
+    free: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
     for u, left, right, n in rows:
         if u != LOST:
-            seen[u].append((left, right, n))
-    out = {}
+            (seen if u in table else free)[u].append((left, right, n))
+    out = learn_free(free, lm)
+    any_letter = {t: UNLISTED * lm.signs[t] for t in TARGETS if t in lm.signs}
     for u, contexts in seen.items():
-        start = dict(table[u])
-        if len(u) == 1:
-            start[u] = 0.2
-        total = sum(start.values())
-        theta = {t: w / total for t, w in start.items()}
-        if len(theta) > 1:
-            fits = [(n, {t: lm.around(left, t, right) for t in theta}) for left, right, n in contexts]
-            for _ in range(ROUNDS):
-                new = {t: PRIOR * w / total for t, w in start.items()}
-                for n, fit in fits:
-                    top = max(fit.values())
-                    post = {t: theta[t] * math.exp(x - top) for t, x in fit.items()}
-                    z = sum(post.values()) or 1.0
-                    for t, x in post.items():
-                        new[t] += n * x / z
-                z = sum(new.values())
-                theta = {t: x / z for t, x in new.items()}
+        start = table[u] | {u: 0.2} if len(u) == 1 else table[u]
+        theta = expect_maximise(contexts, start, lm)
         best = max(sorted(theta), key=theta.__getitem__)
+        if (len(u) > 1 or _foreign(u)) and len(contexts) >= FREE_CONTEXTS and not fits(contexts, best, lm):
+            wide = expect_maximise(contexts, any_letter | start, lm)
+            other = max(sorted(wide), key=wide.__getitem__)
+            if sum(n * (lm.around(left, other, right) - lm.around(left, best, right)) for left, right, n in contexts) >= 2 * MOST:
+                best, theta = other, wide
         out[u] = (best, theta[best])
     return out
 
@@ -275,7 +396,7 @@ def _judged(found: DataFrame, tables: DataFrame, shared) -> DataFrame:
     def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             g = [
-                GAIN * 2 if u == LOST else 0.0 if t is None or t == u else min(20.0, shared.value.gain(left, u, right, t)) * n
+                GAIN * 2 if u == LOST else 0.0 if t is None or t == u else min(MOST, shared.value.gain(left, u, right, t)) * n
                 for u, left, right, t, n in zip(b.unit, b.l, b.r, b.target, b.n)
             ]
             yield pd.DataFrame({"doc_id": b.doc_id, "field": b.field, "n": b.n, "gain": g, "lost": b.unit == LOST})
@@ -318,22 +439,24 @@ def repair_text(text: str | None, table: dict[str, str]) -> str | None:
         return text
     # where runs show that UTF-8 was misread, single signs are right as they stand
     runs = any(len(m.group()) > 1 for m in _unit_pattern().finditer(text))
-    single = {} if runs else {ord(u): t for u, t in table.items() if len(u) == 1}
+    single = {} if runs else {ord(u): t for u, t in table.items() if len(u) == 1 and u in units()}
     whole = _likeliest()[1]
     if sum(whole.get(u) == t for u, t in single.items()) >= 2:  # the source's page is known, so signs never met are too
         single = whole | single
 
     def one(m: re.Match) -> str:
         u = m.group()
-        if len(u) > 1:
+        if len(u) > 1 or u not in units():
             return table.get(u) or _likeliest()[0].get(u, u)
         return u.translate(single)
 
+    free = sorted((u for u in table if u not in units()), key=len, reverse=True)
+    found = re.compile("|".join([*map(re.escape, free), _unit_pattern().pattern])) if free else _unit_pattern()
     out, at = [], 0
     for q in _QUOTED.finditer(text):
-        out += [_unit_pattern().sub(one, text[at : q.start()]), q.group()]
+        out += [found.sub(one, text[at : q.start()]), q.group()]
         at = q.end()
-    return "".join([*out, _unit_pattern().sub(one, text[at:])])
+    return "".join([*out, found.sub(one, text[at:])])
 
 
 def repaired(pages: DataFrame, lm: Bigrams | None = None) -> DataFrame:
