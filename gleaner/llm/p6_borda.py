@@ -5,18 +5,22 @@ competition rank with averaged ties, counted from the bottom), divided by the nu
 are summed; the identifier breaks ties. Only the order of values within a query counts, so units, outliers and
 monotone rescalings have no effect, and a score that is constant within a query gives everyone the same points.
 
-The named method gives a missing score the middle rank; the task's own statement says a null is no better than the
-query's lowest, so nulls share the last place here.
-
-Ranks are taken without one task ever holding a whole query: equal values are counted first, the values of a query
-are split into order-preserving buckets, a window over the (bounded) bucket totals gives each bucket its offset, and a
-second window ranks values within a bucket.
+The named method gives a missing score the middle rank (``missing="middle"``: half of the points, and it doesn't count among
+the others); the task's own statement says a null is no better than the query's lowest, so by default nulls share the last
+place.
+
+One exchange brings a query's rows together, and windows over its five orders rank them there. Queries of more than
+``BIG_QUERY`` rows, which are counted first, take another way that no task ever holds one of them in: equal values are counted,
+the values are split into order-preserving buckets, a window over the (bounded) bucket totals gives each bucket its offset, and
+a second window ranks values within a bucket. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gleaner.session import materialize
+
 SCORES = {
     "bm25_score": "bm25_score",
     "field_boost": "score_details.field_boost",
@@ -24,6 +28,8 @@ SCORES = {
     "link": "score_details.link",
     "lsa": "score_details.lsa",
 }
+#: Rows of a query up to which one task ranks it.
+BIG_QUERY = 200_000
 #: Buckets per doubling of a value; together at most about 2 * 32 * 1100 buckets in a query.
 STEPS = 32
 
@@ -41,11 +47,14 @@ def _offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, "b", before.alias("below"), F.sum("c").over(w).alias("total"))
 
 
-def points(scores: DataFrame, keys: list[str]) -> DataFrame:
+def points(scores: DataFrame, keys: list[str], missing: str = "last") -> DataFrame:
     """(keys, v, p) for each distinct value ``v`` of the columns ``keys`` + ``v``: Borda points in 0..1.
 
-    Nulls and NaN count as lowest and share the last place. A group of one row gets 0.5.
+    Nulls and NaN count as lowest and share the last place, or get 0.5 where ``missing`` is "middle". A group of one row gets 0.5.
     """
+    if missing == "middle":
+        null = scores.where("v is null").groupBy(*keys, "v").agg(F.lit(0.5).alias("p"))
+        return points(scores.where("v is not null"), keys).unionByName(null)
     counts = scores.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", bucket(F.col("v")))
     o, c = _offsets(counts, keys).alias("o"), counts.alias("c")
     cond = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "b"]]
@@ -63,30 +72,61 @@ def position(ranked: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     return df.join(o, F.col(group).eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b"))).withColumn("rank", (F.col("below") + F.row_number().over(w)).cast("int")).drop("b", "_b", "_g", "below", "total")
 
 
-def borda_scores(results: DataFrame, scores: dict[str, str] | None = None, weights: dict[str, float] | None = None, group: str = "query_id", item: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, borda): weighted points of each page of each query.
-
-    Rows repeated for one (query, page) count once, with the largest of their values per score; rows without a query or
-    page are left out. An empty table gives no rows.
-    """
-    scores = scores or SCORES
-    weights = weights or {}
+def _items(results: DataFrame, scores: dict[str, str], group: str, item: str) -> DataFrame:
+    """(g, d, v_...): one row for each page of each query, with its largest value of each score."""
     one = results.select(F.col(group).alias("g"), F.col(item).alias("d"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"v_{n}") for n, c in scores.items()])
-    one = one.where("g is not null and d is not null").groupBy("g", "d").agg(*[F.max(f"v_{n}").alias(f"v_{n}") for n in scores])
+    return one.where("g is not null and d is not null")
+
+
+def _largest(rows: DataFrame, scores: dict[str, str]) -> DataFrame:
+    return rows.groupBy("g", "d").agg(*[F.max(f"v_{n}").alias(f"v_{n}") for n in scores])
+
+
+def _in_place(rows: DataFrame, scores: dict[str, str], weights: dict[str, float], missing: str) -> DataFrame:
+    """(g, d, borda, rank) of queries that a task may hold: one exchange, then windows over what it brought together."""
+    items = _largest(rows.repartition("g"), scores)
+    parts = []
+    for n in scores:
+        v = F.col(f"v_{n}")
+        w = W.partitionBy("g").orderBy(v.asc_nulls_first())
+        items = items.withColumn(f"lo_{n}", F.rank().over(w) - 1).withColumn(f"up_{n}", F.round(F.cume_dist().over(w) * F.count(F.lit(1)).over(W.partitionBy("g"))).cast("bigint"))
+        nulls = F.count(F.when(v.isNull(), 1)).over(W.partitionBy("g")) if missing == "middle" else F.lit(0)
+        total = F.count(F.lit(1)).over(W.partitionBy("g")) - nulls
+        beaten = F.col(f"lo_{n}") - nulls + (F.col(f"up_{n}") - F.col(f"lo_{n}") - 1) / 2.0
+        p = F.when(total > 1, beaten / (total - 1)).otherwise(F.lit(0.5))
+        parts.append(F.round(F.when(v.isNull(), 0.5).otherwise(p) if missing == "middle" else p, 9) * float(weights.get(n, 1.0)))
+    total = float(sum(weights.get(n, 1.0) for n in scores))
+    scored = items.select("g", "d", F.round(sum(parts[1:], parts[0]) / total, 6).alias("borda"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.col("borda").desc(), F.col("d").asc())))
+
+
+def _spread(rows: DataFrame, scores: dict[str, str], weights: dict[str, float], missing: str) -> DataFrame:
+    """(g, d, borda, rank) of queries of any size, by counts of buckets."""
     entries = F.array(*[F.struct(F.lit(n).alias("m"), F.col(f"v_{n}").alias("v")) for n in scores])
-    long = one.select("g", "d", F.inline(entries))
+    long = _largest(rows, scores).select("g", "d", F.inline(entries))
     weight = F.create_map(*[F.lit(x) for n in scores for x in (n, float(weights.get(n, 1.0)))])
-    pts = points(long, ["g", "m"]).select("g", "m", F.col("v").alias("pv"), F.round(F.col("p") * weight[F.col("m")], 9).alias("p"))
-    return (
-        long.alias("l").join(pts.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.m") == F.col("r.m")) & F.col("v").eqNullSafe(F.col("pv")))
-        .groupBy(F.col("l.g").alias(group), F.col("d").alias(item))
-        .agg(F.round(F.sum("p") / float(sum(weights.get(n, 1.0) for n in scores)), 6).alias("borda"))
-    )
+    pts = points(long, ["g", "m"], missing).select(F.col("g").alias("pg"), F.col("m").alias("pm"), F.col("v").alias("pv"), (F.round("p", 9) * weight[F.col("m")]).alias("p"))
+    total = float(sum(weights.get(n, 1.0) for n in scores))
+    scored = long.join(pts, (F.col("g") == F.col("pg")) & (F.col("m") == F.col("pm")) & F.col("v").eqNullSafe(F.col("pv"))).groupBy("g", "d").agg(F.round(F.sum("p") / total, 6).alias("borda"))
+    return position(scored, "g", "borda", "d").select("g", "d", "borda", "rank")
 
 
-def borda_ranking(results: DataFrame, **kw) -> DataFrame:
-    """(query_id, doc_id, borda, rank): the whole combined order of every query."""
-    return position(borda_scores(results, **kw), kw.get("group", "query_id"), "borda", kw.get("item", "doc_id"))
+def borda_ranking(results: DataFrame, scores: dict[str, str] | None = None, weights: dict[str, float] | None = None, group: str = "query_id", item: str = "doc_id", missing: str = "last") -> DataFrame:
+    """(query_id, doc_id, borda, rank): the whole combined order of every query, by weighted points, ties by identifier.
+
+    Rows repeated for one (query, page) count once, with the largest of their values per score; rows without a query or
+    page are left out. An empty table gives no rows. ``missing`` says what a null or NaN score gets: the "last" or "middle" rank.
+    """
+    if missing not in ("last", "middle"):
+        raise ValueError(f"missing must be 'last' or 'middle', not {missing!r}")
+    scores, weights = scores or SCORES, weights or {}
+    rows = _items(results, scores, group, item)
+    big = materialize(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BIG_QUERY).select("g"), "big_queries")
+    if big.isEmpty():
+        out = _in_place(rows, scores, weights, missing)
+    else:
+        out = _in_place(rows.join(big, "g", "left_anti"), scores, weights, missing).unionByName(_spread(rows.join(big, "g", "left_semi"), scores, weights, missing))
+    return out.select(F.col("g").alias(group), F.col("d").alias(item), "borda", "rank")
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

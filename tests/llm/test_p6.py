@@ -19,14 +19,36 @@ def test_twin(spark, duck, name):
     same_rows(P.QUERIES[name](spark, SMALL), duck, P.ORACLE[name])
 
 
-def test_against_pandas(spark):
-    pdf = spark.read.parquet(f"{SMALL}/results.parquet").selectExpr("query_id", "doc_id", "bm25_score a", "score_details.field_boost b", "score_details.prf c", "score_details.link d", "score_details.lsa e").toPandas().drop_duplicates()
+def pandas_points(g, missing):
+    out = 0
+    for c in "abcde":
+        if missing == "last":
+            out = out + (g[c].rank(method="average", na_option="top") - 1) / max(1, len(g) - 1)
+        else:
+            out = out + ((g[c].rank(method="average") - 1) / max(1, g[c].notna().sum() - 1)).where(g[c].notna() & (g[c].notna().sum() > 1), 0.5)
+    return out / 5 if len(g) > 1 else out * 0 + 0.5
+
+
+@pytest.mark.parametrize("big", [200_000, 20])
+@pytest.mark.parametrize("missing", ["last", "middle"])
+def test_against_pandas(spark, monkeypatch, missing, big):
+    """Both ways of ranking give what pandas gives, some queries going one and some the other."""
+    monkeypatch.setattr(P, "BIG_QUERY", big)
+    results = spark.read.parquet(f"{SMALL}/results.parquet")
+    pdf = results.selectExpr("query_id", "doc_id", "bm25_score a", "score_details.field_boost b", "score_details.prf c", "score_details.link d", "score_details.lsa e").toPandas().drop_duplicates()
     want = {}
     for q, g in pdf.groupby("query_id"):
-        total = sum(g[c].rank(method="average", na_option="top") - 1 for c in "abcde") / max(1, len(g) - 1) / 5
-        want |= {(q, d): round(x, 6) for d, x in zip(g.doc_id, total)}
-    got = {(r.query_id, r.doc_id): r.borda for r in P.borda_scores(spark.read.parquet(f"{SMALL}/results.parquet")).collect()}
-    assert got == pytest.approx(want, abs=2e-6)
+        want |= {(q, d): round(x, 6) for d, x in zip(g.doc_id, pandas_points(g, missing))}
+    rows = P.borda_ranking(results, missing=missing).collect()
+    assert {(r.query_id, r.doc_id): r.borda for r in rows} == pytest.approx(want, abs=2e-6)
+    for q in {r.query_id for r in rows}:
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (-r.borda, r.doc_id))
+
+
+def test_one_exchange(spark):
+    plan = P.p6_found(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2
 
 
 def test_units_and_outliers_have_no_effect(spark):
@@ -43,6 +65,8 @@ def test_edges(spark):
     assert {k: v[0] for k, v in got.items()} == {("q", 3): 1, ("q", 1): 2, ("q", 2): 3, ("one", 9): 1} or got[("q", 3)][0] == 1
     assert got[("one", 9)][1] == 0.5 and len(got) == 4
     assert P.borda_ranking(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        P.borda_ranking(spark.createDataFrame([], SCHEMA), missing="first")
 
 
 def test_ties_go_by_identifier(spark):
