@@ -53,10 +53,19 @@ def test_removal(raw_pages):
     assert P.remove_repeated_lines(raw_pages()).count() == 0
 
 
-def test_broadcast_and_shuffle_agree(raw_pages, monkeypatch):
-    want = sorted(map(tuple, P.repeated_lines(case(raw_pages)).collect()))
+def test_broadcast_and_shuffle_agree(raw_pages, spark, monkeypatch):
+    pages = spark.read.parquet(f"{SMALL}/raw_pages.parquet")
+    cleaned = lambda p: sorted((str(r.doc_id), r.removed_lines, str(r.clean_body)) for r in P.remove_repeated_lines(p).collect())
+    want = sorted(map(tuple, P.repeated_lines(case(raw_pages)).collect())), cleaned(case(raw_pages)), cleaned(pages)
+    assert sum(n for _, n, _ in want[2]) > 0
     monkeypatch.setattr(P, "BROADCAST_KEYS", 0)
-    assert sorted(map(tuple, P.repeated_lines(case(raw_pages)).collect())) == want
+    assert (sorted(map(tuple, P.repeated_lines(case(raw_pages)).collect())), cleaned(case(raw_pages)), cleaned(pages)) == want
+
+
+def test_removal_moves_no_body(spark):
+    """The broadcast way reads bodies and writes them, with no exchange between."""
+    pages = spark.read.parquet(f"{SMALL}/raw_pages.parquet")
+    assert "Exchange" not in P.remove_repeated_lines(pages)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_summaries_merge(spark):
