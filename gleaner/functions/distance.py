@@ -34,5 +34,7 @@ def damerau_column(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def within(a: Column, b: Column, most: Column) -> Column:
-    """Native test that never rejects a pair within ``most`` edits with transpositions (a swap costs two without)."""
-    return F.levenshtein(a, b) <= 2 * most
+    """Native test that never rejects a pair within ``most`` (at most two) edits with transpositions (a swap costs two without).
+    The distance is given up beyond four."""
+    d = F.levenshtein(a, b, 4)
+    return (d >= 0) & (d <= 2 * most)

@@ -14,6 +14,7 @@ from gleaner.functions.urls import ASSET_SUFFIXES
 
 _SKIPPED = frozenset({"script", "style", "noscript", "svg"})
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Link schemes that name no page, and what an e-mail address looks like.
 _NO_LINK = ("mailto:", "tel:", "javascript:", "sms:", "fax:")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
 SCHEMA = "title string, headings array<string>, canonical_url string, html_lang string, outgoing_links array<string>, body string"
@@ -63,10 +64,14 @@ class PageParser(HTMLParser):
             self.headings.append([])
         if tag == "title" and self.title is None:
             self.title = []
+        if tag == "main" and "main" in self.seen:
+            tag = "main (another)"  # the page's text is that of the first
         self.seen.add(tag)
         self.open.append(tag)
 
     def handle_endtag(self, tag):
+        if tag == "main" and tag not in self.open:
+            tag = "main (another)"
         if tag in self.open:
             while self.open.pop() != tag:
                 pass

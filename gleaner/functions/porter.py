@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 # Words with a stem of their own, and the suffix tables of steps 2 to 4.
@@ -117,12 +117,24 @@ def stem_term(term: str, keep: str = "tubingen") -> str:
     return term if term == keep else stem(term)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens(lists: pd.Series) -> pd.Series:
+def _stems(terms: pa.Array) -> pa.Array:
+    """Stems of terms, each distinct one stemmed once."""
+    coded = terms.dictionary_encode()
+    return pa.array([stem_term(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _stem_lists(lists: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(lists.offsets, _stems(lists.values))
+
+
+def stem_tokens(lists: Column) -> Column:
     """Stems of each list's terms in order; the town's name stays whole. Null stays null."""
-    return lists.map(lambda ts: None if ts is None else [None if t is None else stem_term(t) for t in ts])
+    lists = F.col(lists) if isinstance(lists, str) else lists
+    stems = _stem_lists(F.coalesce(lists, F.array().cast("array<string>")))
+    return F.when(lists.isNotNull(), stems)
 
 
-@F.pandas_udf(StringType())
-def stem_column(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda t: None if t is None else stem_term(t))
+@F.arrow_udf(StringType())
+def stem_column(terms: pa.Array) -> pa.Array:
+    return _stems(terms)

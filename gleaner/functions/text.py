@@ -80,10 +80,7 @@ def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS, foldings: Sequenc
     """
     low = F.lower(strip_accents(fold_town(F.coalesce(text, F.lit("")), foldings), exact))
     found = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    # a literal map is looked up by hash, an array of literals would be scanned for every term
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else None
-    keep = F.filter(found, lambda t: F.length(t) > 1)
-    return keep if stop is None else F.filter(keep, lambda t: ~t.isin(*stopwords))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords) if stopwords else F.length(t) > 1)
 
 
 def list_tokens(values: Column, **kw) -> Column:

@@ -37,15 +37,9 @@ def host(url: Column) -> Column:
 
 def registrable_domain(url: Column) -> Column:
     """Last two labels of the host, three under a known two-label suffix; hosts of one label stay whole."""
-    labels = F.split(host(url), r"\.")
-    n = F.size(labels)
-    pick = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
-    return (
-        F.when(url.isNull(), F.lit(None).cast("string"))
-        .when(n <= 2, host(url))
-        .when(pick(2).isin(*TWO_LABEL_SUFFIXES), pick(3))
-        .otherwise(pick(2))
-    )
+    suffixes = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
+    # one pattern, so that compiled plans that use a domain several times stay small; the leftmost match is the longest
+    return F.regexp_extract(host(url), rf"(?s)(?:(?:[^.]*\.)?(?:{suffixes})|[^.]*\.[^.]*|^[^.]*)\z", 0)
 
 
 def site(url: Column) -> Column:

@@ -34,9 +34,11 @@ DEFAULT = Analyzer()
 
 
 def latest_pages(pages: DataFrame, by: str = "ingested_at") -> DataFrame:
-    """One row a document: of rows delivered again the latest, of equal times the one with the greatest body."""
+    """One row a document: of rows delivered again the latest, of equal times the one with the greatest body, title, URL, ..."""
     time = [F.col(by)] if by in pages.columns else []
-    return one_per_key(pages, "doc_id", F.struct(*time, F.coalesce("body", F.lit(""))))
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in ("body", "title", "url", "canonical_url", "fetched_url", "language") if c in pages.columns]
+    lists = [F.col(c) for c in ("headings", "outgoing_links") if c in pages.columns]
+    return one_per_key(pages, "doc_id", F.struct(*time, *texts, *lists))
 
 
 def preprocess(pages: DataFrame, analyzer: Analyzer = DEFAULT, preview: int = 80) -> DataFrame:

@@ -9,13 +9,14 @@ from gleaner.operators.bm25 import Bm25, analyse_queries, retrieve
 from gleaner.operators.index import Index
 from gleaner.operators.rerank import Rerank, rerank
 from gleaner.operators.spelling import correct
+from gleaner.session import materialize
 
 
 def search(queries: DataFrame, index: Index, analyzer: Analyzer = DEFAULT, bm25: Bm25 = Bm25(), ranking: Rerank | None = Rerank(), spelling: bool = True) -> DataFrame:
     """Ranked results of all queries; without ``ranking`` in BM25's order. Queries without a hit have no rows."""
     analysed = analyse_queries(queries, analyzer)
     if spelling:
-        analysed = correct(analysed, index.vocabulary)
+        analysed = materialize(correct(analysed, index.vocabulary), "corrected")  # read by the retrieval and the re-ranking
     found = retrieve(analysed, index, bm25)
     if ranking is None:
         return found.withColumn("score", F.col("bm25_score")).withColumn("rank", F.col("bm25_rank"))

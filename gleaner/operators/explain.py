@@ -69,12 +69,13 @@ def smart_summary(rows: DataFrame, analyze, body: str = "body", snippet: str = "
     own = sentences(F.substring(F.coalesce(F.col(body), F.lit("")), 1, reach))
     picked = F.slice(F.when(F.size(own) > 0, own).otherwise(sentences(F.col(snippet))), 1, most)
     base = rows.select(*key, F.col(snippet).alias("_snippet"), F.array_distinct(query_terms).alias("_q"), (F.array_distinct(prf_terms) if prf_terms else F.expr(EMPTY)).alias("_p"), F.array_distinct(analyze(F.col(title))).alias("_t"), picked.alias("_s"))
-    one = base.select(*key, "_q", "_p", "_t", F.posexplode("_s").alias("pos", "sentence")).withColumn("_w", F.array_distinct(analyze(F.col("sentence"))))
+    one = base.select(*key, "_snippet", "_q", "_p", "_t", F.posexplode_outer("_s").alias("pos", "sentence")).withColumn("_w", F.array_distinct(analyze(F.col("sentence"))))
     shared = lambda c: F.size(F.array_intersect("_w", c))
-    scored = one.withColumn("score", 3.0 * shared("_q") + 1.5 * shared("_p") + shared("_t")).where("score > 0")
-    top = scored.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("score"), F.col("pos"), F.col("sentence")))), 1, 2).alias("b"))
+    scored = one.withColumn("score", 3.0 * shared("_q") + 1.5 * shared("_p") + shared("_t"))
+    good = F.when((F.col("score") > 0) & F.col("sentence").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("pos"), F.col("sentence")))
+    top = scored.groupBy(*key).agg(F.max("_snippet").alias("_snippet"), F.slice(F.sort_array(F.collect_list(good)), 1, 2).alias("b"))
     text = F.array_join(F.transform(F.array_sort(F.transform("b", lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("sentence")))), lambda x: x["sentence"]), " ")
-    return base.select(*key, "_snippet").join(top.select(*key, text.alias("_text")), list(key), "left").select(*key, F.coalesce("_text", "_snippet", F.lit("")).alias("summary"))
+    return top.select(*key, F.coalesce(F.nullif(text, F.lit("")), "_snippet", F.lit("")).alias("summary"))
 
 
 def why_reasons(query: Column, title: Column, heading: Column, body: Column, matched: Column, details: Column | None = None) -> Column:

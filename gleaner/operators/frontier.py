@@ -17,9 +17,9 @@ from gleaner.functions.text import is_on_topic
 from gleaner.functions.urls import is_blacklisted, is_page_url, normalize_url, registrable_domain, url_key
 from gleaner.session import materialize
 
-# HTTP states that are worth another try, and how often.
+# HTTP states that are worth another try, and how many more tries a URL gets.
 TRANSIENT = (429, 500, 502, 503, 504)
-MAX_ATTEMPTS = 3
+MAX_RETRIES = 3
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def advance(clock: DataFrame, claimed: DataFrame, now: float, delay: float) -> D
 
 def outcome(status: Column, content_type: Column, allowed: Column, attempts: Column, related: Column, english: Column, known: Column) -> Column:
     """What becomes of a fetched page; the first that holds. A missing status is a transport error."""
-    retry = F.when(attempts + 1 < MAX_ATTEMPTS, F.lit("retry")).otherwise(F.lit("given_up"))
+    retry = F.when(attempts < MAX_RETRIES, F.lit("retry")).otherwise(F.lit("given_up"))
     return (
         F.when(~allowed, F.lit("robots_blocked"))
         .when(status.isNull() | status.isin(*TRANSIENT), retry)

@@ -1,7 +1,9 @@
 """Spelling correction of query terms against the vocabulary, as joins on equal keys.
 
-Unknown terms meet the vocabulary by first letter and length (one row for each permitted length), a native distance
-prefilter that never rejects a right pair goes first, and the exact distance with transpositions decides.
+Unknown terms meet the vocabulary by deletion neighbourhoods: two terms within n edits (a swap is one) have a form in common
+that is made by deleting at most n letters of each, so the keys are hashes of such forms, beside the first letter, which has to
+agree. No key holds more than the terms around one form, however large the vocabulary. A native distance prefilter that never
+rejects a right pair goes next, and the exact distance with transpositions decides.
 """
 
 from __future__ import annotations
@@ -21,12 +23,25 @@ def correctable(term: Column) -> Column:
     return (F.length(term) > 3) & ~term.rlike(r"^\p{Nd}+$") & (term != TOWN)
 
 
+def deletions(term: Column, n: int) -> Column:
+    """All forms of a term with at most ``n`` letters deleted."""
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    out = last = F.array(term)
+    for _ in range(n):
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda t: F.length(t) > 0), shorter)))
+        out = F.array_union(out, last)
+    return out
+
+
 def candidates(unknown: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
     """(token, term, df, dist) for the distinct tokens of ``unknown``: vocabulary terms within the permitted edits."""
     t = unknown.select("token").distinct().where(correctable(F.col("token"))).withColumn("d", allowed(F.col("token"), most))
-    t = t.withColumn("first", F.substring("token", 1, 1)).withColumn("len", F.explode(F.sequence(F.length("token") - F.col("d"), F.length("token") + F.col("d"))))
-    v = vocab.where("term != ''").select("term", "df", F.substring("term", 1, 1).alias("first"), F.length("term").alias("len"))
-    near = v.join(t, ["first", "len"]).where(within(F.col("token"), F.col("term"), F.col("d")))
+    form = lambda c, few: F.explode(F.transform(F.when(few, deletions(F.col(c), 1)).otherwise(deletions(F.col(c), most)), lambda x: F.xxhash64(F.substring(c, 1, 1), x)))
+    t = t.withColumn("form", form("token", F.col("d") == 1))
+    # tokens that may be two edits away have six letters at least, so shorter terms than four are never two away
+    v = vocab.where("term != ''").select("term", "df", form("term", F.length("term") < 4).alias("form"))
+    near = v.join(t, "form").where(F.substring("term", 1, 1) == F.substring("token", 1, 1))
+    near = near.where((F.abs(F.length("term") - F.length("token")) <= F.col("d")) & within(F.col("token"), F.col("term"), F.col("d"))).select("token", "term", "df", "d").distinct()
     return near.withColumn("dist", damerau_column("token", "term")).where("dist <= d").select("token", "term", "df", "dist")
 
 

@@ -22,7 +22,7 @@ def tokens(x: str) -> str:
 
 
 #: Latest delivery of each page, preprocessed pages without repeats, and their index tables.
-PAGES = "pages as (select * from (select *, row_number() over (partition by doc_id order by ingested_at desc, coalesce(body, '') desc) as _r from raw_pages where doc_id is not null) where _r = 1)"
+PAGES = "pages as (select * from (select *, row_number() over (partition by doc_id order by ingested_at desc, coalesce(body, '') desc, coalesce(title, '') desc, coalesce(url, '') desc, coalesce(canonical_url, '') desc, coalesce(fetched_url, '') desc, coalesce(language, '') desc) as _r from raw_pages where doc_id is not null) where _r = 1)"
 DOCS = """docs as (select doc_id, coalesce(url, '') as url, coalesce(fetched_url, '') as fetched_url, coalesce(canonical_url, '') as canonical_url,
   coalesce(title, '') as title, coalesce(snippet, '') as snippet, coalesce(title_tokens, []) as title_tokens, coalesce(heading_tokens, []) as heading_tokens,
   coalesce(body_tokens, []) as body_tokens, coalesce(body_length, len(coalesce(body_tokens, []))) as doc_length, coalesce(outgoing_links, []) as outgoing_links

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +38,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "glean
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one is set only where the session names none."""
+    """The shared folder for intermediate tables. A local one is set only where the session names none and runs on one machine."""
     folder = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CONF} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set(CONF, folder)
     return folder.rstrip("/")
@@ -55,15 +59,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike ``persist`` the rows survive the loss of an executor, and unlike ``checkpoint`` they are columnar and
-    compressed. The files go when the driver's Python ends.
+    compressed. The files go when the ``scratch`` around the call ends, at the latest when the driver's Python does.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
-    atexit.register(_quiet_remove, spark, path)
     return spark.read.parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is materialized inside is deleted at the end; results have to be written or collected before."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        release(start)
+
+
+def release(start: int = 0) -> None:
+    """Delete the intermediate tables written since the ``start``-th."""
+    while len(_written) > start:
+        _quiet_remove(*_written.pop())
+
+
+atexit.register(release)
+
+
 def _quiet_remove(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
