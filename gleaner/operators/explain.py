@@ -12,8 +12,12 @@ from gleaner.functions.text import clean_spaces, sentences
 REASONS = {
     "title": "Matched query term in title: ",
     "heading": "Matched query term in headings: ",
+    "url": "Matched query term in URL",
     "terms": "Matched indexed terms: ",
     "field": "Title or heading Field Boost contributed",
+    "prf": "Boosted by PRF terms: ",
+    "link": "Internal LinkScore contributed",
+    "lsa": "Semantic LSA similarity contributed",
     "none": "BM25 found textual overlap with the query.",
 }
 EMPTY = "cast(array() as array<string>)"
@@ -78,14 +82,21 @@ def smart_summary(rows: DataFrame, analyze, body: str = "body", snippet: str = "
     return top.select(*key, F.coalesce(F.nullif(text, F.lit("")), "_snippet", F.lit("")).alias("summary"))
 
 
-def why_reasons(query: Column, title: Column, heading: Column, body: Column, matched: Column, details: Column | None = None) -> Column:
-    """Sentences that say why a result is there."""
+def why_reasons(query: Column, title: Column, heading: Column, body: Column, matched: Column, details: dict[str, Column] | None = None, url: Column | None = None, prf: Column | None = None) -> Column:
+    """Sentences that say why a result is there. ``details`` holds the normalised parts of its score that exist, by "field", "prf",
+    "link" and "lsa"; ``url`` the terms of its URL, ``prf`` the feedback terms, best first."""
+    details = details or {}
     hits = lambda c: F.array_sort(F.array_intersect(F.array_distinct(query), F.coalesce(c, F.expr(EMPTY))))
     body_hits = F.when(F.size(hits(body)) > 0, hits(body)).otherwise(F.array_sort(F.array_distinct(F.coalesce(matched, F.expr(EMPTY)))))
     says = lambda c, s: F.when(F.size(c) > 0, F.concat(F.lit(s), F.array_join(c, ", ")))
-    out = [says(hits(title), REASONS["title"]), says(hits(heading), REASONS["heading"]), says(F.slice(body_hits, 1, 6), REASONS["terms"])]
-    if details is not None:
-        out.append(F.when(details["normalized_field_boost"] > 0, F.lit(REASONS["field"])))
+    gave = lambda name, s: F.when(details[name] > 0, s) if name in details else F.lit(None).cast("string")
+    out = [
+        says(hits(title), REASONS["title"]), says(hits(heading), REASONS["heading"]),
+        F.when(F.size(hits(url)) > 0, F.lit(REASONS["url"])) if url is not None else F.lit(None).cast("string"),
+        says(F.slice(body_hits, 1, 6), REASONS["terms"]), gave("field", F.lit(REASONS["field"])),
+        gave("prf", says(F.slice(F.coalesce(prf, F.expr(EMPTY)), 1, 5), REASONS["prf"])) if prf is not None else F.lit(None).cast("string"),
+        gave("link", F.lit(REASONS["link"])), gave("lsa", F.lit(REASONS["lsa"])),
+    ]
     found = F.array_compact(F.array(*out))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(REASONS["none"])))
 
@@ -108,11 +119,36 @@ def compact_context(text: Column, query: Column, most: int = 24_000) -> Column:
     return F.when(F.length(t) <= most, t).otherwise(clean_spaces(F.concat(F.substring(t, 1, half), F.lit(" ... "), F.substring(tail, 1, room))))
 
 
-def page_context(title: Column, url: Column, snippet: Column, texts: list[Column], query: Column, most: int = 24_000) -> Column:
-    """What a prompt tells about a page: title, URL, snippet and the first of ``texts`` that isn't blank, compacted."""
+#: Characters below which a page's text is too short to be told about alone, so that a fetched one is preferred.
+SHORT_TEXT = 600
+
+
+def page_context(title: Column, url: Column, snippet: Column, texts: list[Column], query: Column, most: int = 24_000, live: Column | None = None) -> Column:
+    """(context, source): what a prompt tells about a page, title, URL, snippet and the first of ``texts`` that isn't blank,
+    compacted, and where the text is from. ``live`` is the page's text fetched again (``sources.fetch.live_text``); it is taken
+    where the other is shorter than ``SHORT_TEXT`` and than it."""
     body = F.coalesce(*[F.nullif(clean_spaces(t), F.lit("")) for t in [*texts, snippet]], F.lit(""))
-    parts = [F.concat(F.lit(name), F.coalesce(c, F.lit(""))) for name, c in (("Title: ", title), ("URL: ", url), ("Snippet: ", snippet), ("Page text: ", compact_context(body, query, most)))]
-    return F.concat_ws("\n", *parts)
+    stored = F.when((body != "") & (body != clean_spaces(snippet)), F.lit("crawled page text")).otherwise(F.lit("snippet"))
+    fresh = clean_spaces(live) if live is not None else F.lit("")
+    better = (F.length(body) < SHORT_TEXT) & (F.coalesce(url, F.lit("")) != "") & (F.length(fresh) > F.length(body))
+    shown = F.when(better, fresh).otherwise(body)
+    parts = [F.concat(F.lit(name), F.coalesce(c, F.lit(""))) for name, c in (("Title: ", title), ("URL: ", url), ("Snippet: ", snippet), ("Page text: ", compact_context(shown, query, most)))]
+    return F.struct(F.concat_ws("\n", *parts).alias("context"), F.when(better, F.lit("live fetched page text")).otherwise(stored).alias("source"))
+
+
+#: Templates by mode; "custom" carries the user's own instruction. Callers may give others.
+PROMPTS = {
+    "relevance": "In two or three plain English sentences, tell a person who searched for \"{query}\" what the page below offers them. Rely on the page alone; say so where it has little to do with the search.\n\n{context}",
+    "summary": "Sum up the page below in two or three plain English sentences. Rely on the page alone and leave the search that led to it aside.\n\n{context}",
+    "custom": "{instruction}\n\nRely on the page below alone; say so where it doesn't hold the answer.\n\n{context}",
+}
+
+
+def prompts(mode: Column, query: Column, context: Column, instruction: Column, templates: dict[str, str] | None = None) -> Column:
+    """The prompt of each row by its mode; a "custom" one without an instruction, and unknown modes, ask about relevance."""
+    blank = F.trim(F.coalesce(instruction, F.lit(""))) == ""
+    asked = F.when((mode == "custom") & blank, F.lit("relevance")).otherwise(F.coalesce(mode, F.lit("relevance")))
+    return routed(asked, templates or PROMPTS, "relevance", query=query, context=context, instruction=instruction)
 
 
 def fill(template: str, **values: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.functions.html import extract_pages
-from gleaner.functions.lang import detect_language, looks_english
+from gleaner.functions.lang import NgramLanguages, detect_by_ngrams, detect_language, looks_english
 from gleaner.functions.text import is_on_topic
 from gleaner.functions.urls import is_blacklisted, is_page_url, normalize_url, registrable_domain, url_key
 from gleaner.session import materialize
@@ -87,17 +87,24 @@ def number_new(rows: DataFrame, last: int, column: str, order: list[str]) -> Dat
     return spread.join(F.broadcast(offsets), "_p").withColumn(column, F.col("_before") + F.col("_i") - F.col("_first") + last + 1).drop("_p", "_i", "_first", "_before")
 
 
-def process(fetched: DataFrame, saved_keys: DataFrame, conf: Crawl = Crawl()) -> DataFrame:
+def again(key: str, good: Column, url: str) -> Column:
+    """Whether another good page with the same key comes before a row in the order of URLs; such a page is a duplicate."""
+    return F.row_number().over(W.partitionBy(key, good).orderBy(url)) > 1
+
+
+def process(fetched: DataFrame, saved_keys: DataFrame, conf: Crawl = Crawl(), languages: NgramLanguages | None = None) -> DataFrame:
     """Fetched rows (url, attempts, fetched_url, status, content_type, html, allowed) with the extracted fields, language,
-    topic and ``outcome``; of pages with one canonical key in a round the first URL is saved."""
+    topic and ``outcome``; of pages with one canonical key in a round the first URL is saved. ``languages`` is a fitted model of
+    languages; without it closed-class words decide."""
     pages = extract_pages(fetched)
-    pages = pages.withColumn("language", detect_language(F.col("body"), F.col("html_lang")))
+    by_words = detect_language(F.col("body"), F.col("html_lang"))
+    pages = pages.withColumn("language", F.coalesce(detect_by_ngrams(F.col("body"), languages)["lang"], by_words) if languages else by_words)
     pages = pages.withColumn("is_related", is_on_topic(F.col("canonical_url"), F.col("title"), F.col("body"))).withColumn("is_english", looks_english(F.col("canonical_url"), F.col("language")))
     pages = pages.withColumn("key", url_key(F.col("canonical_url")))
     known = saved_keys.select("key").distinct().withColumn("_known", F.lit(True))
     pages = pages.join(known, "key", "left")
     good = F.col("allowed") & (F.col("status") == 200) & F.col("is_related") & F.col("is_english")
-    first = F.row_number().over(W.partitionBy("key", F.coalesce(good, F.lit(False))).orderBy("url")) > 1
+    first = again("key", F.coalesce(good, F.lit(False)), "url")
     result = outcome(F.col("status"), F.col("content_type"), F.col("allowed"), F.col("attempts"), F.col("is_related"), F.col("is_english"), F.coalesce("_known", F.lit(False)) | first)
     return pages.withColumn("outcome", result).drop("_known")
 

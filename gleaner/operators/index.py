@@ -15,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleaner import schemas
 from gleaner.operators.dedup import one_per_key
 from gleaner.session import materialize, remove
+from gleaner.sources.files import modified
 
 BUCKETS = 64
 
@@ -86,9 +88,11 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings_lists(postings: DataFrame) -> DataFrame:
-    """(term, postings): the nested form for export, by rising document."""
-    return postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def postings_lists(postings: DataFrame, span: int | None = None) -> DataFrame:
+    """(term, postings): the nested form for export, by rising document. With ``span`` (term, part, postings): a list holds the
+    documents of one range of ``span`` ids, so that a term of all documents is no single row."""
+    keys = [F.col("term")] if span is None else [F.col("term"), F.floor(F.col("doc_id") / span).alias("part")]
+    return postings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -150,6 +154,10 @@ class Index:
             t.persist()
         return self
 
+    def unpersist(self) -> None:
+        for t in (self.docs, self.postings, self.vocabulary):
+            t.unpersist()
+
     def save(self, path: str, buckets: int = BUCKETS) -> None:
         """Write the index below ``path``; what was there is replaced."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -178,3 +186,27 @@ def build_index(documents: DataFrame) -> Index:
     docs = materialize(one_per_id(documents), "docs")
     postings = materialize(term_frequencies(docs), "postings")
     return Index(metadata(docs), postings, vocabulary(postings))
+
+
+class IndexCache:
+    """Opened indexes by path, opened again where the stored one has changed. An index that can't be read is an empty one with a
+    message, and tried again the next time."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: dict[str, tuple[int, Index]] = {}
+
+    def get(self, path: str) -> tuple[Index, str]:
+        """(index, message); the message is empty where all is well."""
+        at = modified(self.spark, f"{path}/meta")
+        if path in self.held and self.held[path][0] == at:
+            return self.held[path][1], ""
+        if old := self.held.pop(path, None):
+            old[1].unpersist()
+        try:
+            index = Index.open(self.spark, path).persist()
+        except Exception as e:
+            empty = [self.spark.createDataFrame([], s) for s in (schemas.DOCS, schemas.POSTINGS, schemas.VOCABULARY)]
+            return Index(*empty), f"{path}: {type(e).__name__}: {str(e).splitlines()[0]}"
+        self.held[path] = at, index
+        return index, ""

@@ -62,7 +62,10 @@ def correct(analysed: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
     return analysed.withColumnRenamed("query_tokens", "entered_tokens").join(lists, "query_id", "left").withColumn("query_tokens", F.coalesce("fixed", empty)).drop("fixed")
 
 
-def shown_corrections(corrected: DataFrame) -> DataFrame:
-    """(query_id, entered, corrected) for each place where a token was changed."""
-    pairs = F.filter(F.arrays_zip(F.col("entered_tokens").alias("entered"), F.col("query_tokens").alias("corrected")), lambda p: p["entered"] != p["corrected"])
-    return corrected.select("query_id", F.inline(pairs))
+def shown_corrections(corrected: DataFrame, words: Column | None = None) -> DataFrame:
+    """(query_id, entered, corrected) for each place where a token was changed. ``words`` are the query's words before stemming, in
+    the tokens' places: what was typed is shown, not its stem."""
+    typed = F.col("entered_tokens") if words is None else words
+    shown = lambda x, i: F.struct(F.coalesce(F.get(typed, i), x["was"]).alias("entered"), x["now"].alias("corrected"), (x["was"] != x["now"]).alias("changed"))
+    pairs = F.transform(F.arrays_zip(F.col("entered_tokens").alias("was"), F.col("query_tokens").alias("now")), shown)
+    return corrected.select("query_id", F.inline(F.filter(pairs, lambda p: p["changed"]))).drop("changed")

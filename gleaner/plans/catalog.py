@@ -6,13 +6,18 @@ no twin. Arrays are compared as joined texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleaner.functions import lang, text as T, urls as U
 from gleaner.functions.html import extract_pages
 from gleaner.functions.porter import stem_column
 from gleaner.operators import analyze as A, batch as B, bm25 as R, explain as E, frontier as C, index as I, rerank as K, spelling as S
 from gleaner.plans import sql as Q
+from gleaner.session import workspace
+from gleaner.sources.fetch import robots_allowed
+from gleaner.sources.tables import load_checkpoint, save_checkpoint
 from gleaner.streaming.ingest import visits_by_window
 
 QUERIES: dict = {}
@@ -316,9 +321,23 @@ def looks_english(spark, d):
     return _pages(spark, d).select("doc_id", lang.looks_english(F.col("url"), F.col("language")).alias("english"))
 
 
+def _words_of(words: list[str]) -> str:
+    return f"len(list_filter(words, lambda w: list_contains([{', '.join(map(Q.quote, words))}], w)))"
+
+
+@query(f"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') as words from documents),
+  n as (select doc_id, {', '.join(f'{_words_of(ws)} as n_{x}' for x, ws in lang.PROFILES.items())} from w), m as (select *, greatest({', '.join(f'n_{x}' for x in lang.PROFILES)}) as most from n)
+  select doc_id, case when most = 0 then 'unknown' {' '.join(f"when n_{x} = most then '{x}'" for x in lang.PROFILES)} end as detected from m""")
+def language_by_words(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", lang.detect_language(F.col("text")).alias("detected"))
+
+
 @query()
 def language_detect(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", lang.detect_language(F.col("text")).alias("detected"))
+    """The fitted n-gram model over all documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = lang.detect_by_ngrams(F.col("text"), lang.fit_languages(docs, "text", "lang"))
+    return docs.select("doc_id", "lang", found.alias("f")).select("doc_id", "lang", F.col("f.lang").alias("detected"), F.round("f.confidence", 4).alias("confidence"))
 
 
 @query()
@@ -432,12 +451,26 @@ def highlight(spark, d):
     return _shown(spark, d).select("query_id", "doc_id", E.highlight(F.col("title"), F.col("query_tokens")).alias("marked"))
 
 
-@query(f"""{_SHOWN}, h as (select query_id, doc_id, list_sort(list_intersect(list_distinct(toks), title_tokens)) as t, list_sort(list_intersect(list_distinct(toks), heading_tokens)) as g, matched from shown)
+def _hits(c: str) -> str:
+    return f"list_sort(list_intersect(list_distinct(toks), {c}))"
+
+
+@query(f"""{_SHOWN}, h as (select query_id, doc_id, {_hits('s.title_tokens')} as t, {_hits('s.heading_tokens')} as g, {_hits('body_tokens')} as b, {_hits(Q.tokens('s.url'))} as u, matched from shown s join docs using (doc_id)),
+  d as (select query_id, doc_id, max(score_details.field_boost) as field, max(score_details.prf) as prf, max(score_details.link) as link, max(score_details.lsa) as lsa from results group by all)
   select query_id, doc_id, array_to_string(list_filter([case when len(t) > 0 then 'Matched query term in title: ' || array_to_string(t, ', ') end,
-   case when len(g) > 0 then 'Matched query term in headings: ' || array_to_string(g, ', ') end, 'Matched indexed terms: ' || array_to_string(matched[1:6], ', ')], lambda x: x is not null), ' / ') as reasons from h""")
+   case when len(g) > 0 then 'Matched query term in headings: ' || array_to_string(g, ', ') end, case when len(u) > 0 then 'Matched query term in URL' end,
+   'Matched indexed terms: ' || array_to_string((case when len(b) > 0 then b else matched end)[1:6], ', '), case when field > 0 then 'Title or heading Field Boost contributed' end,
+   case when prf > 0 then 'Boosted by PRF terms: ' || array_to_string(matched[1:5], ', ') end, case when link > 0 then 'Internal LinkScore contributed' end,
+   case when lsa > 0 then 'Semantic LSA similarity contributed' end], lambda x: x is not null), ' / ') as reasons from h left join d using (query_id, doc_id)""")
 def why_reasons(spark, d):
-    s = _shown(spark, d)
-    return s.select("query_id", "doc_id", _joined(E.why_reasons(F.col("query_tokens"), F.col("title_tokens"), F.col("heading_tokens"), F.expr(E.EMPTY), F.col("matched_terms")), " / ").alias("reasons"))
+    """Every kind of reason; the stored results give the parts of the scores, the matched terms stand for feedback terms."""
+    parts = {"field": "field_boost", "prf": "prf", "link": "link", "lsa": "lsa"}
+    details = spark.read.parquet(f"{d}/results.parquet").groupBy("query_id", "doc_id").agg(*[F.max(f"score_details.{c}").alias(f"d_{n}") for n, c in parts.items()])
+    s = _shown(spark, d).join(_docs(spark, d).select("doc_id", "body_tokens"), "doc_id").join(details, ["query_id", "doc_id"], "left")
+    reasons = E.why_reasons(
+        F.col("query_tokens"), F.col("title_tokens"), F.col("heading_tokens"), F.col("body_tokens"), F.col("matched_terms"), {n: F.col(f"d_{n}") for n in parts}, A.PLAIN(F.col("url")), F.array_sort("matched_terms")
+    )
+    return s.select("query_id", "doc_id", _joined(reasons, " / ").alias("reasons"))
 
 
 @query(f"""with {Q.PAGES}, s as (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(coalesce(body, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) as sentence from pages)
@@ -447,11 +480,111 @@ def sentence_split(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
 
 
-@query()
+def _sentences(x: str, least: int = 35, most: int = 340) -> str:
+    clean = f"trim(regexp_replace(coalesce({x}, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'))"
+    return f"list_filter(string_split(regexp_replace({clean}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) between {least} and {most})"
+
+
+@query(f"""{_SHOWN}, base as (select query_id, doc_id, snippet, list_distinct(toks) as q, list_distinct({Q.tokens('title')}) as t, {_sentences('substring(body, 1, 12000)')} as own, {_sentences('snippet')} as short from shown),
+  pick as (select *, (case when len(own) > 0 then own else short end)[1:80] as s from base), one as (select query_id, doc_id, q, t, unnest(s) as sentence, unnest(range(1, len(s) + 1)) as pos from pick),
+  words as (select *, list_distinct({Q.tokens('sentence')}) as w from one), valued as (select *, 3.0 * len(list_intersect(w, q)) + len(list_intersect(w, t)) as score from words),
+  placed as (select *, row_number() over (partition by query_id, doc_id order by score desc, pos) as r from valued where score > 0), told as (select query_id, doc_id, string_agg(trim(sentence), ' ' order by pos) as text from placed where r <= 2 group by all)
+  select query_id, doc_id, coalesce(text, snippet, '') as summary from base left join told using (query_id, doc_id)""")
 def smart_summary(spark, d):
     return E.smart_summary(_shown(spark, d).withColumnRenamed("query_tokens", "query_terms"), A.PLAIN)
 
 
-@query()
+_CLEAN = "trim(regexp_replace(coalesce({}, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'))"
+
+
+@query(f"""{_SHOWN}, q as (select b.query_id, b.doc_id, {_CLEAN.format('p.body')} as t, list_distinct(list_filter(list_transform(regexp_extract_all(query, '[A-Za-zÄÖÜäöüß]+'), lambda x: lower(x)), lambda w: length(w) > 2)) as words
+    from best b left join pages p using (doc_id) join (select query_id, arg_min(query, pos) as query from queries group by query_id) using (query_id) where bm25_rank <= 10),
+  kept as (select *, array_to_string(list_filter(list_transform({_sentences('substring(t, 12001)', 31, 1 << 30)}, lambda s: trim(s)), lambda s: len(list_filter(words, lambda w: contains(lower(s), w))) > 0), ' ') as k from q)
+  select query_id, doc_id, case when length(t) <= 24000 then t else {_CLEAN.format("substring(t, 1, 12000) || ' ... ' || substring(case when k <> '' then k else right(t, 11920) end, 1, 11920)")} end as context from kept""")
 def prompt_context(spark, d):
     return _shown(spark, d).select("query_id", "doc_id", E.compact_context(F.col("body"), F.col("query")).alias("context"))
+
+
+@query()
+def prompts(spark, d):
+    """The prompt of each shown result, with where its text is from; the mode goes by the result's place."""
+    s = _shown(spark, d).withColumn("c", E.page_context(F.col("title"), F.col("url"), F.col("snippet"), [F.col("body")], F.col("query")))
+    modes = F.element_at(F.array(F.lit("relevance"), F.lit("summary"), F.lit("custom")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return s.select("query_id", "doc_id", F.col("c.source").alias("source"), E.prompts(modes, F.col("query"), F.col("c.context"), F.lit("List the places that the page names.")).alias("prompt"))
+
+
+# --- the crawl
+
+_VISIT = f"""visits as (select url, visited_at, status_code, case when regexp_full_match(status_code, '[0-9]+') then cast(status_code as int) end as status,
+    coalesce(status_code, '') <> 'robots_blocked' as allowed, {Q.key('url')} as k, cast(row_number() over (partition by {Q.key('url')} order by visited_at nulls first, status_code nulls first) - 1 as int) as attempts from visited where url is not null),
+  known as (select {Q.key('coalesce(canonical_url, url)')} as k, bool_or(coalesce(is_tuebingen_related, false)) as related, bool_or(coalesce(language, '') = 'en') as english from raw_pages where url is not null group by 1),
+  saved as (select distinct {Q.key('canonical_url')} as k from preprocessed_pages where canonical_url is not null)"""
+
+
+def _visits(spark, d) -> DataFrame:
+    """Stored visits as fetched rows: states, tries so far, and what the stored pages say of the URL."""
+    s = F.col("status_code")
+    v = spark.read.parquet(f"{d}/visited.parquet").where("url is not null").withColumn("k", U.url_key(F.col("url")))
+    tries = F.row_number().over(W.partitionBy("k").orderBy(F.col("visited_at").asc_nulls_first(), s.asc_nulls_first())) - 1
+    v = v.select("url", "k", F.when(s.rlike("^[0-9]+$"), s.cast("int")).alias("status"), (F.coalesce(s, F.lit("")) != "robots_blocked").alias("allowed"), tries.alias("attempts"))
+    pages = spark.read.parquet(f"{d}/raw_pages.parquet").where("url is not null")
+    pages = pages.groupBy(U.url_key(F.coalesce("canonical_url", "url")).alias("k")).agg(F.bool_or(F.coalesce("is_tuebingen_related", F.lit(False))).alias("related"), F.bool_or(F.coalesce("language", F.lit("")) == "en").alias("english"))
+    return v.join(pages, "k", "left")
+
+
+def _saved_keys(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/preprocessed_pages.parquet").where("canonical_url is not null").select(U.url_key(F.col("canonical_url")).alias("k")).distinct()
+
+
+@query(f"""with {_VISIT}, done as (select case when not allowed then 'robots_blocked' when status is null or status in (429, 500, 502, 503, 504) then case when attempts + 1 <= 3 then 'retry' else 'given_up' end
+    when status <> 200 then 'not_html' when not coalesce(related, false) then 'not_related' when not coalesce(english, false) then 'not_english' when s.k is not null then 'duplicate' else 'saved' end as outcome
+    from visits v left join known n on v.k = n.k left join saved s on v.k = s.k) select outcome, count(*) as n from done group by outcome""")
+def crawl_outcomes(spark, d):
+    """The outcomes of all stored visits, by the cascade that a crawl's rounds use."""
+    v = _visits(spark, d).join(_saved_keys(spark, d).withColumn("known", F.lit(True)), "k", "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return v.groupBy(C.outcome(F.col("status"), F.lit("text/html"), F.col("allowed"), F.col("attempts"), no("related"), no("english"), no("known")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_VISIT}, t as (select k, unnest(range(0, 6)) as attempts from visits where status is null or status in (429, 500, 502, 503, 504))
+  select cast(attempts as int) as attempts, count(*) filter (attempts + 1 <= 3) as retried, count(*) filter (attempts + 1 > 3) as given_up from t group by attempts""")
+def crawl_retries(spark, d):
+    """How failed visits fare after none to five further tries: three are made."""
+    failed = _visits(spark, d).where(F.col("status").isNull() | F.col("status").isin(*C.TRANSIENT))
+    t = failed.select("status", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("attempts"))
+    yes = F.lit(True)
+    t = t.withColumn("o", C.outcome(F.col("status"), F.lit("text/html"), yes, F.col("attempts"), yes, yes, F.lit(False)))
+    return t.groupBy("attempts").agg(F.count_if(F.col("o") == "retry").alias("retried"), F.count_if(F.col("o") == "given_up").alias("given_up"))
+
+
+@query(f"""with {_VISIT}, one as (select url, min({Q.key('canonical_url')}) as k from raw_pages where url is not null and canonical_url is not null group by url)
+  select one.url, row_number() over (partition by one.k order by one.url) > 1 as again, s.k is not null as known from one left join saved s on one.k = s.k""")
+def crawl_dedup(spark, d):
+    """Which pages a round would drop: those whose canonical key was saved, and of several with one key all but the first."""
+    pages = spark.read.parquet(f"{d}/raw_pages.parquet").where("url is not null and canonical_url is not null").groupBy("url").agg(F.min(U.url_key(F.col("canonical_url"))).alias("k"))
+    pages = pages.join(_saved_keys(spark, d).withColumn("known", F.lit(True)), "k", "left")
+    return pages.select("url", C.again("k", F.lit(True), "url").alias("again"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+_ROBOTS = "select host, (array[200, 200, 404, 403])[cast(length(host) % 4 as int) + 1] as status from (select distinct {host} as host from links) where host <> ''"
+
+
+@query(f"""with {_ALL_LINKS}, r as ({_ROBOTS.format(host=Q.host('url'))})
+  select url, case when status = 403 then false when status = 404 then true else not (starts_with({Q.path('url')}, '/a') or starts_with({Q.path('url')}, '/p')) end as allowed from links join r on {Q.host('url')} = r.host""")
+def robots_filter(spark, d):
+    """All links under rules of their hosts: two of four hosts forbid paths, one has no rules, one forbids all."""
+    links = _links(spark, d)
+    hosts = links.select(U.host(F.col("url")).alias("host")).distinct().where("host != ''")
+    status = F.element_at(F.array(F.lit(200), F.lit(200), F.lit(404), F.lit(403)), (F.length("host") % 4 + 1).cast("int"))
+    rules = hosts.select("host", status.alias("status"), F.lit("User-agent: *\nDisallow: /a\nDisallow: /p\n").alias("body"))
+    return robots_allowed(links.where(U.host(F.col("url")) != ""), rules, "gleaner").select("url", "allowed")
+
+
+@query("select url, visited_at, status_code, count(*) as n from visited group by all")
+def checkpoint_roundtrip(spark, d):
+    """The visits after two saved versions of a checkpoint, read back."""
+    folder = f"{workspace(spark)}/gleaner/checkpoint-{uuid.uuid4().hex}"
+    visits = spark.read.parquet(f"{d}/visited.parquet")
+    save_checkpoint(spark, folder, 1, visited=visits.limit(0))
+    save_checkpoint(spark, folder, 2, visited=visits)
+    return load_checkpoint(spark, folder)[1]["visited"].groupBy("url", "visited_at", "status_code").agg(F.count(F.lit(1)).alias("n"))

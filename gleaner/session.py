@@ -65,7 +65,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{workspace(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.gleaner_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "gleaner_path", None)
+        if path:
+            _written[:] = [w for w in _written if w[1] != path]
+            _quiet_remove(t.sparkSession, path)
 
 
 _written: list[tuple[SparkSession, str]] = []

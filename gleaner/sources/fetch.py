@@ -9,8 +9,10 @@ from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
+from gleaner.functions.html import readable_text
 from gleaner.functions.urls import host, url_key
 
 #: What a fetcher returns: (final URL, status, content type, text).
@@ -64,6 +66,20 @@ def call(rows: DataFrame, prompt: str, output: str, answer: Callable[[str], str]
     return rows.mapInArrow(run, schema)
 
 
+def live_text(rows: DataFrame, fetcher: Callable[[str], Fetched], stored: Column, output: str = "live", least: int = 600) -> DataFrame:
+    """``rows`` with the text of their ``url`` fetched again where the column ``stored`` is shorter than ``least`` characters; else, and
+    where that fails, null."""
+    wanted = rows.withColumn("_was", F.col("url")).withColumn("url", F.when((F.length(F.coalesce(stored, F.lit(""))) < least) & (F.col("url") != ""), F.col("url")))
+    got = fetch(wanted, lambda u: fetcher(u) if u else (u, None, None, None))
+    text = F.when(F.col("status") == 200, _readable(F.col("html")))
+    return got.withColumn(output, text).withColumn("url", F.col("_was")).drop("_was", "fetched_url", "status", "content_type", "html")
+
+
+@F.pandas_udf(StringType())
+def _readable(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: None if x is None else readable_text(x))
+
+
 def replay(claimed: DataFrame, web: DataFrame) -> DataFrame:
     """``claimed`` met with stored pages (url, status, content_type, html): a crawl without a network. Unknown URLs are 404."""
     pages = web.groupBy(url_key(F.col("url")).alias("_key")).agg(F.min_by(F.struct("url", "status", "content_type", "html"), "url").alias("_p"))

@@ -26,4 +26,4 @@ def test_crawl_resumes(spark, tmp_path, capsys):
     cli.main([*args, "--max-pages", "2", "--fresh"])
     cli.main([*args, "--max-pages", "4"])
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert [o["pages"] for o in out] == [2, 4]
+    assert [(o["total_pages"], o["runs_completed"], o["started_fresh_last_run"]) for o in out] == [(2, 1, True), (4, 2, False)]

@@ -19,17 +19,27 @@ WEB = [
 ]
 
 
-def test_crawl(spark):
+def test_crawl(spark, monkeypatch):
     web = spark.createDataFrame(WEB, "url string, status int, content_type string, html string")
     robots = spark.createDataFrame([("c.de", 403, None)], "host string, status int, body string")
     state = L.fresh(spark, spark.createDataFrame([("https://a.de",), ("",)], "url string"))
-    state = L.crawl(state, lambda claimed: replay(claimed, web), robots, R.Crawl(max_pages=10), max_rounds=12)
+    fetched = []
+
+    def fetch(claimed):
+        fetched.extend(r.url for r in claimed.collect())
+        return replay(claimed, web)
+
+    monkeypatch.setattr(L, "MOST_PARTS", 3)
+    state = L.crawl(state, fetch, robots, R.Crawl(max_pages=10), max_rounds=20)
+    assert fetched.count("https://a.de/2") == 1 + R.MAX_RETRIES == 4
     assert [(r.doc_id, r.url) for r in state.pages.collect()] == [(0, "https://a.de/")]
     seen = {r.url: r.status_code for r in state.visited.collect()}
     assert seen == {"https://a.de/": "200", "https://a.de/1": "200", "https://a.de/2": "503", "https://b.de/": "200", "https://c.de/": "robots_blocked"}
     assert state.frontier.isEmpty()
-    s = L.summary(state, {"total_rounds": 5})
-    assert s["pages"] == 1 and s["total_rounds"] == state.rounds + 5
+    s = L.summary(state, {"rounds_total": 5, "runs_completed": 2, "attempted_urls_total": 7, "elapsed_seconds_total": 1.5, "interrupted_runs": 1}, 2.0, True)
+    assert s["total_pages"] == 1 and s["rounds_total"] == state.rounds + 5 and s["runs_completed"] == 3 and s["interrupted_runs"] == 2 and s["elapsed_seconds_total"] == 3.5
+    # four pages, a blocked one, and three more tries of the one that fails
+    assert s["attempted_urls_this_run"] == 8 and s["attempted_urls_total"] == 15
 
 
 def test_claim_is_polite(spark):

@@ -138,3 +138,16 @@ def test_sql(spark):
 
     assert "stem" in register(spark)
     assert spark.sql("select stem('museums') s, damerau('ca', 'abc') d, nfkd_plain('ﬁ') n").first() == ("museum", 2, "fi")
+
+
+def test_ngram_languages(spark):
+    """Held-out accuracy of the fitted model, and nothing to go by."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de', 'fr', 'es', 'it') and length(text) > 40")
+    train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    model = lang.fit_languages(train, "text", "lang")
+    got = test.select("lang", lang.detect_by_ngrams(F.col("text"), model).alias("f"), lang.detect_language(F.col("text")).alias("words"))
+    rows = [r for r in got.collect() if r.words == r.lang]  # some labels are wrong: those that the closed-class words bear out
+    right = sum(r.f.lang == r.lang for r in rows)
+    assert len(rows) > 200 and right >= 0.98 * len(rows)
+    assert lang.NgramLanguages.fit([]).detect("some text") == (None, 0.0) and model.detect(None) == (None, 0.0) and model.detect("12 ! ?") == (None, 0.0)
+    assert 0.5 < model.detect("the town and the river in the valley are old")[1] <= 1.0

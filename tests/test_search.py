@@ -1,7 +1,13 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.distance import damerau
 from gleaner.operators import analyze as A, batch as B, bm25 as R, explain as E, index as I, rerank as K, spelling as S
+from gleaner.sources.fetch import live_text
+from tests.conftest import SMALL
 
 SCHEMA = "doc_id bigint, url string, fetched_url string, canonical_url string, title string, title_tokens array<string>, heading_tokens array<string>, body_tokens array<string>, body_length int, outgoing_links array<string>, crawl_time string, snippet string"
 
@@ -82,6 +88,39 @@ def test_spelling(spark):
     r = {x.query_id: x for x in S.correct(asked, vocab).collect()}
     assert r["a"].query_tokens == ["museum", "castl", "nuseum", "tub", "1234", "market"] and r["b"].query_tokens == []
     assert [(x.entered, x.corrected) for x in S.shown_corrections(S.correct(asked, vocab)).collect()] == [("muesum", "museum"), ("castel", "castl")]
+    typed = S.correct(asked, vocab).withColumn("w", F.array(F.lit("muesums")))
+    assert [(x.entered, x.corrected) for x in S.shown_corrections(typed, F.col("w")).collect()] == [("muesums", "museum"), ("castel", "castl")]
+
+
+def test_candidates_against_brute_force(spark):
+    """Deletion forms find every pair within the permitted edits."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
+    terms, tokens = sorted({word() for _ in range(300)}), sorted({word() for _ in range(120)})
+    vocab = spark.createDataFrame([(t, 1) for t in terms], "term string, df bigint")
+    got = {(r.token, r.term, r.dist) for r in S.candidates(spark.createDataFrame([(t,) for t in tokens], "token string"), vocab).collect()}
+    most = lambda t: 1 if len(t) <= 5 else 2
+    want = {(a, b, damerau(a, b)) for a in tokens for b in terms if len(a) > 3 and a[0] == b[0] and abs(len(a) - len(b)) <= most(a) and damerau(a, b) <= most(a)}
+    assert got == want and len(want) > 50
+
+
+def test_index_cache(spark, tmp_path):
+    docs = I.build_index(spark.read.parquet(f"{SMALL}/preprocessed_pages.parquet"))
+    cache, path = I.IndexCache(spark), str(tmp_path / "i")
+    empty, message = cache.get(path)
+    assert empty.docs.count() == 0 and path in message
+    docs.save(path, 4)
+    first, message = cache.get(path)
+    assert message == "" and first.docs.count() == docs.docs.count() and cache.get(path)[0] is first
+    time.sleep(1.1)
+    docs.save(path, 2)
+    assert cache.get(path)[0] is not first and cache.get(path)[0].buckets == 2
+
+
+def test_postings_in_parts(spark):
+    p = spark.createDataFrame([("a", i, 1) for i in range(25)] + [("b", 3, 2)], "term string, doc_id bigint, tf int")
+    got = {(r.term, r.part): [x.doc_id for x in r.postings] for r in I.postings_lists(p, 10).collect()}
+    assert got == {("a", 0): list(range(10)), ("a", 1): list(range(10, 20)), ("a", 2): list(range(20, 25)), ("b", 0): [3]}
 
 
 def test_spelling_ties(spark):
@@ -146,7 +185,17 @@ def test_context(spark):
 def test_prompt_pieces(spark):
     df = spark.createDataFrame([("T", "u", "s", None, "  ", "q")], "t string, u string, s string, a string, b string, q string")
     r = df.select(E.page_context(F.col("t"), F.col("u"), F.col("s"), [F.col("a"), F.col("b")], F.col("q")).alias("c"), E.fill("<{x}|{y}>", x=F.col("t"), y=F.col("a")).alias("f")).first()
-    assert r.c == "Title: T\nURL: u\nSnippet: s\nPage text: s" and r.f == "<T|>"
+    assert tuple(r.c) == ("Title: T\nURL: u\nSnippet: s\nPage text: s", "snippet") and r.f == "<T|>"
+    df = df.withColumnRenamed("u", "url")
+    live = live_text(df, lambda u: (u, 200, "text/html", "<nav>x</nav><main>fetched text</main>"), F.col("a"))
+    own = live.select(E.page_context(F.col("t"), F.col("url"), F.col("s"), [F.col("a")], F.col("q"), live=F.col("live")).alias("c")).first()
+    assert own.c.source == "live fetched page text" and own.c.context.endswith("Page text: fetched text") and live.columns == [*df.columns, "live"]
+    long = df.withColumn("a", F.repeat(F.lit("word "), 200))
+    got = live_text(long, lambda u: 1 / 0, F.col("a")).select("live", E.page_context(F.col("t"), F.col("url"), F.col("s"), [F.col("a")], F.col("q"), live=F.lit("x" * 5000)).alias("c")).first()
+    assert got.live is None and got.c.source == "crawled page text"
+    asks = spark.createDataFrame([("summary", None), ("custom", "Do it."), ("custom", " "), (None, None), ("odd", "x")], "m string, i string")
+    texts = [x.p for x in asks.select(E.prompts(F.col("m"), F.lit("QUERY"), F.lit("PAGE"), F.col("i")).alias("p")).collect()]
+    assert all("PAGE" in t for t in texts) and ["QUERY" in t for t in texts] == [False, False, True, True, True] and texts[1].startswith("Do it.")
     modes = spark.createDataFrame([("sum", "t"), ("other", "t"), (None, "t")], "m string, t string")
     assert [x.p for x in modes.select(E.routed(F.col("m"), {"sum": "S {t}", "ask": "A {t}"}, "ask", t=F.col("t")).alias("p")).collect()] == ["S t", "A t", "A t"]
     rows = spark.createDataFrame([("q", 1, None, 0.5, None, ["b", "a", "b"]), ("q", 2, None, 0.9, None, None)], "query_id string, doc_id bigint, rank int, bm25_score double, score double, matched_terms array<string>")

@@ -5,6 +5,11 @@ import time
 import pytest
 
 from gleaner import schemas
+import os
+
+from gleaner import session
+from gleaner.sources import files as FS
+from gleaner.sources.log import log_to
 from gleaner.sources import fetch as H, tables as S
 
 
@@ -16,8 +21,32 @@ def test_json(spark, tmp_path):
     p.write_text(json.dumps({"pages": [{"doc_id": 1, "url": "u", "headings": ["h"]}]}))
     r = S.read_json(spark, str(p), schemas.RAW_PAGES, "pages").first()
     assert (r.doc_id, r.url, r.headings, r.body) == (1, "u", ["h"], None)
-    S.write_json(str(p), {"ä": 1})
-    assert json.loads(p.read_text()) == {"ä": 1} and list(tmp_path.iterdir()) == [p]
+    for data in ({"ä": 1}, {"ä": [2]}):
+        S.write_json(spark, str(p), data)
+        assert json.loads(p.read_text()) == data and list(tmp_path.iterdir()) == [p]
+    assert FS.read_text(spark, str(tmp_path / "none")) is None and FS.modified(spark, str(tmp_path / "none")) == 0 < FS.modified(spark, str(p))
+
+
+def test_json_lines(spark, tmp_path):
+    assert S.read_lines(spark, str(tmp_path / "none"), "a bigint, b array<string>").count() == 0
+    (tmp_path / "x.jsonl").write_text('{"a": 1, "b": ["x"]}\n{broken\n\n{"a": 2}\n')
+    assert sorted((r.a, r.b) for r in S.read_lines(spark, str(tmp_path / "x.jsonl"), "a bigint, b array<string>").collect()) == [(1, ["x"]), (2, None)]
+
+
+def test_log(tmp_path):
+    log = log_to(str(tmp_path / "l" / "crawl.log"), "gleaner.test", console=False)
+    log.info("worker=1 t+3ms"), log.info("done")
+    log = log_to(str(tmp_path / "l" / "crawl.log"), "gleaner.test", console=False)
+    log.info("worker=2")
+    assert [x.split(" ", 2)[2] for x in (tmp_path / "l" / "crawl.log").read_text().splitlines()] == ["worker=1 t+3ms", "worker=2"]
+
+
+def test_scratch(spark, tmp_path):
+    with session.scratch():
+        t = session.materialize(spark.range(3), "t")
+        assert t.count() == 3 and os.path.exists(t.gleaner_path.removeprefix("file://"))
+    assert not os.path.exists(t.gleaner_path.removeprefix("file://"))
+    session.discard(spark.range(1), t)
 
 
 @pytest.mark.parametrize("text,error", [("[]", "object"), ("{}", "documents"), ('{"documents": 3}', "list")])
@@ -74,9 +103,11 @@ def test_parts_and_chain(spark, tmp_path):
 
 def test_checkpoint(spark, tmp_path):
     assert S.load_checkpoint(spark, str(tmp_path)) is None
-    S.save_checkpoint(str(tmp_path), 3, a=spark.range(4))
+    for n in (1, 2, 3):
+        S.save_checkpoint(spark, str(tmp_path), n, a=spark.range(n + 1))
     version, tables = S.load_checkpoint(spark, str(tmp_path))
     assert version == 3 and tables["a"].count() == 4
+    assert {p.name for p in tmp_path.iterdir()} == {"v2", "v3", "latest.json"}
 
 
 def test_fetch(spark):
