@@ -30,18 +30,15 @@ def test_windows_and_first(spark, tmp_path):
     assert spark.table("firsts").count() == 2
 
 
-def test_release():
-    high, low = ["h"], ["l"]
-    assert polite.release(0, high, low, 10, 5) is None
-    assert polite.release(10, high, low, 10, 5) == ("h", "high", 15)
-    assert polite.release(15, high, low, 15, 5) == ("l", "low", 20)
-    assert polite.release(30, high, low, 20, 5) is None
+def test_guards(spark):
+    rows = spark.createDataFrame([("HTTP://A.de/x#y", "high"), ("https://web.archive.org/z", "low"), ("https://a.de/f.pdf", "low"), ("/nothing", "low")], "url string, level string")
+    assert [tuple(r) for r in polite.guarded(rows).collect()] == [("a.de", "https://a.de/x", "high")]
 
 
 def test_polite_stream(spark, tmp_path):
-    pd.DataFrame({"domain": ["a", "a", "a", "b"], "url": ["1", "2", "1", "3"], "level": ["low", "high", "low", "low"]}).to_parquet(tmp_path / "x.parquet")
+    pd.DataFrame({"domain": ["a", "a", "a", "b", "b"], "url": ["1", "2", "1", "3", "3"], "level": ["low", "high", "low", "low", "done"]}).to_parquet(tmp_path / "x.parquet")
     s = spark.readStream.schema("domain string, url string, level string").parquet(str(tmp_path))
-    q = polite.polite_stream(s, 100).writeStream.format("memory").queryName("polite").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0.3 seconds").start()
+    q = polite.polite_stream(s, 100).writeStream.format("memory").queryName("polite").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0.3 seconds").start()
     try:
         for _ in range(60):
             q.awaitTermination(1)
@@ -50,4 +47,6 @@ def test_polite_stream(spark, tmp_path):
         got = [(r.domain, r.url) for r in spark.table("polite").orderBy("released_ms").collect()]
     finally:
         q.stop()
+    at = [r.released_ms for r in spark.table("polite").where("domain = 'a'").orderBy("released_ms").collect()]
+    assert at[1] - at[0] >= 100
     assert sorted(got) == [("a", "1"), ("a", "2"), ("b", "3")] and [u for d, u in got if d == "a"] == ["2", "1"]
