@@ -157,4 +157,12 @@ def p10_ablation(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_ledger": p10_ledger, "p10_ablation": p10_ablation}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p10_found": """
+with words as (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as w, unnest(range(1, len(regexp_extract_all(lower(text), '\\p{L}+')) + 1)) as i from documents where text <> ''),
+ahead as (select *, lead(w, 1) over d as b, lead(w, 2) over d as c, lead(w, 3) over d as e, lead(w, 4) over d as f, lead(w, 5) over d as g, lead(w, 6) over d as h, lead(w, 7) over d as j
+  from words window d as (partition by doc_id order by i)),
+seen as (select doc_id, i, j is not null and row_number() over (partition by doc_id, w, b, c, e, f, g, h, j order by i) > 1 as again from ahead),
+cover as (select doc_id, coalesce(bool_or(again) over (partition by doc_id order by i rows between 7 preceding and current row), false) as inside from seen)
+select doc_id from cover group by doc_id having count(*) filter (inside) >= 0.3 * count(*)""",
+}

@@ -146,7 +146,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/raw_pages.parquet"))
-    return out.select("doc_id", "url", "ingested_at", F.col("removed_lines").cast("bigint"), "clean_body")
+    return out.select("doc_id", "url", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ingested_at"), F.col("removed_lines").cast("bigint"), "clean_body")
 
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean}
@@ -165,4 +165,15 @@ counted as (
   select site, k from keyed where length(k) >= 3 group by site, k having count(distinct doc_id) >= 5)
 """
 
-ORACLE = {"p1_found": _LINES + "select distinct doc_id, cast(line_no as int) as line_no from keyed join counted using (site, k)"}
+_CLEANED = r""",
+own as (select *, row_number() over () as rid,
+    array_to_string(string_split(regexp_replace(regexp_extract(lower(trim(url)), '^[^:/?#]+://([^/?#]*)', 1), '^.*@|:[0-9]*$', '', 'g'), '.')[-2:], '.') as site from raw_pages),
+split as (select rid, site, unnest(string_split(body, chr(10))) as line, unnest(range(1, len(string_split(body, chr(10))) + 1)) as line_no from own where doc_id is not null and url is not null and site <> '' and body <> ''),
+marked as (select rid, line, line_no, c.k is not null as hit from split left join counted c on split.site = c.site and regexp_replace(lower(line), '[^\p{L}]+', '', 'g') = c.k),
+cleaned as (select rid, count(*) filter (hit) as removed, coalesce(string_agg(line, chr(10) order by line_no) filter (not hit), '') as body from marked group by rid)
+select doc_id, url, strftime(ingested_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S.%f') as ingested_at, coalesce(removed, 0) as removed_lines, case when removed > 0 then c.body else own.body end as clean_body from own left join cleaned c using (rid)"""
+
+ORACLE = {
+    "p1_found": _LINES + "select distinct doc_id, cast(line_no as int) as line_no from keyed join counted using (site, k)",
+    "p1_clean": _LINES + _CLEANED,
+}

@@ -141,7 +141,7 @@ def adjusted(scored: DataFrame) -> DataFrame:
 def top_terms(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """(doc_id, term): the most distinctive term of each asked page; ties go to the rarer, then the first term."""
     scored = enrichment(pages, probes)
-    best = F.max_by("term", F.struct("score", -F.col("collection_k")))
+    best = F.min_by("term", F.struct(-F.col("score"), "collection_k", "term"))
     return scored.groupBy("doc_id").agg(best.alias("term"))
 
 
@@ -157,4 +157,25 @@ def p7_enrichment(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_enrichment": p7_enrichment}
-ORACLE: dict[str, str] = {}
+
+_SCORED = """
+with one as (
+  select doc_id, body_tokens from (select doc_id, body_tokens, row_number() over (partition by doc_id order by len(body_tokens) desc, body_tokens desc) as r
+    from preprocessed_pages where doc_id is not null and len(body_tokens) > 0) where r = 1),
+tokens as (select doc_id, unnest(body_tokens) as term from one),
+clean as (select * from tokens where term is not null),
+totals as (select term, count(*) as big_k from clean group by term),
+whole as (select count(*) as big_n from clean),
+counted as (select doc_id, term, count(*) as k from clean where doc_id in (select doc_id from probe_pages) group by all),
+sized as (select doc_id, sum(k)::bigint as n from counted group by doc_id),
+given as (select * from counted join sized using (doc_id) join totals using (term), whole),
+steps as (select *, unnest(range(k, least(n, big_k) + 1)) as i from given),
+tails as (
+  select doc_id, term, k, n, big_k, sum(exp(lgamma(big_k + 1) - lgamma(i + 1) - lgamma(big_k - i + 1) + lgamma(big_n - big_k + 1) - lgamma(n - i + 1)
+    - lgamma(big_n - big_k - n + i + 1) - lgamma(big_n + 1) + lgamma(n + 1) + lgamma(big_n - n + 1))) as tail
+  from steps where big_n - big_k - n + i >= 0 group by all),
+scored as (select *, greatest(0.0, -ln(tail)) as score from tails)
+"""
+ORACLE = {
+    "p7_found": _SCORED + "select doc_id, arg_min(term, (-round(score, 6), big_k, term)) as term from scored group by doc_id",
+}

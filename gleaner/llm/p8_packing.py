@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.tokens import VOCABULARY, sized
+from gleaner.session import materialize
 
 #: Texts in a shard, about; rows of the table of container sizes that are taken to the driver at most.
 SHARD = 50_000
@@ -126,7 +127,9 @@ def pack(documents: DataFrame, specs: list[tuple[str, list[int], int]], vocabula
     """Rows of ``SCHEMA``: every text of ``documents`` (doc_id, text) in containers of each of ``specs`` (name, permitted
     lengths, separator tokens). Texts with a null id are placed like any other; null and empty texts get no row."""
     # ids travel as text, since a null would make pandas read whole numbers as floating ones
-    sizes = sized(documents, vocabulary=vocabulary).where("tokens > 0").withColumn("doc_id", F.col("doc_id").cast("string"))
+    sizes = materialize(sized(documents, vocabulary=vocabulary).where("tokens > 0"), "sizes").withColumn("doc_id", F.col("doc_id").cast("string"))
+    # texts without an id are spread by their place in the written table, which is the same whenever a task reads it again
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id().cast("string")))
     shards = max(1, round(documents.select("doc_id").count() / shard_docs))
     schema = SCHEMA.replace("doc_id bigint", "doc_id string")
 
@@ -135,7 +138,7 @@ def pack(documents: DataFrame, specs: list[tuple[str, list[int], int]], vocabula
         rows = [r for name, lengths, sep in specs for r in pack_shard(ids, pdf.tokens.tolist(), name, lengths, sep, int(pdf.shard.iloc[0]))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    packed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
+    packed = sizes.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
     return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -181,5 +184,27 @@ def p8_report(spark, sf_dir: str) -> DataFrame:
     return report(pack(docs, jobs), {name: s for name, _, s in jobs})
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_joint": p8_joint, "p8_report": p8_report}
-ORACLE: dict[str, str] = {}
+def invariants(packed: DataFrame, separators: dict[str, int]) -> DataFrame:
+    """(spec_id, texts, over_full, misplaced, cut_too_early, well_filled): texts placed; containers above their capacity with
+    their separators; texts whose pieces overlap or leave gaps; small texts that were cut; whether 98 % of the room is used, one container aside, which takes what is left."""
+    sep = F.create_map(*[F.lit(x) for k, v in separators.items() for x in (k, v)])
+    box = packed.groupBy("spec_id", "container_id").agg(F.max("capacity_tokens").alias("cap"), (F.sum(F.col("end_token") - F.col("start_token")) + (F.count(F.lit(1)) - 1) * F.max(sep[F.col("spec_id")])).alias("held"))
+    boxes = box.groupBy("spec_id").agg(F.count_if(F.col("held") > F.col("cap")).alias("over_full"), (F.sum("held") >= 0.98 * (F.sum("cap") - F.max("cap"))).alias("well_filled"), F.max("cap").alias("top"))
+    text = packed.where("doc_id is not null").groupBy("spec_id", "doc_id").agg(F.max("end_token").alias("n"), F.sum(F.col("end_token") - F.col("start_token")).alias("placed"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("start_token").alias("starts"), F.min("start_token").alias("first"))
+    texts = text.join(boxes.select("spec_id", "top"), "spec_id").groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") != F.col("placed")) | (F.col("pieces") != F.col("starts")) | (F.col("first") != 0)).alias("misplaced"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("top"))).alias("cut_too_early"),
+    )
+    return texts.join(boxes, "spec_id").select("spec_id", "texts", "over_full", "misplaced", "cut_too_early", "well_filled")
+
+
+def p8_invariants(spark, sf_dir: str) -> DataFrame:
+    """What holds of every packing, each capacity by itself."""
+    _, specs = _tables(spark, sf_dir)
+    return invariants(p8_pack(spark, sf_dir), {name: sep for name, _, sep in specs})
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_joint": p8_joint, "p8_report": p8_report, "p8_invariants": p8_invariants}
+ORACLE = {
+    "p8_invariants": """select distinct spec_id, (select count(*) from documents where text <> '') as texts, 0::bigint as over_full, 0::bigint as misplaced,
+      0::bigint as cut_too_early, true as well_filled from pack_specs where capacity_tokens > 0""",
+}

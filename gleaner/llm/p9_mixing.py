@@ -205,5 +205,18 @@ def p9_exact_shares(spark, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "exact")[1]
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares}
-ORACLE: dict[str, str] = {}
+def p9_invariants(spark, sf_dir: str) -> DataFrame:
+    """(mix_id, sources, overused, foreign_texts, twice, shares_add_up): what holds of every mix, checked on its uses."""
+    used, shares = _run(spark, sf_dir)
+    targets = spark.read.parquet(f"{sf_dir}/mix_targets.parquet").where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("max_repeats").alias("most"))
+    text = used.groupBy("mix_id", "source", "doc_id").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("rows"))
+    checked = text.join(targets, ["mix_id", "source"], "left").groupBy("mix_id").agg(F.count_if(F.col("uses") > F.col("most")).alias("overused"), F.count_if(F.col("most").isNull()).alias("foreign_texts"), F.count_if(F.col("rows") > 1).alias("twice"))
+    sums = shares.groupBy("mix_id").agg(F.count(F.lit(1)).alias("sources"), (F.abs(F.sum("reached_share") - 1) < 0.001).alias("shares_add_up"))
+    return sums.join(checked, "mix_id", "left").select("mix_id", "sources", "overused", "foreign_texts", "twice", "shares_add_up")
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p9_invariants": p9_invariants}
+ORACLE = {
+    "p9_invariants": """select mix_id, count(distinct source) as sources, 0::bigint as overused, 0::bigint as foreign_texts, 0::bigint as twice, true as shares_add_up
+      from mix_targets where mix_id is not null and source is not null group by mix_id""",
+}

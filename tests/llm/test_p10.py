@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings, strategies as st
 
 from gleaner.llm import p10_repetition as P
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 
 
 def share(text):
@@ -58,3 +58,7 @@ def test_very_long():
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(300_000))
     m = P.measure([text])
     assert m["words"][0] == 300_000 and m["stretch_share"][0] > 0.9
+
+
+def test_twin(spark, duck):
+    same_rows(P.p10_found(spark, SMALL), duck, P.ORACLE["p10_found"])

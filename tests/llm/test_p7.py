@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gleaner.llm import p7_enrichment as P
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 
 
 def exact(k, n, big_k, big_n):
@@ -62,3 +62,7 @@ def test_against_brute_force(spark):
         own = Counter(docs[d])
         score = {t: round(exact(k, len(docs[d]), total[t], big_n), 6) for t, k in own.items()}
         assert score[got[d]] == max(score.values())
+
+
+def test_twin(spark, duck):
+    same_rows(P.p7_found(spark, SMALL), duck, P.ORACLE["p7_found"])

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from gleaner.llm import p8_packing as P, p9_mixing as M, tokens as T
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 
 
 def docs(spark, rows):
@@ -125,3 +125,29 @@ def test_mix(spark):
     assert abs(got["small"].reached_share - 0.25) < 0.02 and got["small"].state == got["big"].state == "reached" and got["gone"].state == "absent"
     used, shares = M.mix(docs(spark, []), targets)
     assert used.count() == 0 and all(r.reached_share == 0 for r in shares.collect())
+
+
+@pytest.mark.parametrize("module", [P, M])
+def test_twins(spark, duck, module):
+    for name, sql in module.ORACLE.items():
+        same_rows(module.QUERIES[name](spark, SMALL), duck, sql)
+
+
+def test_texts_without_an_id_are_spread(spark):
+    """Many texts without an id don't make one shard, and each is placed once."""
+    d = docs(spark, [(None, f"word {i}", "a") for i in range(400)] + [(i, "word", "a") for i in range(100)])
+    rows = P.pack(d, [("s", [16], 1)], shard_docs=50).collect()
+    shards = Counter(r.container_id.split("/")[1] for r in rows if r.doc_id is None)
+    assert sum(shards.values()) == 400 and len(shards) == 10 and max(shards.values()) < 120
+
+
+def test_invariants_see_faults(spark):
+    """A container too full, a gap, an early cut and a half-empty container all show."""
+    names = [c.split()[0] for c in P.SCHEMA.split(", ")]
+    row = lambda box, d, piece, start, end: dict(zip(names, ("s", box, 10, 0, d, piece, start, end)))
+    made = lambda *rows: P.invariants(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], P.SCHEMA), {"s": 1}).first()
+    assert tuple(made(row("a", 1, 0, 0, 10), row("b", 2, 0, 0, 5), row("b", 3, 0, 0, 4))) == ("s", 3, 0, 0, 0, True)
+    assert made(row("a", 1, 0, 0, 8), row("a", 2, 0, 0, 2)).over_full == 1
+    assert made(row("a", 1, 0, 0, 8), row("b", 1, 1, 9, 12)).misplaced == 1
+    assert made(row("a", 1, 0, 0, 4), row("b", 1, 1, 4, 8)).cut_too_early == 1
+    assert made(row("a", 1, 0, 0, 4)).well_filled and made(row("a", 1, 0, 0, 4), row("b", 2, 0, 0, 4)).well_filled is False
