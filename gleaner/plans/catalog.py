@@ -17,7 +17,8 @@ from gleaner.operators import analyze as A, batch as B, bm25 as R, explain as E,
 from gleaner.plans import sql as Q
 from gleaner.session import workspace
 from gleaner.sources.fetch import robots_allowed
-from gleaner.sources.tables import load_checkpoint, save_checkpoint
+from gleaner.sources.files import replace_text
+from gleaner.sources.tables import load_checkpoint, read_queries, result_lines, save_checkpoint
 from gleaner.streaming.ingest import visits_by_window
 
 QUERIES: dict = {}
@@ -340,6 +341,58 @@ def language_detect(spark, d):
     return docs.select("doc_id", "lang", found.alias("f")).select("doc_id", "lang", F.col("f.lang").alias("detected"), F.round("f.confidence", 4).alias("confidence"))
 
 
+_WHITE = r"[\s\x{85}\x{A0}\x{1C}-\x{1F}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _one_line(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WHITE}', ' ', 'g'))"
+
+
+@query(f"""with {Q.PAGES}, h as (select *, coalesce(list_filter(list_transform(headings, lambda x: {_one_line("coalesce(x, '')")}), lambda x: x <> ''), []) as hs, coalesce(url, 'https://here.example/') as here from pages)
+  select doc_id, case when title is null then here else {_one_line('title')} end as title, array_to_string(hs, ' / ') as headings, {_one_line("array_to_string(hs, ' ') || ' ' || coalesce(body, '')")} as body,
+    coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(outgoing_links, lambda x: x is not null and {Q.is_page('x')}), lambda x: {Q.normal('x')}))), ' '), '') as links, coalesce(language, '') as html_lang from h""")
+def html_roundtrip(spark, d):
+    """Stored pages written as HTML with scripts, frames and e-mail links around them, and taken apart again."""
+    esc = lambda c: E.escape_html(F.coalesce(c, F.lit("")))
+    each = lambda c, f: F.coalesce(F.array_join(F.transform(F.filter(c, lambda x: x.isNotNull()), f), ""), F.lit(""))
+    html = F.concat(
+        F.lit("<html lang='"), F.coalesce("language", F.lit("")), F.lit("'><head>"), F.when(F.col("title").isNotNull(), F.concat(F.lit("<title>"), esc(F.col("title")), F.lit("</title>"))).otherwise(""),
+        F.lit("<style>p {}</style></head><body><nav>menu</nav><script>var a = '<p>';</script><main>"), each("headings", lambda x: F.concat(F.lit("<h2>"), esc(x), F.lit("</h2>"))), F.lit("<p>"), esc(F.col("body")), F.lit("</p>"),
+        each("outgoing_links", lambda x: F.concat(F.lit('<a href="'), esc(x), F.lit('"></a>'))), F.lit("<a href='mailto:a@b.example'></a></main><main>another</main></body></html>"),
+    )
+    pages = _pages(spark, d).select("doc_id", F.coalesce("url", F.lit("https://here.example/")).alias("fetched_url"), html.alias("html"))
+    return extract_pages(pages).select("doc_id", "title", _joined("headings", " / ").alias("headings"), "body", _joined("outgoing_links").alias("links"), "html_lang")
+
+
+@query(f"with {Q.PAGES} select doc_id, array_to_string({Q.tokens("array_to_string(coalesce(headings, []), ' ')")}, ' ') as terms from pages")
+def tokenize_headings(spark, d):
+    return _pages(spark, d).select("doc_id", _joined(A.PLAIN.list(F.col("headings"))).alias("terms"))
+
+
+@query("""with r as (select *, coalesce(score, bm25_score, 0) as s from results)
+  select query_id, doc_id, coalesce(rank, row_number() over (partition by query_id order by s desc, doc_id)) as rank, s as score, greatest(0.0, least(1.0, coalesce(bm25_score, 0))) as shown, coalesce(len(list_distinct(matched_terms)), 0) as terms from r""")
+def results_adapted(spark, d):
+    """Stored results for display: filled scores and ranks, a score within 0..1, distinct terms."""
+    return E.adapt_results(spark.read.parquet(f"{d}/results.parquet")).select("query_id", "doc_id", "rank", "score", E.score_value(F.col("bm25_score")).alias("shown"), F.size("matched_terms").cast("bigint").alias("terms"))
+
+
+@query("""with n as (select doc_id, coalesce(n_chars, 0) as s from documents) select doc_id, case when s >= 3600 then printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm%02ds', s // 60, s % 60) else printf('%ds', s) end as long,
+  case when s < 1 then '<0.001s' else printf('%.3fs', s / 1000.0) end as short from n""")
+def durations(spark, d):
+    """Lengths of texts read as seconds and milliseconds, as they are shown."""
+    s = F.coalesce("n_chars", F.lit(0))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.duration(s).alias("long"), T.runtime(s / 1000.0).alias("short"))
+
+
+@query("select query_id, query, pos from (select trim(query_id) as query_id, trim(query) as query, row_number() over (order by pos) - 1 as pos from queries where trim(coalesce(query, '')) <> '' and query_id is not null)")
+def query_file_roundtrip(spark, d):
+    """The queries written as a TSV file and read again."""
+    path = f"{workspace(spark)}/gleaner/queries-{uuid.uuid4().hex}.tsv"
+    rows = _queries(spark, d).where("query_id is not null and trim(coalesce(query, '')) != ''").orderBy("pos").select("query_id", "query").collect()
+    replace_text(spark, path, result_lines(rows))
+    return read_queries(spark, path)
+
+
 @query()
 def extract_body(spark, d):
     """Documents' texts read as HTML, as some hold left-over tags."""
