@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 from gleaner.functions.urls import site
 from gleaner.llm.lexicon import ANY_FUNCTION, TOKEN, word_class
 
-#: Pages in the fitting sample (those with the lowest hash of their id), and characters of each that are read.
+#: Pages in the fitting sample: those with the lowest hash of their id, with their whole bodies.
 SAMPLE_PAGES = 4000
 #: Distinct documents in which a line must stand to count as repeated, whatever the table's size (as in problem 1; a line
 #: that reaches it on one site reaches it overall), and those from which the share of a line's followers is judged.
@@ -324,7 +324,7 @@ def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES) -> list:
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(span))
     rows = (
         pages.select(h.alias("h"), F.substring_index(site(F.col("url")), ".", 1).alias("host"), "headings", "body", "language")
-        .where((F.col("h") < cut) & (F.col("body") != "")).collect()
+        .where((F.col("h") < cut) & (F.col("body") != "") & F.col("doc_id").isNotNull()).collect()
     )
     rows.sort(key=lambda r: (r.h, r.body))
     return [(r.host or "", r.headings or [], r.body, r.language) for r in rows[:n]]

@@ -233,6 +233,19 @@ def test_wrong_labels(fitted, crf, raw_pages):
     assert G.labelled_lines(raw_pages(), (fitted, crf)).count() == 0
 
 
+def test_switches_inside_lines(crf, raw_pages, fitted):
+    """A foreign stretch inside one line is found with its words; lines of one language and short slips give none."""
+    rng = random.Random(8)
+    de, fr = [shuffled("de", rng) for _ in range(2)], SPEECH["fr"].split()[:9]
+    rows = [{"doc_id": 1, "url": "https://a.example/", "body": f"{de[0]} {' '.join(fr)} {de[1]}\n\n{de[0]}"}, {"doc_id": 2, "body": de[1]}, {"doc_id": 3, "body": None}, {"doc_id": None, "body": de[0]}]
+    got = [tuple(r) for r in G.switches(raw_pages(*rows, rows[0]), (fitted, crf)).collect()]
+    words = G.line_words(rows[0]["body"].split("\n")[0])
+    assert len(got) == 1 and got[0][:2] == (1, 1) and got[0][4] == "fr" and 0.5 < got[0][5] <= 1
+    found = set(words[got[0][2] - 1 : got[0][3]])
+    assert len(found & set(G.line_words(" ".join(fr)))) >= 6 and got[0][3] - got[0][2] <= 11
+    assert G.switches(raw_pages(), (fitted, crf)).count() == 0
+
+
 def test_fitting_on_nothing(raw_pages):
     assert T.sample_pages(raw_pages()) == []
     empty = T.fit([])
