@@ -23,7 +23,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +38,7 @@ GAIN, MOST = 4.0, 20.0
 UNLISTED = 0.05
 #: Free units: fewest in a source, least mean log probability of a bigram with the target, signs of a run at most; different
 #: contexts in which a listed unit must be met before it is given an unlisted letter.
-FREE_UNITS, FREE_FIT, FREE_SIGNS, FREE_CONTEXTS = 2, -5.0, 24, 3
+FREE_UNITS, FREE_FIT, FREE_SIGNS, FREE_CONTEXTS = 2, -5.0, 12, 3
 #: Characters of a citation in quotation marks at most; longer ones are passages of the text itself.
 CITED = 60
 #: Rounds of EM, weight of the start table in counts, least log probability of a bigram.
@@ -130,13 +130,14 @@ def suspicious(text: str) -> bool:
 _FREE = re.compile(rf"[^\x00-\x7f{LOST}]{{1,{FREE_SIGNS}}}+")
 
 
-@cache
+@lru_cache(10_000)
 def _foreign(sign: str) -> bool:
-    """Whether a sign is of another script than Latin and no mark or sign of Latin-1."""
-    return ord(sign) > 0xFF and sign not in _CLEAN and not unicodedata.name(sign, "").startswith("LATIN ")
+    """Whether a sign is of another script than Latin and no mark or sign of Latin-1. Wide signs (ideographs, kana, Hangul), which no
+    one-byte code page gives and which stand beside Latin letters in right text, are none."""
+    return ord(sign) > 0xFF and sign not in _CLEAN and not unicodedata.name(sign, "").startswith("LATIN ") and unicodedata.east_asian_width(sign) not in "WF"
 
 
-@cache
+@lru_cache(50_000)
 def _known_run(run: str) -> bool:
     """Whether no sign of a run is of another script, or the code pages' units make it up."""
     return not any(map(_foreign, run)) or run in units() or all(len(u) > 1 or not _foreign(u) for u in _unit_pattern().findall(run))
@@ -364,7 +365,8 @@ def scan_units(pages: DataFrame) -> DataFrame:
 
 def cipher_tables(found: DataFrame, lm) -> DataFrame:
     """(source, unit, target, weight): each source's learned table. A source's group holds its distinct contexts only,
-    which the units and the characters beside them bound, however many pages it has."""
+    which the units and the characters beside them bound, however many pages it has; free runs are of few signs, as those of one
+    misread word."""
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
         table = learn_table(list(zip(pdf.unit, pdf.l, pdf.r, pdf.n)), lm.value)
@@ -433,6 +435,12 @@ def readable(text: str) -> str:
     return out
 
 
+@lru_cache(256)
+def _with_free(runs: tuple[str, ...]) -> re.Pattern[str]:
+    """The pattern of all units, a source's free runs first."""
+    return re.compile("|".join([*map(re.escape, runs), _unit_pattern().pattern])) if runs else _unit_pattern()
+
+
 def repair_text(text: str | None, table: dict[str, str]) -> str | None:
     """A field read through a source's table; citations and the replacement sign stay as they are."""
     if not text or not suspicious(text):
@@ -450,8 +458,7 @@ def repair_text(text: str | None, table: dict[str, str]) -> str | None:
             return table.get(u) or _likeliest()[0].get(u, u)
         return u.translate(single)
 
-    free = sorted((u for u in table if u not in units()), key=len, reverse=True)
-    found = re.compile("|".join([*map(re.escape, free), _unit_pattern().pattern])) if free else _unit_pattern()
+    found = _with_free(tuple(sorted((u for u in table if u not in units()), key=len, reverse=True)))
     out, at = [], 0
     for q in _QUOTED.finditer(text):
         out += [found.sub(one, text[at : q.start()]), q.group()]

@@ -72,7 +72,7 @@ def test_twice(lm):
 CLEAN = [
     "The sign reads SÃO BENTO DO VALE and ÂMBAR, names from overseas.", "The tree runs ├── plans │ └── photos and is kept.", "A label says музей and сад, from abroad.",
     "Old files list the town as “TÃ¼bingen” for a reason.", "In România the word mâine and the letter Ă puzzled them.", "Ça va, Œuvre, ÉTÉ, Ñandú, Straße", "", None,
-    "Dvořák came from Łódź by Škoda, the α-helix and 5 kΩ were noted, Москва and Ἀθῆναι too.",
+    "Dvořák came from Łódź by Škoda, the α-helix and 5 kΩ were noted, Москва and Ἀθῆναι too.", "The iPhone手机 and the PC電腦 and the TVテレビ, the iPhone手机.",
 ]
 
 
@@ -83,8 +83,8 @@ def test_found(raw_pages, lm):
     got = {(r.doc_id, r.field): r.repairable for r in P.garbled_fields(raw_pages(*rows), lm).collect()}
     assert got == {(100, "title"): True, (101, "body"): False, (102, "title"): True, (102, "body"): True}
     out = {r.doc_id: r for r in P.repaired(raw_pages(*rows), lm).collect()}
-    assert out[100].fixed_title == "Brücke" and out[100].fixed_body == TEXTS["de"] and out[101].fixed_body == rows[10]["body"]
-    assert out[102].fixed_title == "Brücke" and [out[i].fixed_body for i in range(9)] == CLEAN
+    assert out[100].fixed_title == "Brücke" and out[100].fixed_body == TEXTS["de"] and out[101].fixed_body == rows[11]["body"]
+    assert out[102].fixed_title == "Brücke" and [out[i].fixed_body for i in range(10)] == CLEAN
     assert P.repaired(raw_pages(*rows), lm).count() == len(rows)
 
 
