@@ -15,7 +15,7 @@ from gleaner.functions.html import extract_pages
 from gleaner.functions.porter import stem_column
 from gleaner.operators import analyze as A, batch as B, bm25 as R, explain as E, frontier as C, index as I, rerank as K, spelling as S
 from gleaner.plans import sql as Q
-from gleaner.session import workspace
+from gleaner.session import materialize, workspace
 from gleaner.sources.fetch import robots_allowed
 from gleaner.sources.files import replace_text
 from gleaner.sources.tables import load_checkpoint, read_queries, result_lines, save_checkpoint
@@ -476,8 +476,9 @@ def _shown(spark, d) -> DataFrame:
     """The best ten results of each query with the page's text and the query's words as they were entered."""
     index, asked, best = _found(spark, d)
     docs = index.docs.select("doc_id", "url", "title", "snippet", "title_tokens", "heading_tokens")
-    body = _pages(spark, d).select("doc_id", "body")
-    top = best.where("bm25_rank <= 10").select("query_id", "doc_id", "matched_terms")
+    top = materialize(best.where("bm25_rank <= 10").select("query_id", "doc_id", "matched_terms"), "top")
+    shown = spark.read.parquet(f"{d}/raw_pages.parquet").join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    body = A.latest_pages(shown).select("doc_id", "body")
     return top.join(docs, "doc_id").join(body, "doc_id", "left").join(asked.select("query_id", "query", "query_tokens"), "query_id")
 
 
