@@ -10,7 +10,7 @@ from gleaner.session import materialize
 BROADCAST_KEYS = 500_000
 #: Rows up to which all are simply brought together by key: so few cost little to shuffle, and gain by being spread over the
 #: tasks when they come from few files. Both ways give the same rows.
-FEW_ROWS = 1_000_000
+FEW_ROWS = 50_000
 
 
 def one_per_key(rows: DataFrame, key: str, best: Column) -> DataFrame:
