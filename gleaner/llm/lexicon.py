@@ -44,7 +44,18 @@ LABEL_TO_LANG = {name: lang for lang, names in LABELS.items() for name in names.
 MISSING_LABELS = frozenset({"", "unknown", "und", "n/a", "na", "none", "null"})
 
 # Inside a word any other non-ASCII sign counts as part of it, so that wrongly decoded words stay one token.
-TOKEN = re.compile(r"[^\W\d_]+(?:[^\x00-\x7f\s“”„’‘–—…€•·»«©\xa0]+[^\W\d_]*)*|\d+|[.!?…,;:#|>/•·»()\[\]“”\"„€*+-]")
+LETTER, ODD, DIGIT, MARK = r"[^\W\d_]", r"[^\x00-\x7f\s“”„’‘–—…€•·»«©\xa0]", r"\d", r"[.!?…,;:#|>/•·»()\[\]“”\"„€*+-]"
+TOKEN = re.compile(f"{LETTER}+(?:{ODD}+{LETTER}*)*|{DIGIT}+|{MARK}")
+
+
+def _bytes_of(sign: str) -> bytes:
+    """A byte pattern of one sign's class, in the page that holds what the five languages write."""
+    own = [bytes([b]) for b in range(256) if re.fullmatch(sign, bytes([b]).decode("cp1252", "replace"))]
+    return b"[" + b"".join(map(re.escape, own)) + b"]"
+
+
+#: The same tokens in encoded text, where every class is one table look-up.
+TOKEN_BYTES = re.compile(b"%b+(?:%b+%b*)*|%b+|%b" % tuple(map(_bytes_of, (LETTER, ODD, LETTER, DIGIT, MARK))))
 
 
 def word_class(token: str) -> str:

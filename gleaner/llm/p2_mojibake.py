@@ -53,6 +53,7 @@ _CLEAN = frozenset(_PLAIN).union(map(chr, range(128)))
 _DOUBTFUL = frozenset("ÈÍÓÙÁÒÛÌÚÏÎÔ")  # capitals that a wrong table puts into words
 _INSIDE = re.compile(r"[a-zß-ÿ][ÈÍÓÙÁÒÛÌÚÏÎÔ]")
 _EARLY = frozenset("âÂÃãĂ")  # what misread UTF-8 often begins with
+_HARMLESS = "".join(sorted(_CLEAN - _EARLY - _DOUBTFUL)).encode("cp1252")
 _LATE = re.compile(f"[{''.join(sorted(_EARLY))}][^\\x00-\\x7f]")
 _QUOTED = re.compile("|".join(f"{a}[^{a}{b}\\n]{{1,{CITED}}}[{b}]" for a, b in (("“", "”"), ("„", "“”"), ("«", "»"), ("‘", "’"))))
 
@@ -108,20 +109,26 @@ def units() -> dict[str, dict[str, float]]:
 
 @cache
 def _unit_pattern() -> re.Pattern[str]:
-    """All runs, grouped by first sign and longest first, then any other sign of a run."""
+    """All runs, grouped by first sign and longest first, then any other sign of a run. No unit holds an ASCII character."""
     by_first: dict[str, list[str]] = defaultdict(list)
     for u in units():
         if len(u) > 1:
             by_first[u[0]].append(u[1:])
     runs = [re.escape(a) + "(?:" + "|".join(map(re.escape, sorted(rest, key=len, reverse=True))) + ")" for a, rest in sorted(by_first.items())]
-    return re.compile("|".join(runs) + r"|[^\x00-\x7f]")
+    return re.compile(r"(?=[^\x00-\x7f])(?:" + "|".join(runs) + r"|[^\x00-\x7f])")  # ASCII is passed over by one test
 
 
 def suspicious(text: str) -> bool:
     """A cheap test that clean text passes: whether a field has to be looked at at all."""
     if text.isascii():
         return False
-    signs = set(text)
+    try:  # all clean signs are in this page, so what it can't write isn't clean
+        left = text.encode("cp1252").translate(None, _HARMLESS)
+    except UnicodeEncodeError:
+        return True
+    if not left:
+        return False
+    signs = set(left.decode("cp1252"))
     if not signs <= _CLEAN:
         return True
     return not _EARLY.isdisjoint(signs) and _LATE.search(text) is not None or not _DOUBTFUL.isdisjoint(signs) and _INSIDE.search(text) is not None
@@ -428,13 +435,27 @@ def readable(text: str) -> str:
     comes back as it is. Unlike ``repair_text`` it knows nothing of the source and doesn't spare citations."""
     if not suspicious(text):
         return text
-    runs, single = _likeliest()
-    out = _unit_pattern().sub(lambda m: runs.get(m.group(), m.group()), text)
+    out = _BEYOND.sub(_read_run, text)
     if out == text and (_MAC_MARKS.search(text) or _INSIDE.search(text)):
-        return text.translate(single)
+        return text.translate(_likeliest()[1])
     return out
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+
+def _read_run(m: re.Match[str]) -> str:
+    run = m.group()
+    return _decoded(run) if len(run) <= FREE_SIGNS else _decoded.__wrapped__(run)  # long runs aren't kept
+
+
+@lru_cache(50_000)
+def _decoded(run: str) -> str:
+    """A non-ASCII run with its units read by the code pages."""
+    table = _likeliest()[0]
+    return _unit_pattern().sub(lambda m: table.get(m.group(), m.group()), run)
+
+
 @lru_cache(256)
 def _with_free(runs: tuple[str, ...]) -> re.Pattern[str]:
     """The pattern of all units, a source's free runs first."""

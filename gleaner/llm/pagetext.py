@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from gleaner.functions.urls import site
-from gleaner.llm.lexicon import ANY_FUNCTION, TOKEN, word_class
+from gleaner.llm.lexicon import ANY_FUNCTION, TOKEN, TOKEN_BYTES, word_class
 
 #: Pages in the fitting sample: those with the lowest hash of their id, with their whole bodies.
 SAMPLE_PAGES = 4000
@@ -57,6 +57,22 @@ _LABEL = re.compile(r"^([^:\d]{2,24}?)\s*(?::|\s[-–])\s+\S")
 _DATE = re.compile(r"\b\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|\b\d{1,2}\.?\s+[^\W\d_]{3,10}\s+(?:19|20)\d\d\b|\b(?:19|20)\d\d-\d\d-\d\d\b")
 
 
+def _word_byte(b: int) -> str:
+    c = bytes([b]).decode("cp1252", "replace")
+    return c.lower() if WORD.fullmatch(c) else " "
+
+
+_WORD_BYTES = "".join(map(_word_byte, range(256))).encode("cp1252")
+
+
+def lower_words(text: str) -> tuple[str, ...]:
+    """Runs of letters in lower case. Texts in the signs of one page, nearly all, are cut up by a table of its bytes."""
+    try:
+        return (*text.encode("cp1252").translate(_WORD_BYTES).decode("cp1252").split(),)
+    except UnicodeEncodeError:
+        return (*WORD.findall(text.lower()),)
+
+
 class _Events(HTMLParser):
     """Text and number of tags of a line that holds markup."""
 
@@ -154,8 +170,25 @@ CLASSES = _Classes()
 ORDER, UNSEEN = 4, 9.0
 
 
+class _ByteClasses(dict):
+    """As ``_Classes``, of encoded tokens."""
+
+    def __missing__(self, token: bytes) -> str:
+        c = word_class(token.decode("cp1252"))
+        if len(self) < 200_000:
+            self[token] = c
+        return c
+
+
+BYTE_CLASSES = _ByteClasses()
+
+
 def class_string(text: str) -> str:
-    return "".join(map(CLASSES.__getitem__, TOKEN.findall(text)))
+    """The classes of a line's tokens. Texts in the signs of one page, nearly all, are taken apart as bytes."""
+    try:
+        return "".join(map(BYTE_CLASSES.__getitem__, TOKEN_BYTES.findall(text.encode("cp1252"))))
+    except UnicodeEncodeError:
+        return "".join(map(CLASSES.__getitem__, TOKEN.findall(text)))
 
 
 class Ngrams(dict):
@@ -267,7 +300,7 @@ class Shape:
 
 def shape(raw: str, host: str) -> Shape:
     text, traces = core(raw)
-    words = (*WORD.findall(text.lower()),)
+    words = lower_words(text)
     if not words:
         return Shape(text, traces, words)
     letters = own_key(words, host)

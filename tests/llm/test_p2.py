@@ -63,6 +63,10 @@ def test_splitting_runs():
     assert P.letters_of("ц╤ц÷", {"ц"}) == ["ц╤", "ц÷"] and P.letters_of("яю", set()) == ["я", "ю"] and P.letters_of("цц", {"ц"}) == ["цц"]
 
 
+def test_units_hold_no_ascii():
+    assert all(not c.isascii() for u in P.units() for c in u)
+
+
 def test_twice(lm):
     broken = garble(garble(TEXTS["de"], "utf-8", "cp1252"), "utf-8", "cp1252")
     assert P.readable(broken) == TEXTS["de"]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 
 from gleaner.llm import p3_boilerplate as B, p4_language as G, p5_stuffing as K, pagescan as N, pagetext as T
 from gleaner.llm.lexicon import label_language
@@ -56,6 +57,12 @@ def test_markup_and_regions(model):
     assert T.regions([]) == []
 
 
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from("“”„’–—…€™†ŒœŸŽžŠš�ж")), max_size=60))
+def test_words_by_bytes(text):
+    assert T.lower_words(text) == tuple(T.WORD.findall(text.lower()))
+    assert T.class_string(text) == "".join(map(T.word_class, T.TOKEN.findall(text)))
+
+
 def test_clusters_decide(model, plain_pages):
     """Without smoothing and clusters nothing is labelled; a short line goes with its surroundings."""
     page, host = plain_pages[0], "site0"
