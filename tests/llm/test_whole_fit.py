@@ -1,8 +1,12 @@
 """The models of problems 3, 4 and 5 are fitted on all pages, not on a sample of them."""
 
+import random
+
+import numpy as np
 import pytest
 
-from gleaner.llm import p3_boilerplate as B, pagescan as N, pagetext as T
+from gleaner.llm import p3_boilerplate as B, p4_language as G, pagescan as N, pagetext as T
+from tests.llm.test_pages import SPEECH, shuffled
 
 RARE = "Where the Quokka sleeps beside the old mill, the path is closed to all visitors. The Quokka is left alone until it wakes in the evening."
 
@@ -39,3 +43,22 @@ def test_weighed_words_by_join(table, monkeypatch):
     monkeypatch.setattr(N, "BROADCAST_WORDS", 0)
     assert not N.fit_pages(rows).model.weights and sorted(map(tuple, B.boilerplate_lines(rows).collect())) == lines
     assert sorted(map(tuple, B.main_text(rows).collect())) == text
+
+
+def test_languages_are_fitted_on_all_pages(raw_pages, monkeypatch):
+    """A word that only the last of more lines than any language was fitted on has counts, and the fit in tasks is that on the driver."""
+    monkeypatch.setattr(G, "sample_pages", lambda *_: [], raising=False)
+    rng = random.Random(9)
+    texts = [(shuffled(lang, rng), lang) for lang in SPEECH for _ in range(30)]
+    pages = [{"doc_id": i, "url": "https://a.example/", "body": "\n".join([x, f"x{'ab'[i % 2]}q"]), "language": lang if i % 9 else "en"} for i, (x, lang) in enumerate(texts)]
+    pages += [{"doc_id": 900, "url": "https://a.example/", "body": "\n".join(f"der Turm {' '.join(shuffled('de', rng).split()[:16])} quokkel" for _ in range(2000)), "language": "de"}]
+    rows = raw_pages(*pages, {"doc_id": 901, "body": None, "language": "de"}, {"doc_id": 902, "body": "een oude toren", "language": "nl"})
+    first = {(r.word, r.k): r.n for r in G.words_table(rows, None).collect()}
+    assert first["quokkel", G.LANGS.index("de")] == 2000 and first == G.count_words([(p["body"].split("\n"), p["language"]) for p in pages], None)
+    m, want = G.fit_crf_pages(rows), G.fit_crf([("", [], p["body"], p["language"]) for p in pages])
+    assert np.allclose(m.weights, want.weights) and np.allclose(m.moves, want.moves) and np.abs(m.weights).sum() > 0
+    assert [G.LANGS[k] for k in G.label(m, [G.line_words(x) for x in SPEECH.values()])[0]] == [*SPEECH]
+    monkeypatch.setattr(G, "DRIVER_WORDS", 0)
+    words = G.words_table(rows, None)
+    monkeypatch.setattr(G, "train", lambda gradient, train=G.train: train(gradient, 3))
+    assert np.allclose(G.train_table(words).weights, G.train_counts(first).weights)
