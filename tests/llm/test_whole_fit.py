@@ -1,11 +1,12 @@
 """The models of problems 3, 4 and 5 are fitted on all pages, not on a sample of them."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from gleaner.llm import p3_boilerplate as B, p4_language as G, pagescan as N, pagetext as T
+from gleaner.llm import p3_boilerplate as B, p4_language as G, p5_stuffing as K, pagescan as N, pagetext as T
 from tests.llm.test_pages import SPEECH, shuffled
 
 RARE = "Where the Quokka sleeps beside the old mill, the path is closed to all visitors. The Quokka is left alone until it wakes in the evening."
@@ -62,3 +63,27 @@ def test_languages_are_fitted_on_all_pages(raw_pages, monkeypatch):
     words = G.words_table(rows, None)
     monkeypatch.setattr(G, "train", lambda gradient, train=G.train: train(gradient, 3))
     assert np.allclose(G.train_table(words).weights, G.train_counts(first).weights)
+
+
+def test_prose_is_that_of_all_pages(table):
+    """Problem 5's n-grams and what is abnormal come from all pages, and its rows with them."""
+    rows, whole = table
+    m, want = N.fit_pages(rows).model, T.fit(whole, N._collected(N.count_lines(rows)))
+    assert len(want.ngrams) > 50 and m.prose == want.prose != T.prose_of(0, 0, 0)
+    assert m.ngrams.items() <= want.ngrams.items()  # which keeps unseen ones too
+    keywords = {"doc_id": 600, "url": "https://s.example/", "body": "coupon hotel tickets coupon casino shoes hotel loan coupon hotel tickets casino " * 6}
+    assert [r.doc_id for r in K.stuffed_pages(rows.unionByName(rows.sparkSession.createDataFrame([keywords], "doc_id bigint, url string, body string"), allowMissingColumns=True)).collect()] == [600]
+
+
+@pytest.mark.parametrize("odd", ["", "".join(map(chr, range(0x4E00, 0x4E60)))])
+def test_grams_are_counted(odd):
+    """Counts and sums over codes are those of the n-grams one by one, however many classes there are, and may be taken away."""
+    strings = {"^^^lfCl.$": 3, "^^^ff$": 1, f"^^^l{odd}l.$": -1}
+    want = Counter()
+    for s, n in strings.items():
+        for i in range(len(s) - 3):
+            want[s[i : i + 4]] += n
+    assert T.count_grams(strings) == want and T.count_grams({}) == {}
+    m = T.PageModel(ngrams=T.gram_table({g: 5 for g in want}))
+    x = [(n, round(T.STEP * T.surprise(m, s[3:-1]))) for s, n in strings.items()]
+    assert T.surprise_sums(m.ngrams, strings.items()) == (3, sum(n * v for n, v in x), sum(n * v * v for n, v in x))
