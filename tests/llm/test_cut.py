@@ -72,3 +72,31 @@ def test_shapes_of_a_page_are_those_of_its_lines():
     lines, one, all_ = [*odd_lines(500), "<p>a&#10;b</p>", "Oldham mill"], T.Shapes(), T.Shapes()
     for host in ("oldham", ""):
         assert all_.of_page(lines, host) == [one.of(x, host) for x in lines] == all_.of_page(lines, host)
+
+
+def test_lines_of_a_page_are_read_together(plain_pages, monkeypatch):
+    m = T.fit([("a", p["headings"], p["body"], "en") for p in plain_pages])
+    lines = [*plain_pages[0]["body"].split("\n"), *odd_lines(500), "<p>a&#10;b</p>", "Oldham mill"]
+    want = {host: [T.weigh(m, T.shape(x, host), host) for x in lines] for host in ("oldham", "")}
+    for host in ("oldham", "", "oldham"):
+        m.seen.clear()
+        assert T.read_page(m, lines, host) == want[host]
+    cut = []
+    monkeypatch.setattr(T, "lower_words", lambda x: cut.append(x) or ())
+    m.seen.clear()
+    T.read_page(m, plain_pages[0]["body"].split("\n"), "a")
+    assert not cut
+
+
+def test_smoothed_means_are_those_of_each_line():
+    rng = random.Random(6)
+    for n in range(9):
+        ratio = [rng.uniform(-3.5, 3.5) for _ in range(n)]
+        want = []
+        for i in range(n):
+            near = [(T._KERNEL[0], ratio[i]), *((T._KERNEL[abs(d)], ratio[i + d]) for d in (-2, -1, 1, 2) if 0 <= i + d < n)]
+            total, weight = 0.0, 0.0
+            for k, x in near:
+                total, weight = total + k * x, weight + k
+            want.append(total / weight)
+        assert T.smoothed(ratio) == want
