@@ -87,3 +87,33 @@ def test_grams_are_counted(odd):
     m = T.PageModel(ngrams=T.gram_table({g: 5 for g in want}))
     x = [(n, round(T.STEP * T.surprise(m, s[3:-1]))) for s, n in strings.items()]
     assert T.surprise_sums(m.ngrams, strings.items()) == (3, sum(n * v for n, v in x), sum(n * v * v for n, v in x))
+
+
+def test_lines_cut_in_the_first_pass_are_labelled(raw_pages, plain_pages, monkeypatch):
+    """Problem 4 labels what the page model's first pass has cut, without reading the pages again, with the same rows as one that does."""
+    rng = random.Random(4)
+    texts = [(shuffled(lang, rng), lang) for lang in SPEECH for _ in range(6)]
+    bodies = ["\r\n".join([x, "x", " ".join("1234567890123"), shuffled("de", rng)]) for x, _ in texts]
+    pages = [{"doc_id": 700 + i, "url": "https://a.example/", "body": b, "language": (lang, None, "nl", "en")[i % 4]} for i, (b, (_, lang)) in enumerate(zip(bodies, texts))]
+    rows = raw_pages(*plain_pages, *pages, pages[3], {"doc_id": 800, "body": "Ende", "language": "de"}, {"doc_id": 801, "body": None, "language": "de"})
+    models = N.fit_pages(rows), G.fit_crf_pages(rows)
+    seen = lambda lines: sorted((r.doc_id, r.line_no, r.lang, r.pieces, r.page_lang, r.stated, round(r.confidence, 6)) for r in lines.collect())
+    for how in ({}, {"only_cases": True, "skip_stuffed": False}, {"skip_stuffed": False}):
+        found = G.labelled_lines(rows, **how)
+        got = seen(found)
+        assert found.inputFiles() and all("line_facts" in f for f in found.inputFiles())
+        assert got == seen(G.labelled_lines(rows, models, **how)) and (got or not how)
+    assert {(d, i, n) for d, i, _, n, *_ in got} >= {(700, 1, len(texts[0][0].split())), (700, 3, 13)}
+    monkeypatch.setattr(N, "BROADCAST_WORDS", 0)
+    assert seen(G.labelled_lines(rows, skip_stuffed=False)) == got
+
+
+def test_pages_are_cut_in_parts(monkeypatch):
+    pages = [(i, "a", None, [f"der Turm {' '.join('abcdefghijkl')}", f"x {i}"], None, 0, "de" if i % 2 else None) for i in range(5)]
+    monkeypatch.setattr(G, "CUT_PAGES", 2)
+    cutter = G.Cutter()
+    parts = [x for p in pages if (x := cutter.add(p))] + [cutter.rest()]
+    assert [[x[0] for x in own] for _, own in parts] == [[0, 1], [2, 3], [4]] and cutter.rest()[1] == []
+    cut = G.Cut.load(parts[1][0].dump())
+    assert cut.stated.tolist() == [-1, G.LANGS.index("de")] and cut.number.tolist() == [1, 1] and cut.pieces.tolist() == [14]
+    assert sum((G.count_cut(c, None) for c, _ in parts), Counter()) == G.count_words([(p[3], p[6]) for p in pages], None)
