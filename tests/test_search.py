@@ -208,6 +208,33 @@ def test_broadcast_and_shuffle_agree(spark, index, monkeypatch):
     assert {(r.doc_id, r.bm25_score) for r in run(spark, index, "castl museum")[1].collect()} == want
 
 
+def test_cells_agree(spark, monkeypatch):
+    """Matches are scored where their documents are; only each query's best leave a cell, and equal queries are scored once."""
+    docs = [doc(i, "", "", " ".join(["common"] * (1 + i % 3) + [f"w{i % 5}"] * (i % 2) + ["x"] * (i % 7))) for i in range(60)]
+    index = I.build_index(spark.createDataFrame(docs, SCHEMA))
+    asked = [("a", ["common", "w1"]), ("b", ["w1", "common"]), ("c", ["common"]), ("d", ["w3"]), ("e", ["none"]), ("f", [])]
+    analysed = spark.createDataFrame([(q, "", t, i) for i, (q, t) in enumerate(asked)], "query_id string, query string, query_tokens array<string>, pos bigint")
+
+    terms = R.query_terms(analysed)
+    hits = terms.join(index.postings, "term").join(index.vocabulary, "term")
+    w = R.term_weight(R.idf(index.stats[0], F.col("df")), F.col("tf"), F.col("doc_length"), index.stats[1], R.Bm25())
+    plain = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 9).alias("s"), F.sort_array(F.collect_list("term")).alias("m")).collect()
+    want = {}
+    for q in {r.query_id for r in plain}:
+        for i, r in enumerate(sorted((r for r in plain if r.query_id == q), key=lambda r: (-r.s, r.doc_id))):
+            want[q, r.doc_id] = (i + 1, round(r.s, 4), r.m)
+    for sets, blocks in ((20_000, 20_000), (1, 7)):
+        monkeypatch.setattr(R, "CELL_SETS", sets)
+        monkeypatch.setattr(R, "CELL_DOCS", blocks)
+        best = R.candidates(terms, index, R.Bm25(top_k=8), digits=9)
+        got = {(r.query_id, r.doc_id): (r.bm25_rank, round(r.bm25_score, 4), r.matched_terms) for r in best.collect()}
+        assert got == {k: v for k, v in want.items() if v[0] <= 8}
+        found = {(r.query_id, r.doc_id): (round(r.bm25, 4), r.matched_terms) for r in R.matches(terms, index).collect()}
+        assert found == {k: v[1:] for k, v in want.items()}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id, doc_id" not in plan  # a match is never shuffled
+
+
 def test_queries_of_many_terms(spark):
     many = [f"t{i:03d}" for i in range(150)]
     ix = I.build_index(spark.createDataFrame([doc(0, "", "", " ".join(many[::2])), doc(1, "", "", many[149])], SCHEMA))
