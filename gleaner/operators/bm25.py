@@ -60,7 +60,7 @@ BROADCAST_TERMS = 500_000
 PUSHED_TERMS = 2_000
 
 #: Term sets, documents and postings of a cell, about. Rows that a task holds before it gives them out.
-CELL_SETS, CELL_DOCS, CELL_POSTINGS, GIVEN = 20_000, 20_000, 2_000_000, 200_000
+CELL_SETS, CELL_DOCS, CELL_POSTINGS, GIVEN = 20_000, 50_000, 3_000_000, 200_000
 
 
 def weighed_terms(terms: DataFrame, index: Index) -> DataFrame:
@@ -107,7 +107,7 @@ def _cells(weighed: DataFrame, index: Index, p: Bm25) -> tuple[DataFrame, DataFr
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents and shares of each cell and term as bytes: one row where a task had one a posting."""
+    """The documents, each as its distance from the last, and shares of each cell and term as bytes: one row where a task had one a posting."""
     names = ["cell", "term", "docs", "parts"]
 
     def packed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -115,11 +115,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, doc, part = (t[c].to_numpy() for c in ("cell", "doc_id", "part"))
         coded = t["term"].combine_chunks().dictionary_encode()
         code = coded.indices.to_numpy()
-        order = np.lexsort((code, cell))
+        order = np.lexsort((doc, code, cell))
         cell, code, doc, part = cell[order], code[order], doc[order].astype(np.int64), part[order]
         at = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(code) != 0)) + 1), len(cell)]
+        steps = np.diff(doc, prepend=0)
+        steps[at[:-1]] = doc[at[:-1]]
         each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(cell[at[:-1]]), coded.dictionary.take(pa.array(code[at[:-1]])), each(doc), each(part)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(cell[at[:-1]]), coded.dictionary.take(pa.array(code[at[:-1]])), each(steps), each(part)], names=names)
 
     held, n = [], 0
     for b in batches:
@@ -142,14 +144,11 @@ def _best(own: np.ndarray, docs: np.ndarray, top: int) -> np.ndarray:
     return np.concatenate([above, ties[np.argsort(docs[ties], kind="stable")][: top - len(above)]])
 
 
-def _numbers(packed: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in packed.to_pylist()]
-
-
 def _score(cell: pa.Table, words: int, top: int | None, digits: int | None) -> Iterator[tuple]:
     """(asked, documents, sums, masks): of each set of a cell the documents that hold one of its terms, or the ``top`` best of them."""
     sets, hits = cell.filter(pc.is_valid(cell["asked"])), cell.filter(pc.is_null(cell["asked"]))
-    ids, parts, terms = _numbers(hits["docs"], np.int64), _numbers(hits["parts"], np.float64), hits["term"].to_pylist()
+    ids, terms = [np.cumsum(np.frombuffer(x, np.int64)) for x in hits["docs"].to_pylist()], hits["term"].to_pylist()
+    parts = [np.frombuffer(x) for x in hits["parts"].to_pylist()]
     docs, place = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
     held: dict[str, list] = {}
     for t, x, at in zip(terms, parts, np.split(place, np.cumsum([len(x) for x in ids])[:-1]) if ids else []):
@@ -164,7 +163,7 @@ def _score(cell: pa.Table, words: int, top: int | None, digits: int | None) -> I
             sums = np.round(sums, digits)
         at = np.flatnonzero(masks.any(axis=0) if words > 1 else masks[0])
         if top is not None:
-            at = at[_best(sums[at], docs[at], top)]
+            at = at[np.sort(_best(sums[at], docs[at], top))]
         if len(at):
             yield asked, docs[at], sums[at], masks[:, at]
 
@@ -173,7 +172,9 @@ def _merged(batches: Iterator[pa.RecordBatch], words: int, top: int) -> Iterator
     """``_score`` of all cells: the best of each set from those of its cells."""
     for b in batches:
         for asked, cells in zip(b.column("asked"), b.column("cells")):
-            docs, sums, masks = (np.concatenate([np.frombuffer(x[c], k) for x in cells.as_py()]) for c, k in (("docs", np.int64), ("sums", np.float64), ("masks", np.int64)))
+            all_ = cells.as_py()
+            docs = np.concatenate([np.cumsum(np.frombuffer(x["docs"], np.int64)) for x in all_])
+            sums, masks = (np.concatenate([np.frombuffer(x[c], k) for x in all_]) for c, k in (("sums", np.float64), ("masks", np.int64)))
             at = _best(sums, docs, top)
             yield asked.as_py(), docs[at], sums[at], masks.reshape(-1, words)[at].T
 
@@ -199,9 +200,10 @@ def _rows(found: Iterator[tuple], kind: pa.DataType, words: int) -> Iterator[pa.
 
 
 def _bytes(found: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(asked, docs, sums, masks) of what ``_score`` gives, one row a set."""
+    """(asked, docs, sums, masks) of what ``_score`` gives, one row a set; a document is its distance from the last."""
     while out := [*islice(found, 2_000)]:
-        cols = [pa.array([x[0] for x in out], kind), *(pa.array([np.ascontiguousarray(x[i].T).tobytes() for x in out], pa.binary()) for i in (1, 2, 3))]
+        packed = [(np.diff(docs, prepend=0), sums, masks.T) for _, docs, sums, masks in out]
+        cols = [pa.array([x[0] for x in out], kind), *(pa.array([x.tobytes() for x in col], pa.binary()) for col in zip(*packed))]
         yield pa.RecordBatch.from_arrays(cols, names=["asked", "docs", "sums", "masks"])
 
 
